@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, licenses, urls
 
 QUERIES = {
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_url_filter": urls.op4_url_filter,
     "op8_chat_format": chat.op8_chat_format,
 }
