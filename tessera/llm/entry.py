@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, urls
+from . import chat, licenses, media, urls
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_url_filter": urls.op4_url_filter,
     "op8_chat_format": chat.op8_chat_format,
+    "op9_media_jpeg": media.op9_media_jpeg,
 }
 SQL = {"op4_url_filter": urls.OP4_SQL, "op8_chat_format": chat.OP8_SQL}
