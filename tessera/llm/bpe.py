@@ -8,7 +8,7 @@ speed and never ids.
 
 Defined results: a null text is empty and has no ids; equal texts have equal ids; repeated rows stay; an empty table gives an
 empty result; extra columns are ignored. The special tokens of the tokenizer file are found in texts, as its library does by
-default. Words are kept per worker up to KEPT of them, then forgotten together; texts are handled one at a time.
+default. Words are kept per worker up to KEPT of them, then forgotten together; texts are handled whole, in blocks of about BATCH characters.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +28,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialize, shared_dir, table
+from .common import blocks_of, column, shared_dir, table
 
 LEXICON = 131_072
 KEPT = 300_000
 FLUSH = 200_000
+BATCH = 4_000_000  # characters whose words are looked up together
+MADE, NEVER = (1 << 32) - 1, 1 << 62
 # Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -72,6 +73,7 @@ class Merges:
                 self.of_byte[b[0]] = i
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.packed = {p: rank << 32 | made for p, (rank, made) in self.ranks.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
 
@@ -80,16 +82,16 @@ class Merges:
         ids = [self.of_byte[b] for b in word]
         if len(ids) > 48:
             return self._merge_long(ids)
-        get, none = self.ranks.get, (1 << 60, 0)
-        while len(ids) > 1:
-            best, at = none, 0
-            for i in range(len(ids) - 1):
-                found = get((ids[i], ids[i + 1]), none)
-                if found[0] < best[0]:
-                    best, at = found, i
-            if best is none:
-                break
-            ids[at : at + 2] = [best[1]]
+        get, never = self.packed.get, NEVER
+        ranks = [get(p, never) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & MADE]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -184,7 +186,7 @@ class Lexicon:
     """A compiled lexicon, memory-mapped."""
 
     def __init__(self, path: str):
-        whole = np.memmap(path, "<i8", "r")
+        whole = np.asarray(np.memmap(path, "<i8", "r"))  # a plain view of the mapped file
         at = 6
         out = []
         for n in whole[:6]:
@@ -233,22 +235,18 @@ class Codec:
             ids = self.lexicon.ids_of(r) if r >= 0 else self.merges.merge(b)
             self.met[w] = struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for piece, special in self.merges.pieces(text):
-            if special is not None:
-                out.append(struct.pack("<I", special))
-                continue
-            words = self.merges.words.findall(piece)
-            try:
-                out.append(b"".join([self.met[w] for w in words]))
-            except KeyError:
-                if len(self.met) > KEPT:
-                    self.met.clear()
-                self._meet([w for w in dict.fromkeys(words) if w not in self.met])
-                out.append(b"".join([self.met[w] for w in words]))
-        return b"".join(out)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. New words of all texts are looked up together."""
+        find = self.merges.words.findall
+        split = [[(special, () if special is not None else find(piece)) for piece, special in self.merges.pieces(t)] for t in texts]
+        new = {w for t in split for _, words in t for w in words if w not in self.met}
+        if len(self.met) > KEPT:
+            self.met.clear()
+            new = {w for t in split for _, words in t for w in words}
+        if new:
+            self._meet(list(new))
+        met = self.met
+        return [b"".join([struct.pack("<I", special) if special is not None else b"".join([met[w] for w in words]) for special, words in t]) for t in split]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.merges.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
@@ -316,11 +314,10 @@ def encode_texts(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, lexicon)
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                ids = [c.encode(t or "") for t in column(part, "text")]
+            for rows in blocks_of(zip(column(b, "doc_id"), column(b, "text"), strict=True), lambda r: len(r[1] or ""), BATCH):
+                ids = c.encode([t or "" for _, t in rows])
                 yield pa.record_batch(
-                    [pa.array(column(part, "doc_id"), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())],
+                    [pa.array([i for i, _ in rows], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
 

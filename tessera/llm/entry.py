@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, media, urls
+from . import bpe, chat, licenses, media, urls
 
 QUERIES = {
     "op3_license_scan": licenses.op3_license_scan,
     "op4_url_filter": urls.op4_url_filter,
+    "op7_bpe_transducer": bpe.op7_bpe_transducer,
     "op8_chat_format": chat.op8_chat_format,
     "op9_media_jpeg": media.op9_media_jpeg,
 }

@@ -19,7 +19,7 @@ TEXTS = [
 
 def check(codec, text):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
-    ids = codec.encode(text)
+    ids = codec.encode([text])[0]
     assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == want
     assert codec.decode(ids) == LIBRARY.decode(want, skip_special_tokens=False)
 
