@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, media, urls
+from . import bpe, chat, licenses, media, packing, urls
 
 QUERIES = {
+    "op2_pack_genetic": packing.op2_pack_genetic,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_url_filter": urls.op4_url_filter,
     "op7_bpe_transducer": bpe.op7_bpe_transducer,
