@@ -31,7 +31,7 @@ from .bpe import PATTERN, byte_letters, tokenizer_path
 from .common import column, materialize, table
 
 CAPACITY, END = 2048, 0
-BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 4096, 2, 2, 6, 4, 2
+BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 2, 2, 6, 4, 2
 LEVELS = 12
 
 
