@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprints, language, licenses, media, neardup, packing, urls
+from . import bpe, chat, fingerprints, language, licenses, media, neardup, packing, pii, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": urls.op4_url_filter,
     "op5_language_codes": language.op5_language_codes,
     "op6_minhash_bayes": neardup.op6_minhash_bayes,
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
     "op7_bpe_transducer": bpe.op7_bpe_transducer,
     "op8_chat_format": chat.op8_chat_format,
     "op9_media_jpeg": media.op9_media_jpeg,
