@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import fits
+
+MODULES = (fits,)
+QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
