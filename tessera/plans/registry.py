@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fits
+from . import fits, pixels
 
-MODULES = (fits,)
+MODULES = (fits, pixels)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
