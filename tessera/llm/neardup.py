@@ -6,10 +6,11 @@ signatures meet in a bucket. Every candidate pair goes through signature batches
 if, for a uniform prior, the posterior probability of a similarity of SIMILARITY or more is below MISS. Survivors are compared on
 their full sets, and only confirmed pairs are links.
 
-No bucket emits all its pairs. First each member is compared with its bucket's least member only, and the links found are drawn
-together into components. Then only buckets that still hold several components are taken up again: their members are dealt into
-cells of bounded size, each pair of cells is compared in one place by arrays, and only surviving pairs of different components
-come out. So every pair of a bucket is either compared or already connected.
+No bucket emits all its pairs. First each member is compared with one least member of its buckets, the one it shares most bands
+with, and the links found are drawn together into components. Then the buckets that still hold several components are taken up:
+their members are dealt into cells of bounded size, each pair of cells is compared in one place by arrays, where pairs of
+different components that survive are compared on their full sets; what comes out is a forest of links, at most one per member.
+So every pair of a bucket is either compared or already connected.
 
 Defined results: a document without words (null or empty text) has 0 shingles, is linked with nothing and is its own component;
 repeated rows get equal results; rows of one doc_id with different texts are one vertex where both stand for their classes; a null
@@ -32,7 +33,7 @@ from .common import blocks_of, column, materialize, parallelism, table
 
 WORDS, SIMILARITY = 5, 75  # words of a shingle; the least similarity in hundredths
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
-CELL = 256
+CELL = 512
 HASHES = BANDS * ROWS
 _rng = np.random.default_rng(20_240_607)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
@@ -155,20 +156,13 @@ def prune(pairs: DataFrame, representatives: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "signature_a", "signature_b").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) whose full sets are similar enough. Only the texts of documents in pairs are dealt again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b) whose full sets are similar enough. texts(doc_id, text) holds the documents of the pairs."""
     of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            ok = []
-            for b, ta, tb in zip(column(batch, "b"), column(batch, "text_a"), column(batch, "text_b"), strict=True):
-                if b != last[0] or tb != last[1]:
-                    last, set_b = (b, tb), shingles(tb)
-                ok.append(similar(shingles(ta), set_b))
+            ok = [similar(shingles(ta), shingles(tb)) for ta, tb in zip(column(batch, "text_a"), column(batch, "text_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     joined = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
@@ -196,42 +190,71 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
+def cell_links(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, first: np.ndarray | None, texts: list[str]) -> list[tuple[int, int]]:
+    """Links between different components among the rows of one cell (first is None), or between two cells (first: rows of one).
+
+    Pairs are pruned by their signatures, then compared on full sets; a pair that earlier links connect is left out."""
+    top = {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(texts[k])
+        return sets[k]
+
+    out, rank = [], np.arange(len(node))
+    for x in range(len(node)):
+        ok = (comp != comp[x]) & (n * 100 >= n[x] * SIMILARITY) & (n[x] * 100 >= n * SIMILARITY)
+        ok &= (rank > x) if first is None else (~first if first[x] else False)
+        y = np.flatnonzero(ok)
+        if not len(y):
+            continue
+        for k in y[survives(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])].tolist():
+            cx, ck = root(int(comp[x])), root(int(comp[k]))
+            if cx != ck and similar(set_of(x), set_of(k)):
+                top[max(cx, ck)] = min(cx, ck)
+                out.append((int(min(node[x], node[k])), int(max(node[x], node[k]))))
+    return out
+
+
 def _cells(members: DataFrame) -> DataFrame:
-    """members(bucket, m, node, n, component, signature) of open buckets -> pairs(a, b) of different components that survive.
+    """members(bucket, m, node, n, component, signature, text) of open buckets -> links(a, b) between different components.
 
     A bucket of m members has ceil(m / CELL) cells; a row goes to each pair of cells that holds its own."""
     count = F.ceil(F.col("m") / CELL).cast("int")
     own = members.withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    dealt = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component", "signature")
+    fields = ("bucket", "i", "j", "own", "node", "n", "component", "signature", "text")
+    dealt = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *fields[3:])
     dealt = dealt.repartition(parallelism(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        cell = np.array([r[1] == r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
-        node, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), HASHES)
-        found_a, found_b = [], []
-        for x in range(len(rows)):
-            ok = (comp != comp[x]) & (n * 100 >= n[x] * SIMILARITY) & (n[x] * 100 >= n * SIMILARITY)
-            ok &= (np.arange(len(rows)) > x) if cell is None else (~cell if cell[x] else False)
-            y = np.flatnonzero(ok)
-            if len(y):
-                y = y[survives(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
-                found_a += [min(node[x], node[k]) for k in y]
-                found_b += [max(node[x], node[k]) for k in y]
-        return pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        if len(rows) < 2:
+            found = []
+        else:
+            first = np.array([r[1] == r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
+            n, node, comp = (np.array([r[k] for r in rows], np.int64) for k in (5, 4, 6))
+            sig = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), HASHES)
+            found = cell_links(node, comp, sig, n, first, [r[8] for r in rows])
+        return pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for b in batches:
-            for r in zip(*(column(b, f) for f in ("bucket", "i", "j", "own", "node", "n", "component", "signature")), strict=True):
+            for r in zip(*(column(b, f) for f in fields), strict=True):
                 if group and group[0][:3] != r[:3]:
-                    yield pairs(group)
+                    yield links(group)
                     group = []
                 group.append(r)
         if group:
-            yield pairs(group)
+            yield links(group)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -245,18 +268,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = bands.select(F.xxhash64("band", "value").alias("bucket"), "node", "n")
     heads = bands.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("m")).filter("m > 1")
     met = materialize(bands.join(heads, "bucket").select("bucket", "m", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "met")
-    first = met.filter(F.col("node") != F.col("head")).filter(_near_sizes("n", "head_n")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(confirm(materialize(prune(first, representatives), "pairs"), docs), "confirmed")
+    # one dealing of the texts, at every size the same way, serves both comparisons
+    texts = materialize(docs.join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    shared = met.filter(F.col("node") != F.col("head")).filter(_near_sizes("n", "head_n")).groupBy("node", "head").count()
+    first = shared.groupBy("node").agg(F.max(F.struct("count", (-F.col("head")).alias("low"))).alias("best")).select((-F.col("best.low")).alias("a"), F.col("node").alias("b"))
+    links = materialize(confirm(prune(materialize(first, "pairs"), representatives), texts), "confirmed")
     label = components(links)
-    # pairs of different components that have met in a bucket but were not its least member's
-    left = met.filter("m > 2").join(label, "node", "left").select("bucket", "m", "node", "n", "head", F.coalesce("component", "node").alias("component"))
-    left = materialize(left, "left")
+    left = materialize(met.join(label, "node", "left").select("bucket", "m", "node", "n", F.coalesce("component", "node").alias("component")), "left")
     open_ = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    members = left.filter(F.col("node") != F.col("head")).join(open_, "bucket", "left_semi").join(representatives.select("node", "signature"), "node")
-    more = materialize(_cells(members.select("bucket", "m", "node", "n", "component", "signature")).distinct().join(first, ["a", "b"], "left_anti"), "more")
+    members = left.join(open_, "bucket", "left_semi").join(representatives.select("node", "signature"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    more = materialize(_cells(members), "more")
     if not more.isEmpty():
-        links = links.unionByName(confirm(more, docs))
-        label = components(links)
+        label = components(links.unionByName(more))
     named = described.select("doc_id", "n", "same").join(classes.select("same", "node"), "same", "left").join(label, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
