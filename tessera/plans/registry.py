@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fits, pixels
+from . import fits, palettes, pixels
 
-MODULES = (fits, pixels)
+MODULES = (fits, pixels, palettes)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
