@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import blocks_of, column, shared_dir, table
 
 LEXICON = 131_072
-KEPT = 300_000
+KEPT = 800_000
 FLUSH = 200_000
 BATCH = 4_000_000  # characters whose words are looked up together
 MADE, NEVER = (1 << 32) - 1, 1 << 62
@@ -237,16 +237,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. New words of all texts are looked up together."""
-        find = self.merges.words.findall
+        find, met = self.merges.words.findall, self.met
         split = [[(special, () if special is not None else find(piece)) for piece, special in self.merges.pieces(t)] for t in texts]
-        new = {w for t in split for _, words in t for w in words if w not in self.met}
-        if len(self.met) > KEPT:
-            self.met.clear()
-            new = {w for t in split for _, words in t for w in words}
+        if len(met) > KEPT:
+            met.clear()
+        new: set[str] = set()
+        for t in split:
+            for _, words in t:
+                new.update(set(words).difference(met))
         if new:
             self._meet(list(new))
-        met = self.met
-        return [b"".join([struct.pack("<I", special) if special is not None else b"".join([met[w] for w in words]) for special, words in t]) for t in split]
+        return [b"".join([struct.pack("<I", special) if special is not None else b"".join(map(met.__getitem__, words)) for special, words in t]) for t in split]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.merges.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
