@@ -87,6 +87,11 @@ def with_distances(px: DataFrame, clusters: list[Cluster]) -> DataFrame:
     return df.withColumn("d", F.when(F.col("a") >= 128, F.array(*[square(c) for c in clusters]))).drop("lab_l", "lab_a", "lab_b")
 
 
+def long_distances(df: DataFrame) -> DataFrame:
+    """px_id, k, d of opaque pixels. The outer form keeps Spark from computing the distances once more for a filter of its own."""
+    return df.select("px_id", F.posexplode_outer("d").alias("k", "d")).filter("k IS NOT NULL")
+
+
 def effective_weight(weights: list[float], softness: float = 0) -> Column:
     """From d: the nearest cluster's weight, or a mean weighted by 1 / (1 + (d - least) / s²); 0 for transparent pixels."""
     if not weights:

@@ -8,6 +8,7 @@ from tessera.functions.color import half_up, num, pack
 from tessera.operators import palette as A
 from tessera.operators import pixels as P
 from tessera.operators import raster as T
+from tessera.sources.files import png_tiles
 from tessera.sources.fixtures import CLUSTERS
 from tessera.sources.fixtures import target_pixels as tgt
 
@@ -31,7 +32,7 @@ def distances(s, d):
 
 
 def cluster_distances(s, d):
-    return distances(s, d).select("px_id", F.posexplode("d").alias("k", "d")).select("px_id", "k", F.round("d", 6).alias("d"))
+    return A.long_distances(distances(s, d)).select("px_id", "k", F.round("d", 6).alias("d"))
 
 
 def nearest_cluster(s, d):
@@ -150,6 +151,7 @@ QUERIES = {
     "selection_as_alpha": lambda s, d: T.selection_as_alpha(tgt(s, d), selection(s, d).filter("px_id % 3 <> 0")).select("px_id", *P.RGB, "a"),
     "mask_compose": mask_compose,
     "preview_selection": preview_selection,
+    "png_encode": lambda s, d: png_tiles(tgt(s, d), 100),
     "rect_intersect": lambda s, d: rects(s, d).select("px_id", T.intersect(F.col("a"), F.col("b")).alias("i")).select("px_id", *[F.col(f"i.{k}").alias(f"{k}_") for k in T.SIDES]),
     "stats_rect": lambda s, d: rects(s, d).select("px_id", F.coalesce(T.intersect(F.col("a"), F.col("b")), F.col("a")).alias("i")).select("px_id", *[F.col(f"i.{k}").alias(f"{k}_") for k in T.SIDES]),
 }

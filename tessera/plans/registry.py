@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fits, palettes, pixels
+from . import documents, fits, palettes, pixels
 
-MODULES = (fits, pixels, palettes)
+MODULES = (fits, pixels, palettes, documents)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
