@@ -287,3 +287,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op6_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') sh FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 2))) i) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id d, doc_id k FROM documents UNION SELECT e.y, r.k FROM r JOIN e ON e.x = r.d),
+t AS (SELECT d, min(k) k FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) n_shingles, t.k component_id, doc_id = t.k kept FROM documents JOIN t ON t.d = doc_id LEFT JOIN n USING (doc_id)
+"""
