@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, column, shared_dir, table
+from .common import blocks_of, column, materialize, shared_dir, table
 
 LEXICON = 131_072
 KEPT = 800_000
@@ -290,10 +290,22 @@ def publish(spark: SparkSession, block: bytes) -> str:
     return name
 
 
+def most_frequent(counts: DataFrame, size: int) -> list[str]:
+    """The size most frequent words of counts(word, n). Counts are put in steps first, at most some hundred rows, so that only words that can be among them are sorted."""
+    step = F.floor(F.log2("n") * 8)
+    steps = {r["s"]: r["words"] for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("words")).collect()}
+    least, so_far = 0, 0
+    for s in sorted(steps, reverse=True):
+        least, so_far = s, so_far + steps[s]
+        if so_far >= size:
+            break
+    return counts.filter(step >= least).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column(0).to_pylist()
+
+
 def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     """Compiles the size most frequent words and publishes them. Only those come to the driver."""
     merges = Merges(path)
-    top = count_words(docs, path).orderBy(F.desc("n"), "word").limit(size).select("word").toArrow().column(0).to_pylist()
+    top = most_frequent(materialize(count_words(docs, path), "words"), size)
     words = {w.encode("utf-8", "surrogatepass"): None for w in top}
     return publish(docs.sparkSession, compile_lexicon({b: merges.merge(b) for b in words}))
 

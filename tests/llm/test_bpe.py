@@ -69,3 +69,10 @@ def test_query(spark, tmp_path):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert B.encode_texts(empty, PATH, B.build_lexicon(empty, PATH)).count() == 0
+
+
+def test_most_frequent_words(spark):
+    rows = [(f"w{i:03}", 1 + i % 17 * (i % 5)) for i in range(500)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    for size in (1, 7, 100, 499, 5000):
+        assert B.most_frequent(counts, size) == [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:size]]
