@@ -28,7 +28,7 @@ ATTEMPTS = 40
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "n": ["Dr", "Prof"]}
 TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.?"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-KEYWORD = r"(?:token|secret|password|passwd|pwd|api_?key)\s{0,2}[=:]\s{0,2}[\"']?"
+KEYWORD = r"(?i:token|secret|password|passwd|pwd|api_?key)\s{0,2}[=:]\s{0,2}[\"']?"
 PATTERNS = {
     "secret": rf"(?<![A-Za-z]){KEYWORD}[A-Za-z0-9_+/.-]{{8,}}",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
