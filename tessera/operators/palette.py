@@ -179,6 +179,13 @@ def display_color(preset: str) -> tuple[Column, Column, Column]:
     return own
 
 
+def edges(bars: DataFrame, preset: str) -> DataFrame:
+    """idx, right, r, g, b: the colour between a swatch and the next one of the bar, the mean of both as shown; none after the last."""
+    df = bars.select("idx", "ord", *[c.alias(n) for c, n in zip(display_color(preset), "rgb", strict=True)])
+    after = df.select((F.col("ord") - 1).alias("ord"), F.col("idx").alias("right"), *[F.col(c).alias(f"n_{c}") for c in "rgb"])
+    return df.join(F.broadcast(after), "ord").select("idx", "right", *[half_up((F.col(c) + F.col(f"n_{c}")) / num(2)).alias(c) for c in "rgb"])
+
+
 def recipe_source(swatches: DataFrame, total: int = SOURCE_PIXELS) -> DataFrame:
     """px_id, r, g, b, a: a source of a fixed number of pixels in the swatches' shares, at least one each while there is room, filled up with the first."""
     value = F.greatest(num(0), F.coalesce("user", num(1))) * F.greatest(num(0), F.coalesce("weight", num(1)))

@@ -139,6 +139,7 @@ QUERIES = {
     "palette_shares": shares,
     "palette_rebalance": rebalance,
     "swatch_color": swatch_color,
+    "swatch_edges": lambda s, d: A.edges(A.bar(swatches(s)), "hue"),
     "recipe_source": lambda s, d: A.recipe_source(swatches(s)),
     "gradient_stops": stops,
     "gradient_css": gradient_css,
@@ -192,6 +193,8 @@ UNION ALL SELECT 'body', idx, round(CASE WHEN ord = 2 THEN v1*tot/greatest(1e-6,
     "swatch_color": f"""WITH {SW}, y AS (SELECT *, {luma()} y FROM sws) SELECT idx, 'color' preset, format('rgb({{}}, {{}}, {{}})', r, g, b) css FROM y
 UNION ALL SELECT idx, 'contrast', format('rgb({{0}}, {{0}}, {{0}})', CAST(floor(y + 5e-1) AS INT)) FROM y
 UNION ALL SELECT idx, 'hue', CASE WHEN y < 1 THEN 'rgb(140, 140, 140)' ELSE format('rgb({{}}, {{}}, {{}})', {byte('r*(140/y)')}, {byte('g*(140/y)')}, {byte('b*(140/y)')}) END FROM y""",
+    "swatch_edges": f"""WITH {BAR}, sh AS (SELECT idx, ord, {', '.join(f'CASE WHEN y < 1 THEN 140 ELSE {byte(f"{c}*(140/y)")} END {c}c' for c in 'rgb')} FROM bl)
+SELECT a.idx, b.idx "right", {', '.join(f'CAST(floor((a.{c}c+b.{c}c)/2e0 + 5e-1) AS INT) {c}' for c in 'rgb')} FROM sh a JOIN sh b ON b.ord = a.ord+1""",
     "recipe_source": f"""WITH {SW}, v AS (SELECT *, greatest(0, u)*greatest(0, p) val FROM sws), c AS (SELECT *, greatest(1, floor(val/sum(val) OVER ()*4096 + 5e-1)) n FROM v), e AS (SELECT *, sum(n) OVER (ORDER BY idx) hi FROM c), px AS (SELECT range i FROM range(4096)),
 h AS (SELECT i, min(idx) idx FROM px LEFT JOIN e ON i < hi AND i >= hi-n GROUP BY i) SELECT i px_id, s.r, s.g, s.b, 255 a FROM h JOIN sws s ON s.idx = coalesce(h.idx, 0)""",
     "gradient_stops": f"WITH {STOPS} SELECT * FROM stops",
