@@ -28,6 +28,7 @@ from .common import blocks_of, column, parallelism, table
 STEPS, NEAR, VOTES = 1024, 32, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 BLOCK = 400_000
+MOST_RANGES = 65_536  # their bounds are literals of the plan
 #: Fewest code points of a text, and the window's bytes.
 WINDOWS = ((128, 32), (24, 8), (0, 1))
 
@@ -216,7 +217,7 @@ def chained(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     n = parallelism(spark)  # each partition gets a few ranges, which evens out their sizes
     ids = docs.select(key.alias("k"))
-    rows = ids.repartitionByRange(4 * n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("least"), F.max("k").alias("most")).collect()
+    rows = ids.repartitionByRange(min(4 * n, MOST_RANGES), "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("least"), F.max("k").alias("most")).collect()
     ranges = sorted((r["least"], r["most"]) for r in rows)
     starts, heads = [a for a, _ in ranges], [b for _, b in ranges]
     df = docs.withColumn("k", key).withColumn("bucket", _bucket(F.col("k"), starts))
