@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PATTERN, byte_letters, tokenizer_path
-from .common import column, materialize, table
+from .common import column, materialize, parallelism, table
 
 CAPACITY, END = 2048, 0
 BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 2, 2, 6, 4, 2
@@ -230,9 +230,10 @@ def pack_level(items: DataFrame, blocks: int, salt: int) -> DataFrame:
     dealt = items.select(F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(blocks)).alias("block"), F.struct("item", "size").alias("x"))
     rows = dealt.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("x"))
     islands = rows.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.item").alias("items"), F.col("x.size").alias("sizes"), F.array().cast("array<array<int>>").alias("packings"))
-    islands = islands.repartition(F.col("block"), F.col("island"))
     for number in range(ROUNDS):
-        islands = _round(_migrate(materialize(islands, "islands")) if number else islands, number)
+        # a given number of partitions, as small rows stand for long work
+        ready = _migrate(materialize(islands, "islands")) if number else islands
+        islands = _round(ready.repartition(parallelism(items.sparkSession), "block", "island"), number)
     first = F.element_at("packings", 1)
     bred = islands.select("block", "items", "sizes", first.alias("packing"), (-F.array_max(first)).alias("fit"))
     best = bred.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "packing"), "fit").alias("b")).select("block", "b.*")
