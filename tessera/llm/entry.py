@@ -16,4 +16,4 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_media_jpeg": media.op9_media_jpeg,
 }
-SQL = {"op4_url_filter": urls.OP4_SQL, "op6_minhash_bayes": neardup.OP6_SQL, "op8_chat_format": chat.OP8_SQL}
+SQL = {"op3_license_scan": licenses.OP3_SQL, "op4_url_filter": urls.OP4_SQL, "op6_minhash_bayes": neardup.OP6_SQL, "op8_chat_format": chat.OP8_SQL}

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, column, table
 
-ORDERS, SLOTS, SURE, BLOCK = (2, 3), 16_384, 0.5, 1_000_000
+ORDERS, SLOTS, SURE, BLOCK = (2, 3), 16_384, 0.5, 200_000
 LETTER = regex.compile(r"\p{L}")
 
 

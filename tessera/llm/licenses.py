@@ -138,3 +138,37 @@ def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, phrases: list =
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("places")
+
+
+def _sql() -> str:
+    bodies = [words_of(t) for _, t, _ in TEMPLATES]
+    body = ", ".join(f"({t}, {p}, '{w}')" for t, b in enumerate(bodies) for p, w in enumerate(b))
+    names = ", ".join(f"({t}, '{label}', {len(bodies[t])})" for t, (label, _, _) in enumerate(TEMPLATES))
+    keys = []
+    for t, (_, _, ks) in enumerate(TEMPLATES):
+        for k in map(words_of, ks):
+            at = next(i for i in range(len(bodies[t])) if bodies[t][i : i + len(k)] == k)
+            keys += [f"({t}, {at + j})" for j in range(len(k))]
+    phrases = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' l FROM seen WHERE ws[i+1:i+{len(words_of(p))}] = {words_of(p)!r} AND w = '{words_of(p)[0]}'" for p, label in PHRASES)
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') ws FROM documents),
+body(t, p, w) AS (VALUES {body}), names(t, label, n) AS (VALUES {names}), keys(t, p) AS (VALUES {", ".join(dict.fromkeys(keys))}),
+seen AS (SELECT doc_id, ws, i, ws[i+1] w FROM d, LATERAL (SELECT unnest(range(len(ws))) i) WHERE ws[i+1] IN (SELECT w FROM body)),
+df AS (SELECT b.w, count(DISTINCT doc_id) n FROM (SELECT DISTINCT w FROM body) b LEFT JOIN seen USING (w) GROUP BY 1),
+rare AS (SELECT t, w FROM (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY n, w) k FROM (SELECT DISTINCT t, w FROM body) JOIN df USING (w)) WHERE k <= {RARE}),
+rp AS (SELECT b.* FROM body b JOIN rare USING (t, w)), need AS (SELECT t, least({VOTES}, count(*)) need FROM rp GROUP BY 1),
+prop AS (SELECT DISTINCT doc_id, t, i - p o FROM seen JOIN rp USING (w)),
+cand AS (SELECT doc_id, t, o, any_value(ws) ws FROM prop JOIN d USING (doc_id) GROUP BY 1, 2, 3),
+hit AS (SELECT doc_id, c.t, o, b.p, CASE WHEN o + b.p >= 0 THEN coalesce(ws[o + b.p + 1] = b.w, false) ELSE false END ok, rp.p IS NOT NULL r, k.p IS NOT NULL k FROM cand c JOIN body b ON b.t = c.t LEFT JOIN rp ON rp.t = b.t AND rp.p = b.p LEFT JOIN keys k ON k.t = b.t AND k.p = b.p),
+good AS (SELECT doc_id, t, o, count(*) FILTER (ok)/CAST(count(*) AS DOUBLE) cover FROM hit JOIN need USING (t) GROUP BY 1, 2, 3 HAVING count(*) FILTER (ok AND r) >= max(need) AND count(*) FILTER (ok)/CAST(count(*) AS DOUBLE) >= {COVER} AND bool_and(ok OR NOT k)),
+base AS ({phrases}),
+bl AS (SELECT doc_id, count(*) n, min(i) lo, max(i) hi FROM base GROUP BY 1), gl AS (SELECT doc_id, max(cover) c FROM good GROUP BY 1),
+b2 AS (SELECT doc_id, string_agg(l, ',' ORDER BY l) s FROM (SELECT DISTINCT doc_id, l FROM base) GROUP BY 1),
+a2 AS (SELECT doc_id, string_agg(l, ',' ORDER BY l) s FROM (SELECT doc_id, l FROM base UNION SELECT doc_id, label FROM good JOIN names USING (t)) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) n_words, coalesce(bl.n, 0) n_base, bl.lo first_word, bl.hi last_word, coalesce(b2.s, '') base_labels, coalesce(a2.s, '') labels,
+ greatest(coalesce(gl.c, 0e0), CASE WHEN bl.n > 0 THEN 1e0 ELSE 0e0 END) score
+FROM d LEFT JOIN bl USING (doc_id) LEFT JOIN gl USING (doc_id) LEFT JOIN b2 USING (doc_id) LEFT JOIN a2 USING (doc_id)
+"""
+
+
+OP3_SQL = _sql()

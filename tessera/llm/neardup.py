@@ -177,7 +177,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
@@ -272,9 +271,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = materialize(docs.join(met.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
     shared = met.filter(F.col("node") != F.col("head")).filter(_near_sizes("n", "head_n")).groupBy("node", "head").count()
     first = shared.groupBy("node").agg(F.max(F.struct("count", (-F.col("head")).alias("low"))).alias("best")).select((-F.col("best.low")).alias("a"), F.col("node").alias("b"))
-    links = materialize(confirm(prune(materialize(first, "pairs"), representatives), texts), "confirmed")
+    links = materialize(confirm(prune(first, representatives), texts), "confirmed")
     label = components(links)
-    left = materialize(met.join(label, "node", "left").select("bucket", "m", "node", "n", F.coalesce("component", "node").alias("component")), "left")
+    left = met.join(label, "node", "left").select("bucket", "m", "node", "n", F.coalesce("component", "node").alias("component"))
     open_ = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     members = left.join(open_, "bucket", "left_semi").join(representatives.select("node", "signature"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
     more = materialize(_cells(members), "more")
