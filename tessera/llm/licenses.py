@@ -149,11 +149,12 @@ def _sql() -> str:
         for k in map(words_of, ks):
             at = next(i for i in range(len(bodies[t])) if bodies[t][i : i + len(k)] == k)
             keys += [f"({t}, {at + j})" for j in range(len(k))]
+    heads = ", ".join(f"('{words_of(p)[0]}')" for p, _ in PHRASES)
     phrases = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' l FROM seen WHERE ws[i+1:i+{len(words_of(p))}] = {words_of(p)!r} AND w = '{words_of(p)[0]}'" for p, label in PHRASES)
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') ws FROM documents),
 body(t, p, w) AS (VALUES {body}), names(t, label, n) AS (VALUES {names}), keys(t, p) AS (VALUES {", ".join(dict.fromkeys(keys))}),
-seen AS (SELECT doc_id, ws, i, ws[i+1] w FROM d, LATERAL (SELECT unnest(range(len(ws))) i) WHERE ws[i+1] IN (SELECT w FROM body)),
+seen AS (SELECT doc_id, ws, i, ws[i+1] w FROM d, LATERAL (SELECT unnest(range(len(ws))) i) WHERE ws[i+1] IN (SELECT w FROM body UNION ALL VALUES {heads})),
 df AS (SELECT b.w, count(DISTINCT doc_id) n FROM (SELECT DISTINCT w FROM body) b LEFT JOIN seen USING (w) GROUP BY 1),
 rare AS (SELECT t, w FROM (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY n, w) k FROM (SELECT DISTINCT t, w FROM body) JOIN df USING (w)) WHERE k <= {RARE}),
 rp AS (SELECT b.* FROM body b JOIN rare USING (t, w)), need AS (SELECT t, least({VOTES}, count(*)) need FROM rp GROUP BY 1),
