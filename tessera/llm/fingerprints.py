@@ -3,7 +3,8 @@
 A feature is a window of a text's UTF-8 bytes (32 bytes; 8 or 1 in short texts, see WINDOWS). Its entropy is put in one of 1024
 steps, and how many windows of all documents fall into each step is counted; a step's rank is its place by rarity, rarest first.
 In each run of NEAR windows the leftmost one of lowest rank gets a vote; windows of at least VOTES votes are features of the
-document. Each distinct feature sets HASHES bits of a Bloom filter of 2048 bits; after PER_FILTER features the next filter of the
+document. A text none of whose windows has them keeps all its windows if it is too short for a vote, and else the rarest quarter
+with all windows that tie with its last, so no feature is chosen by its place. Each distinct feature sets HASHES bits of a Bloom filter of 2048 bits; after PER_FILTER features the next filter of the
 chain begins. Two fingerprints are compared filter by filter: the shared bits over what chance gives, normalised by the most
 that could be shared; each filter of the shorter chain takes its best partner, and the mean is the likeness, from 0 to 1.
 
@@ -115,7 +116,7 @@ def _inside(at: np.ndarray, w: int) -> np.ndarray:
 
 
 def _chosen(rank: np.ndarray, ok: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the features: windows of at least VOTES votes, or in texts of few windows those with the most."""
+    """Positions of the features: windows of at least VOTES votes, or where no window has them the rarest, never by their place."""
     n = len(rank)
     key = np.where(ok[:n], rank, STEPS) * (1 << 40) + np.arange(n)
     low, span = key, 1
@@ -129,10 +130,13 @@ def _chosen(rank: np.ndarray, ok: np.ndarray, at: np.ndarray, w: int) -> np.ndar
     good = (votes >= VOTES) & ok[:n]
     lone = np.flatnonzero(~np.bincount(np.searchsorted(at, np.flatnonzero(good), "right") - 1, minlength=len(at) - 1).astype(bool))
     extra = []
-    for t in lone:  # texts of few windows: all of them, thinned to the rarest quarter
+    for t in lone:  # texts too short for a vote: all windows; others: the rarest quarter, and all that are as rare as its last
         places = np.arange(at[t], min(at[t + 1], n))
         places = places[ok[places]]
-        extra.append(np.sort(places[np.argsort(rank[places], kind="stable")][: max(16, len(places) // 4)]))
+        if len(places) >= NEAR + VOTES - 1:
+            quarter = max(16, len(places) // 4)
+            places = places[rank[places] <= np.partition(rank[places], quarter - 1)[quarter - 1]]
+        extra.append(places)
     return np.sort(np.concatenate([np.flatnonzero(good), *extra]))
 
 

@@ -39,6 +39,26 @@ def test_a_text_has_the_same_fingerprint_in_any_block():
         assert (P.from_text(P.to_text(f)) == f).all() and len(f)
 
 
+def test_short_texts_that_differ_only_at_the_end_differ():
+    ranks = P.ranks_of({w: np.zeros(P.STEPS, np.int64) for _, w in P.WINDOWS})
+    for n in range(17, 46):
+        head = prose(n, 20)[: n - 1]
+        for a, b in ((head + "@", head + "#"), ("д" * (n - 1) + "я", "д" * (n - 1) + "ю"))[: 2 if n < 24 else 1]:
+            x, y = P.fingerprints_of([a, b], ranks)
+            assert P.likeness(x, y) < 1, (a, b)
+    (x,) = P.fingerprints_of([prose(1, 9)[:23]], ranks)
+    assert (x == P._filters(P._hashes(np.frombuffer(prose(1, 9)[:23].encode(), np.uint8), np.arange(23), 1))).all()
+
+
+def test_tied_windows_of_longer_texts_are_all_kept():
+    ranks = {w: np.zeros(P.STEPS, np.int64) for _, w in P.WINDOWS}
+    cycle = "".join(chr(c) for c in range(33, 97))
+    for n in (60, 127, 128, 400):
+        whole = (cycle * 7)[: n - 1]
+        x, y = P.fingerprints_of([whole + "~", whole + "}"], ranks)
+        assert P.likeness(x, y) < 1
+
+
 def run(spark, rows, path):
     spark.createDataFrame(rows, "doc_id long, text string, bucket string").write.parquet(path + "/documents.parquet")
     return P.op1_fingerprints(spark, path).collect()
