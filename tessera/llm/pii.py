@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
 Detected are mail addresses, phone numbers, payment cards (with a right check digit), social security numbers, IPv4 addresses,
-IBANs, access keys, secrets after a keyword, and names after a title. An entity has parts (a mail address: mailbox and domain; a
-name: given name and surname), each of a type and a normal form, so spellings of one entity share their parts. A part's surrogate
+IBANs, access keys, secrets after a keyword, and names after titles: all capitalised words that follow, the last of them the
+surname. In a document with such a name its parts are replaced where they stand alone, too, by the same surrogates. An entity has
+parts (a mail address: mailbox and domain; a name: given names and surname), each of a type and a normal form, so spellings of one entity share their parts. A part's surrogate
 follows from a keyed hash of type, normal form and attempt, and has the type's format: as many digits and letters in the same
 places, a right card check digit, a given name of the title's gender, names in the part's own script, domains under the reserved
 `example`. A surrogate that another part of its type has too, or that is a real part, is made anew with the next attempt (later
@@ -11,7 +12,7 @@ surrogates in all documents, and different ones different surrogates.
 
 Only documents with an entity are shuffled; a document gathers its own distinct entities and nothing larger.
 
-Defined results: a null text stays null with 0 entities; a text without entities is unchanged; repeated rows stay; all columns of
+Defined results: a run of bare names counts as one entity; names that stand after no title in their document stay; a null text stays null with 0 entities; a text without entities is unchanged; repeated rows stay; all columns of
 the input are returned, whatever their names; an empty table gives an empty result.
 """
 
@@ -27,13 +28,16 @@ ATTEMPTS = 40
 # Titles by the gender they tell, and patterns of entities. No pattern can start inside a run it could have started before, so long runs take linear time.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "n": ["Dr", "Prof"]}
 TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.?"
+# A capitalised word of a name, of two characters or more, without a genitive's 's, and not itself a title.
+WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
+NAME = rf"(?!{TITLE}(?![\p{{L}}'’-])){WORD}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KEYWORD = r"(?i:token|secret|password|passwd|pwd|api_?key)\s{0,2}[=:]\s{0,2}[\"']?"
 PATTERNS = {
     "secret": rf"(?<![A-Za-z]){KEYWORD}[A-Za-z0-9_+/.-]{{8,}}",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "name": rf"(?<!\p{{L}}){TITLE} \p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++)?",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLE} )++{NAME}(?: {NAME})*+|{TITLE} {WORD})",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -41,7 +45,8 @@ PATTERNS = {
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAYBE = rf"[0-9@=:]|{TITLE} \p{{Lu}}"
+MAYBE = rf"[0-9@=:]|AKIA|{TITLE} \p{{Lu}}"  # every entity has one of these
+BARE = rf"(?<!\p{{L}}){WORD}"
 SYLLABLES = {
     "latin": ["ba", "re", "mi", "to", "lu", "ka", "ne", "si", "do", "ru", "va", "le", "ni", "po", "gu", "ha"],
     "cyrillic": ["ба", "ре", "ми", "то", "лу", "ка", "не", "си", "до", "ру", "ва", "ле", "ни", "по", "гу", "ха"],
@@ -80,15 +85,16 @@ def _part(kind: Column | str, norm: Column) -> Column:
 def parts_of(kind: Column, raw: Column) -> Column:
     """array<struct<type,norm>>."""
     low = F.lower(raw)
-    title = F.regexp_extract(raw, f"^({TITLE}) ", 1)
-    names = F.split(F.substring(raw, F.length(title) + 2, F.length(raw)), " ")
+    title = F.regexp_extract(raw, f"^((?:{TITLE} )+)", 1)
+    names = F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), " ")
     gender = F.lit("n")
     for g in ("m", "f"):
-        gender = F.when(F.replace(title, F.lit("."), F.lit("")).isin(TITLES[g]), g).otherwise(gender)
-    surname = _part("surname", F.lower(F.element_at(names, -1)))
+        gender = F.when(F.arrays_overlap(F.split(F.replace(title, F.lit("."), F.lit("")), " "), F.lit(TITLES[g])), g).otherwise(gender)
+    given = F.transform(F.slice(names, F.lit(1), F.size(names) - 1), lambda n: _part(F.concat(F.lit("given-"), gender), F.lower(n)))
+    surname = F.array(_part("surname", F.lower(F.element_at(names, -1))))
     return (
         F.when(kind == "email", F.array(_part("mailbox", low), _part("domain", F.regexp_extract(low, "@(.*)$", 1))))
-        .when(kind == "name", F.when(F.size(names) > 1, F.array(_part(F.concat(F.lit("given-"), gender), F.lower(names[0])), surname)).otherwise(F.array(surname)))
+        .when(kind == "name", F.concat(given, surname))
         .when(kind.isin("phone", "card", "ssn"), F.array(_part(kind, _only(raw, "0-9"))))
         .when(kind == "iban", F.array(_part(kind, _only(raw, "A-Z0-9"))))
         .when(kind == "secret", F.array(_part(kind, F.regexp_replace(raw, f"^{KEYWORD}", ""))))
@@ -152,7 +158,7 @@ def laid_out(kind: Column, raw: Column, s: Column) -> Column:
 
     return (
         F.when(kind == "email", F.concat(first, F.lit("@"), F.element_at(s, -1)))
-        .when(kind == "name", F.concat(F.regexp_extract(raw, f"^{TITLE}(?= )", 0), F.lit(" "), F.array_join(F.transform(s, F.initcap), " ")))
+        .when(kind == "name", F.concat(F.regexp_extract(raw, f"^(?:{TITLE} )+", 0), F.array_join(F.transform(s, F.initcap), " ")))
         .when(kind.isin("phone", "card", "ssn"), flow("0-9"))
         .when(kind == "iban", flow("A-Z0-9"))
         .when(kind == "secret", F.concat(F.regexp_extract(raw, f"^{KEYWORD}", 0), first))
@@ -176,6 +182,34 @@ def distinct_surrogates(parts: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
+def _bare(gap: Column, names: Column) -> Column:
+    """struct<text, n>: the gap with the words that are names (map of normal forms) replaced, and how many runs of such words."""
+
+    def of(w: Column) -> Column:
+        new = F.initcap(names[F.lower(w)])
+        return F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(new)).otherwise(new)
+
+    def word(w: Column) -> Column:
+        parts = F.split(w, "(?<=['’-])|(?=['’-])")  # a compound that is no name may hold one
+        return F.coalesce(of(w), F.array_join(F.transform(parts, lambda p: F.coalesce(of(p), p)), ""))
+
+    def whole(z: Column) -> Column:
+        new = lambda x: x["w"] != x["e"]
+        starts = F.filter(z, lambda x, i: new(x) & ((i == 0) | (x["g"] != " ") | ~F.coalesce(new(F.get(z, i - 1)), F.lit(False))))
+        put = F.array_join(F.transform(z, lambda x: F.concat(x["g"], x["e"])), "")
+        return F.struct(F.concat(put, F.element_at(F.split(gap, BARE, -1), -1)).alias("text"), F.size(starts).alias("n"))
+
+    def tokens(words: Column) -> Column:
+        return F.arrays_zip(F.slice(F.split(gap, BARE, -1), F.lit(1), F.size(words)).alias("g"), words.alias("w"), F.transform(words, word).alias("e"))
+
+    return _let(_let(F.regexp_extract_all(gap, F.lit(BARE), F.lit(0)), tokens), whole)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with its text column rewritten, as struct column `row`, and n_entities and kinds (sorted, comma-joined)."""
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
@@ -189,14 +223,20 @@ def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> Dat
     known = materialize(known.withColumn("parts", parts_of(F.col("kind"), F.col("raw"))), "entities")
     each = known.select("raw", "kind", F.posexplode("parts").alias("pos", "part")).select("raw", "kind", "pos", "part.type", "part.norm")
     chosen = distinct_surrogates(each.select("type", "norm").distinct(), key)
-    spelled = each.join(chosen, ["type", "norm"]).groupBy("raw", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("p"))
-    spelled = spelled.select("raw", "kind", laid_out(F.col("kind"), F.col("raw"), F.col("p.s")).alias("new"))
-    own = met.join(spelled, "raw").groupBy("at").agg(F.collect_list(F.struct("raw", "new")).alias("pairs"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    both = dirty.join(own, "at", "left").withColumn("news", F.map_from_entries("pairs")).withColumn("gaps", F.split(body, ANY, -1))
+    spelled = each.join(chosen, ["type", "norm"]).groupBy("raw", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "norm", "s"))).alias("p"))
+    named = F.when(F.col("kind") == "name", F.transform("p", lambda x: F.struct(x["norm"].alias("norm"), (x["type"] != "surname").alias("given"), x["type"].alias("type"), x["s"].alias("s"))))
+    spelled = spelled.select("raw", "kind", laid_out(F.col("kind"), F.col("raw"), F.col("p.s")).alias("new"), named.alias("named"))
+    own = met.join(spelled, "raw").groupBy("at").agg(F.collect_list(F.struct("raw", "new")).alias("pairs"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.array_sort(F.flatten(F.collect_list("named"))).alias("named"))
+    # a word that is both a surname and a given name in a document is taken for the surname
+    first = F.filter("named", lambda x, i: (i == 0) | (x["norm"] != F.get("named", i - 1)["norm"]))
+    names = F.map_from_entries(F.transform(first, lambda x: F.struct(x["norm"], x["s"])))
+    both = dirty.join(own.withColumn("names", names), "at", "left").withColumn("news", F.map_from_entries("pairs")).withColumn("gaps", F.split(body, ANY, -1))
+    plain = F.transform("gaps", lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))
+    both = both.withColumn("gaps", F.when(F.size("names") > 0, F.transform("gaps", lambda g: _bare(g, F.col("names")))).otherwise(plain))
     put = F.transform("found", lambda e: F.coalesce(F.col("news")[e], e))
-    rebuilt = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("gaps", 1, F.size("found")).alias("g"), put.alias("e")), lambda z: F.concat(z["g"], z["e"])), ""), F.element_at("gaps", -1))
+    rebuilt = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("gaps.text", 1, F.size("found")).alias("g"), put.alias("e")), lambda z: F.concat(z["g"], z["e"])), ""), F.element_at("gaps.text", -1))
     changed = both.withColumn("rebuilt", F.when(F.col("pairs").isNull(), body).otherwise(rebuilt))
-    n = F.coalesce(F.size(F.filter("found", lambda e: F.col("news")[e].isNotNull())), F.lit(0)).cast("long")
+    n = (F.coalesce(F.size(F.filter("found", lambda e: F.col("news")[e].isNotNull())), F.lit(0)) + F.aggregate("gaps.n", F.lit(0), lambda a, x: a + x)).cast("long")
     fields = [(F.col("rebuilt") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
     changed = changed.select(F.struct(*fields).alias("row"), F.greatest(n, F.lit(0)).alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"))
     return clean.unionByName(changed)
