@@ -9,18 +9,25 @@ break becomes `&#10;` as well. The loss mask is an array of spans in code points
 
 Defined results: a null role or text counts as empty; a null part list or an unknown part type gives no text; equal (conv, turn)
 rows are ordered by role, then text, and repeated rows stay; null turns come first; a null conversation id is one conversation;
-an empty table gives an empty result; extra columns are ignored. A conversation is one string and so must stay below 2 GB.
+an empty table gives an empty result; extra columns are ignored. `format_chat` gives a conversation as one string, which must stay
+below 2 GB. The query does so only for conversations of at most WHOLE characters; larger ones stay `segments`, a row a turn, and
+their digests are streamed over the turns in order, so no row holds such a conversation.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import column, parallelism, table
 
 START, END = "<|im_start|>", "<|im_end|>"
+WHOLE = 4_000_000
 PARTS = "array<struct<type:string,text:string,uri:string,units:bigint>>"
 #: Tokens that one unit of an attachment expands to: an image tile, a second of audio, a page of a document.
 UNIT_TOKENS = {"image": 256, "audio": 25, "document": 512}
@@ -68,18 +75,23 @@ def _attachments(parts: Column, ordinal: Column) -> Column:
     return F.filter(F.transform(F.coalesce(parts, F.array().cast(PARTS)), one), lambda a: F.coalesce(a["type"].isin(*UNIT_TOKENS), F.lit(False)))
 
 
-def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
-    """One row per conversation: conv, n_turns, formatted, loss_spans array<struct<start,length>>, attachments, expanded_tokens.
-
-    One shuffle by conversation serves the window and the grouping."""
+def segments(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
+    """One row per turn: conv, ordinal, role, segment (the formatted turn), start and length of its body, attached."""
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(parts).cast(PARTS).alias("parts"))
     order = W.partitionBy("conv").orderBy("turn", "role", "parts")
     rows = rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("bigint"))
     rows = rows.withColumn("head", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).withColumn("body", _visit(F.col("parts"), F.col("ordinal")))
     rows = rows.withColumn("segment", F.concat("head", "body", F.lit(END + "\n"))).withColumn("attached", _attachments(F.col("parts"), F.col("ordinal")))
     before = F.coalesce(F.sum(F.length("segment")).over(W.partitionBy("conv").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("start", (before + F.length("head")).cast("bigint"))
-    piece = F.struct("ordinal", "segment", "start", F.length("body").cast("bigint").alias("length"), (F.col("role") == "assistant").alias("loss"), "attached")
+    return rows.withColumn("start", (before + F.length("head")).cast("bigint")).withColumn("length", F.length("body").cast("bigint"))
+
+
+def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
+    """One row per conversation: conv, n_turns, formatted, loss_spans array<struct<start,length>>, attachments, expanded_tokens.
+
+    One shuffle by conversation serves the window and the grouping."""
+    rows = segments(turns, conv, turn, role, parts)
+    piece = F.struct("ordinal", "segment", "start", "length", (F.col("role") == "assistant").alias("loss"), "attached")
     out = rows.groupBy("conv").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     attached = F.flatten(F.transform("p", lambda x: x["attached"]))
     return out.select(
@@ -108,11 +120,12 @@ def read_loss(formatted: Column, spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int")))), "")
 
 
-def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "<|im_end|><|im_start|>assistant ok"
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = turns.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema))
-    made = format_chat(turns.withColumn("parts", text_parts(F.col("text"))))
+SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, expanded_tokens long"
+
+
+def summaries(turns: DataFrame) -> DataFrame:
+    """turns(conv_id, turn, role, parts) -> SCHEMA, by whole strings."""
+    made = format_chat(turns)
     made = made.withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_spans")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select(
@@ -126,6 +139,57 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streamed_summaries(turns: DataFrame) -> DataFrame:
+    """The same, by digests that go over the segments in order; holds a batch of turns at a time."""
+    made = segments(turns).withColumn("read", read_turns(F.col("segment"))[0])
+    tokens = F.aggregate("attached", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"])
+    rows = made.select("conv", "ordinal", "read.role", "read.text", (F.col("role") == "assistant").alias("loss"), F.length("segment").cast("bigint").alias("chars"), tokens.alias("tokens"))
+    rows = rows.repartition(parallelism(turns.sparkSession), "conv").sortWithinPartitions("conv", "ordinal")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None
+
+        def done() -> pa.RecordBatch:
+            row = [x.hexdigest() if hasattr(x, "hexdigest") else x for x in state]
+            return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+
+        for b in batches:
+            for conv, role, text, loss, chars, tokens in zip(*(column(b, c) for c in ("conv", "role", "text", "loss", "chars", "tokens")), strict=True):
+                if state is not None and state[0] != conv:
+                    yield done()
+                    state = None
+                if state is None:
+                    state = [conv, 0, sha256(), 0, sha256(), 0, 0]
+                state[1] += 1
+                state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                if loss:
+                    state[3] += len(text)
+                    state[4].update(text.encode("utf-8", "surrogatepass"))
+                state[5] += chars
+                state[6] += tokens
+        if state is not None:
+            yield done()
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema))
+    chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + F.coalesce(F.length("role"), F.lit(0)) + len(START + END) + 2)
+    # at most one large conversation per WHOLE characters of the table; only where there are any, a Python step is planned
+    large = turns.groupBy(F.col("conv_id").alias("large")).agg(chars.alias("chars")).filter(F.col("chars") > WHOLE).select("large")
+    turns = turns.withColumn("parts", text_parts(F.col("text")))
+    if large.isEmpty():
+        return summaries(turns)
+    same = F.col("conv_id").eqNullSafe(F.col("large"))
+    some = F.broadcast(large)
+    return summaries(turns.join(some, same, "left_anti")).unionByName(streamed_summaries(turns.join(some, same, "left_semi")))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -43,3 +43,15 @@ def test_query_has_the_added_conversation(spark, tmp_path):
     said = "<|im_end|><|im_start|>assistant ok"
     assert (r["conv_id"], r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (-1, 2, len(said), hashlib.sha256(said.encode()).hexdigest())
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_large_conversations_are_streamed(spark, tmp_path, monkeypatch):
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame([*ROWS, *((None, i, "assistant", f"é{i} & <|") for i in range(50))], schema).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = C.op8_chat_format(spark, str(tmp_path))
+    assert "MapInArrow" not in want._jdf.queryExecution().toString()
+    for whole in (0, 200, 100_000):
+        monkeypatch.setattr(C, "WHOLE", whole)
+        got = C.op8_chat_format(spark, str(tmp_path))
+        assert "MapInArrow" in got._jdf.queryExecution().toString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
