@@ -6,21 +6,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-DEEPEST = 64
+DEEPEST = 64  # after so many levels, and each time as many, it is asked whether they are more than the layers
 
 
 def levels(layers: DataFrame) -> DataFrame:
     """layers with depth, names (of the way from the root) and place (orders along the way, which sort in pre-order)."""
     level = layers.filter("parent_id IS NULL").withColumns({"depth": F.lit(0), "names": F.array("name"), "place": F.array("ord")})
-    out = level
-    for depth in range(1, DEEPEST):
+    out, depth = level, 0
+    while True:
+        depth += 1
         up = level.select(F.col("layer_id").alias("parent_id"), F.col("names").alias("_names"), F.col("place").alias("_place"))
-        level = layers.join(up, "parent_id").select(*layers.columns, F.lit(depth).alias("depth"), F.concat("_names", F.array("name")).alias("names"), F.concat("_place", F.array("ord")).alias("place"))
+        level = layers.join(up, "parent_id").select(*layers.columns, F.lit(depth).alias("depth"), F.concat("_names", F.array("name")).alias("names"), F.concat("_place", F.array("ord")).alias("place")).localCheckpoint()
         if level.isEmpty():
             return out
+        if depth % DEEPEST == 0 and depth > layers.count():
+            raise ValueError("layers that are their own ancestors")
         out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {DEEPEST}")
 
 
 def paths(layers: DataFrame, own_group: Column) -> DataFrame:
@@ -61,14 +64,13 @@ def visibility(name: Column, mode: str, before: Column) -> Column:
 
 def isolate(layers: DataFrame, wanted: int) -> DataFrame:
     """layer_id and visible: the wanted layer and its ancestors stay, all else is hidden."""
-    keep = layers.filter(F.col("layer_id") == wanted).select("layer_id", "parent_id")
-    up = keep
-    for _ in range(DEEPEST):
-        up = layers.join(F.broadcast(up.select(F.col("parent_id").alias("layer_id"))), "layer_id").select("layer_id", "parent_id")
-        if up.isEmpty():
-            break
-        keep = keep.unionByName(up)
-    kept = keep.select("layer_id", F.lit(True).alias("kept"))
+    keep, level = set(), [wanted]
+    while level:  # the ids of the way up come to the driver, a level at a time; circles end where they close
+        keep.update(level)
+        above = layers.filter(F.col("layer_id").isin(level) & F.col("parent_id").isNotNull()).select("parent_id").distinct().collect()
+        level = [r["parent_id"] for r in above if r["parent_id"] not in keep]
+    schema = StructType([StructField("layer_id", layers.schema["layer_id"].dataType)])
+    kept = layers.sparkSession.createDataFrame([(k,) for k in keep], schema).withColumn("kept", F.lit(True))
     return layers.join(F.broadcast(kept), "layer_id", "left").select("layer_id", F.coalesce("kept", F.lit(False)).alias("visible"))
 
 

@@ -235,6 +235,16 @@ def test_layers_of_odd_trees(spark):
     assert L.paths(spark.createDataFrame([], schema), ours).count() == 0
 
 
+def test_layers_of_deep_trees_and_circles(spark):
+    schema = "layer_id long, parent_id long, ord int, name string, kind string, visible boolean"
+    rows = [(i, i - 1 if i else None, 0, "g", "group" if i < 67 else "pixel", True) for i in range(68)]
+    df = spark.createDataFrame([*rows, (100, 0, 1, "z", "pixel", True)], schema).repartition(1)
+    assert {r["layer_id"] for r in L.isolate(df, 67).collect() if r["visible"]} == set(range(68))
+    assert {r["layer_id"]: len(r["path"].split(" / ")) for r in L.paths(df, F.lit(False)).collect()} == {67: 68, 100: 2}
+    circle = spark.createDataFrame([(1, 2, 0, "a", "group", True), (2, 1, 0, "b", "group", True), (3, None, 0, "c", "group", True)], schema)
+    assert sorted((r["layer_id"], r["visible"]) for r in L.isolate(circle, 1).collect()) == [(1, True), (2, True), (3, False)]
+
+
 def test_throttle_streams_like_the_batch(spark, tmp_path):
     rows = [(u, i, u * 7 + i * (40 + u * 13) % 1500 + i * 11, float(i)) for u in range(3) for i in range(60)]
     rows = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
