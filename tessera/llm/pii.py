@@ -1,19 +1,25 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
 Detected are mail addresses, phone numbers, payment cards (with a right check digit), social security numbers, IPv4 addresses,
-IBANs, access keys, secrets after a keyword, and names after titles: all capitalised words that follow, the last of them the
-surname. In a document with such a name its parts are replaced where they stand alone, too, by the same surrogates. An entity has
-parts (a mail address: mailbox and domain; a name: given names and surname), each of a type and a normal form, so spellings of one entity share their parts. A part's surrogate
-follows from a keyed hash of type, normal form and attempt, and has the type's format: as many digits and letters in the same
-places, a right card check digit, a given name of the title's gender, names in the part's own script, domains under the reserved
-`example`. A surrogate that another part of its type has too, or that is a real part, is made anew with the next attempt (later
-attempts may lengthen mailboxes, domains, names and secrets) until all are distinct and none is real. So equal entities get equal
+IBANs, access keys, secrets after a keyword, and names: all capitalised words that follow a title or a phrase of INTRODUCTION, the
+last of them the surname. In a document with such a name its parts are replaced where they stand alone, too, by the same
+surrogates. An entity has parts (a mail address: mailbox and domain; a name: given names and surname), each of a type and a normal
+form, so spellings of one entity share their parts.
+
+A part's surrogate follows from a keyed hash of type, normal form and attempt, and has the type's format: as many digits and
+letters in the same places, the right check digits of cards and IBANs, a given name of the title's gender, names in the part's own
+script, domains under the reserved `example`. A surrogate that another part of its type has too, or that is a real part, is made
+anew with the next attempt until all are distinct and none is real; only such parts go through the next round. Later attempts
+lengthen mailboxes, domains, names and secrets by ever more characters, so their number has no bound. So equal entities get equal
 surrogates in all documents, and different ones different surrogates.
 
-Only documents with an entity are shuffled; a document gathers its own distinct entities and nothing larger.
+Every text is searched once, and the table is written once with what was found. Only documents with an entity are shuffled; a
+document gathers its own distinct entities and nothing larger. No pattern recurses by the length of a text, so texts of any
+length take linear time and a bounded stack.
 
-Defined results: a run of bare names counts as one entity; names that stand after no title in their document stay; a null text stays null with 0 entities; a text without entities is unchanged; repeated rows stay; all columns of
-the input are returned, whatever their names; an empty table gives an empty result.
+Defined results: a run of bare names counts as one entity; names that follow neither title nor introduction in their document stay;
+a mail address has at most 127 labels of 63 characters after its @; a null text stays null with 0 entities; a text without entities
+is unchanged; repeated rows stay; all columns of the input are returned, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-KEY = "tessera-surrogates"
-ATTEMPTS = 40
-# Titles by the gender they tell, and patterns of entities. No pattern can start inside a run it could have started before, so long runs take linear time.
+#: The key of the registered query and of the pipeline where the session names none.
+QUERY_KEY = "tessera-surrogates"
+KEY_SETTING = "spark.tessera.surrogateKey"
+ATTEMPTS = 60
+# Titles by the gender they tell, phrases before a name, and patterns of entities. No pattern can start inside a run it
+# could have started before, so long runs take linear time; repeated groups are possessive or bounded, so the stack is bounded too.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "n": ["Dr", "Prof"]}
+INTRODUCTION = "(?:[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Мм]еня зовут)"
 TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + r")\.?"
 # A capitalised word of a name, of two characters or more, without a genitive's 's, and not itself a title.
 WORD = r"\p{Lu}(?=[\p{L}'’-])\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
@@ -36,16 +46,18 @@ KEYWORD = r"(?i:token|secret|password|passwd|pwd|api_?key)\s{0,2}[=:]\s{0,2}[\"'
 PATTERNS = {
     "secret": rf"(?<![A-Za-z]){KEYWORD}[A-Za-z0-9_+/.-]{{8,}}",
     "access": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "name": rf"(?<!\p{{L}})(?:(?:{TITLE} )++{NAME}(?: {NAME})*+|{TITLE} {WORD})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,63}",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLE} ){{1,8}}+{NAME}(?: {NAME})*+|{TITLE} {WORD}|{INTRODUCTION} {NAME}(?: {NAME})*+)",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
+    "phone": r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])"
+    r"|(?<![0-9])\([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAYBE = rf"[0-9@=:]|AKIA|{TITLE} \p{{Lu}}"  # every entity has one of these
+MAYBE = rf"[0-9@=:]|AKIA|{TITLE} \p{{Lu}}|{INTRODUCTION} \p{{Lu}}"  # every entity has one of these
 BARE = rf"(?<!\p{{L}}){WORD}"
 SYLLABLES = {
     "latin": ["ba", "re", "mi", "to", "lu", "ka", "ne", "si", "do", "ru", "va", "le", "ni", "po", "gu", "ha"],
@@ -63,6 +75,22 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), add), F.lit(0), lambda a, x: a + x)
 
 
+def iban_check(country: Column, account: Column) -> Column:
+    """The two check digits of an IBAN: 98 less the remainder modulo 97 of account, country and two noughts, letters as 10 to 35."""
+
+    def add(rest: Column, c: Column) -> Column:
+        letter = F.ascii(c) - 55
+        return F.when(c.between("0", "9"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + letter) % 97).cast("int")
+
+    signs = F.filter(F.split(F.concat(account, country, F.lit("00")), ""), lambda c: c != "")
+    return F.lpad((98 - F.aggregate(signs, F.lit(0), add)).cast("string"), 2, "0")
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key; the registered query and the pipeline fall back on a fixed one, so their results can be repeated."""
+    return spark.conf.get(KEY_SETTING, QUERY_KEY)
+
+
 def _only(c: Column, kept: str) -> Column:
     return F.regexp_replace(c, f"[^{kept}]", "")
 
@@ -85,7 +113,7 @@ def _part(kind: Column | str, norm: Column) -> Column:
 def parts_of(kind: Column, raw: Column) -> Column:
     """array<struct<type,norm>>."""
     low = F.lower(raw)
-    title = F.regexp_extract(raw, f"^((?:{TITLE} )+)", 1)
+    title = F.regexp_extract(raw, f"^((?:{TITLE} )+|{INTRODUCTION} )", 1)
     names = F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), " ")
     gender = F.lit("n")
     for g in ("m", "f"):
@@ -103,10 +131,13 @@ def parts_of(kind: Column, raw: Column) -> Column:
 
 
 def surrogate_of(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a part, from the hash of key, type, normal form and attempt."""
+    """The surrogate of a part, from the hash of key, type, normal form and attempt, which is computed once."""
     seed = F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string"))
     noise = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\u0001{k}")), 256) for k in range(4)])
+    return _let(noise, lambda n: _from_noise(n, kind, norm, attempt))
 
+
+def _from_noise(noise: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     def number(i: Column) -> Column:
         return F.conv(F.substring(noise, 3 * (i % 85) + 1, F.lit(3)), 16, 10).cast("int")
 
@@ -117,7 +148,8 @@ def surrogate_of(kind: Column, norm: Column, attempt: Column, key: str) -> Colum
         """Digits for digits and letters for letters, but for the first ones."""
 
         def one(c: Column, i: Column) -> Column:
-            return F.when(i < fixed, c).when(c.between("0", "9"), pick("0123456789", i)).when(c.between("a", "z"), pick(letters, i)).when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c)
+            new = F.when(i < fixed, c).when(c.between("0", "9"), pick("0123456789", i)).when(c.between("a", "z"), pick(letters, i))
+            return new.when(c.between("A", "Z"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", i)).otherwise(c)
 
         return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
 
@@ -125,13 +157,17 @@ def surrogate_of(kind: Column, norm: Column, attempt: Column, key: str) -> Colum
     card = F.concat(like(F.substring(norm, F.lit(1), F.length(norm) - 1), 1), F.lit("0"))
     check = ((10 - _luhn_sum(card) % 10) % 10).cast("string")
     octets = F.array_join(F.array(*[(1 + (number(F.lit(2 * k)) + 16 * number(F.lit(2 * k + 1))) % 254).cast("string") for k in range(4)]), ".")
+    country, account = F.substring(norm, 1, 2), like(F.substring(norm, F.lit(5), F.length(norm)))
     domain = F.regexp_replace(like(norm), r"[^.]+$", "example")
     script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
     def name(alphabet: str) -> Column:
         sounds = F.array(*map(F.lit, SYLLABLES[alphabet]))
-        body = F.concat(*[F.element_at(sounds, number(F.lit(k)) % 16 + 1) for k in range(3)], F.when(attempt > 2, F.element_at(sounds, number(F.lit(3)) % 16 + 1)).otherwise(""), F.when(attempt > 5, F.element_at(sounds, number(F.lit(4)) % 16 + 1)).otherwise(""))
-        ending = F.when(kind == "given-m", ENDINGS[alphabet]["m"]).when(kind == "given-f", ENDINGS[alphabet]["f"]).when(kind == "given-n", ENDINGS[alphabet]["n"]).otherwise("")
+        many = F.lit(3) + F.greatest(attempt - 2, F.lit(0))
+        body = F.array_join(F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.element_at(sounds, number(k) % 16 + 1)), "")
+        ending = F.lit("")
+        for g, e in ENDINGS[alphabet].items():
+            ending = F.when(kind == f"given-{g}", e).otherwise(ending)
         return F.lower(F.concat(body, ending))
 
     return (
@@ -140,10 +176,10 @@ def surrogate_of(kind: Column, norm: Column, attempt: Column, key: str) -> Colum
         .when(kind == "phone", F.when(F.length(norm) > 10, like(norm, 1)).otherwise(like(norm)))
         .when(kind == "card", F.concat(F.substring(card, F.lit(1), F.length(card) - 1), check))
         .when(kind == "ipv4", octets)
-        .when(kind == "iban", like(norm, 2))
+        .when(kind == "iban", _let(F.struct(country.alias("c"), account.alias("a")), lambda x: F.concat(x["c"], iban_check(x["c"], x["a"]), x["a"])))
         .when(kind == "access", like(norm, 4))
         .when(kind == "secret", F.concat(F.when(norm.rlike("^[0-9a-f]+$"), like(norm, letters="abcdef")).otherwise(like(norm)), more))
-        .when(kind.isin("surname", "given-m", "given-f", "given-n"), F.when(script == "cyrillic", name("cyrillic")).when(script == "greek", name("greek")).otherwise(name("latin")))
+        .when(kind.isin("surname", *(f"given-{g}" for g in TITLES)), F.when(script == "cyrillic", name("cyrillic")).when(script == "greek", name("greek")).otherwise(name("latin")))
         .otherwise(like(norm))
     )
 
@@ -158,7 +194,7 @@ def laid_out(kind: Column, raw: Column, s: Column) -> Column:
 
     return (
         F.when(kind == "email", F.concat(first, F.lit("@"), F.element_at(s, -1)))
-        .when(kind == "name", F.concat(F.regexp_extract(raw, f"^(?:{TITLE} )+", 0), F.array_join(F.transform(s, F.initcap), " ")))
+        .when(kind == "name", F.concat(F.regexp_extract(raw, f"^(?:(?:{TITLE} )+|{INTRODUCTION} )", 0), F.array_join(F.transform(s, F.initcap), " ")))
         .when(kind.isin("phone", "card", "ssn"), flow("0-9"))
         .when(kind == "iban", flow("A-Z0-9"))
         .when(kind == "secret", F.concat(F.regexp_extract(raw, f"^{KEYWORD}", 0), first))
@@ -167,18 +203,28 @@ def laid_out(kind: Column, raw: Column, s: Column) -> Column:
 
 
 def distinct_surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """parts(type, norm), distinct -> type, norm, s: no two of a type alike, none a real part of its type."""
-    tried = parts.withColumn("attempt", F.lit(0))
-    for _ in range(ATTEMPTS):
-        made = materialize(tried.select("type", "norm", "attempt", surrogate_of(F.col("type"), F.col("norm"), F.col("attempt"), key).alias("s")), "surrogates")
-        owner = made.groupBy("type", "s").agg(F.min(F.struct("attempt", "norm")).alias("o"), F.count("*").alias("n")).filter("n > 1").select("type", "s", F.col("o.norm").alias("owner"))
-        real = made.select("type", F.col("norm").alias("s"), F.lit(True).alias("real"))
-        judged = made.join(owner, ["type", "s"], "left").join(real, ["type", "s"], "left")
-        bad = F.coalesce(F.col("owner") != F.col("norm"), F.lit(False)) | F.col("real").isNotNull()
-        judged = materialize(judged.select("type", "norm", (F.col("attempt") + bad.cast("int")).alias("attempt"), "s", bad.alias("bad")), "judged")
-        if judged.filter("bad").isEmpty():
-            return judged.select("type", "norm", "s")
-        tried = judged.select("type", "norm", "attempt")
+    """parts(type, norm), distinct -> type, norm, s: no two of a type alike, none a real part of its type.
+
+    A surrogate settled in an earlier round keeps its owner; of equal ones of a round the least normal form keeps it. The others
+    alone go on to the next round."""
+    real = parts.select("type", F.col("norm").alias("s"), F.lit(True).alias("real"))
+    settled: DataFrame | None = None
+    tried = parts
+    for attempt in range(ATTEMPTS):
+        made = tried.select("type", "norm", surrogate_of(F.col("type"), F.col("norm"), F.lit(attempt), key).alias("s"))
+        made = materialize(made, "surrogates")
+        taken = made.groupBy("type", "s").agg(F.min("norm").alias("owner"))
+        judged = made.join(taken, ["type", "s"]).join(real, ["type", "s"], "left")
+        bad = (F.col("owner") != F.col("norm")) | F.col("real").isNotNull()
+        if settled is not None:
+            judged = judged.join(settled.select("type", "s", F.lit(True).alias("used")), ["type", "s"], "left")
+            bad = bad | F.col("used").isNotNull()
+        judged = materialize(judged.select("type", "norm", "s", bad.alias("bad")), "judged")
+        good = judged.filter("NOT bad").select("type", "norm", "s")
+        settled = good if settled is None else settled.unionByName(good)
+        tried = judged.filter("bad").select("type", "norm")
+        if tried.isEmpty():
+            return settled
     raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
@@ -210,37 +256,47 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def replace_entities(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with its text column rewritten, as struct column `row`, and n_entities and kinds (sorted, comma-joined)."""
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
     body = F.col("row").getField(text)
-    suspect = F.coalesce(body.rlike(MAYBE) & body.rlike(ANY), F.lit(False))
-    clean = whole.filter(~suspect).select("row", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
-    dirty = whole.filter(F.coalesce(body.rlike(MAYBE), F.lit(False))).withColumn("found", F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).filter(F.size("found") > 0)
-    dirty = materialize(dirty.withColumn("at", F.monotonically_increasing_id()), "dirty")
-    met = dirty.select("at", F.explode(F.array_distinct("found")).alias("raw"))
+    found = F.when(F.coalesce(body.rlike(MAYBE), F.lit(False)), F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    searched = materialize(whole.select("row", F.monotonically_increasing_id().alias("at"), F.coalesce(found, F.array().cast("array<string>")).alias("found")), "searched")
+    clean = searched.filter(F.size("found") == 0).select("row", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    dirty = searched.filter(F.size("found") > 0)
+    met = dirty.select("at", F.posexplode("found").alias("place", "raw"))
     known = met.select("raw").distinct().withColumn("kind", kind_of(F.col("raw"))).filter("kind IS NOT NULL")
     known = materialize(known.withColumn("parts", parts_of(F.col("kind"), F.col("raw"))), "entities")
     each = known.select("raw", "kind", F.posexplode("parts").alias("pos", "part")).select("raw", "kind", "pos", "part.type", "part.norm")
-    chosen = distinct_surrogates(each.select("type", "norm").distinct(), key)
+    chosen = distinct_surrogates(materialize(each.select("type", "norm").distinct(), "parts"), key)
     spelled = each.join(chosen, ["type", "norm"]).groupBy("raw", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "norm", "s"))).alias("p"))
-    named = F.when(F.col("kind") == "name", F.transform("p", lambda x: F.struct(x["norm"].alias("norm"), (x["type"] != "surname").alias("given"), x["type"].alias("type"), x["s"].alias("s"))))
+    name_part = lambda x: F.struct(x["norm"].alias("norm"), (x["type"] != "surname").alias("given"), x["type"].alias("type"), x["s"].alias("s"))
+    named = F.when(F.col("kind") == "name", F.transform("p", name_part))
     spelled = spelled.select("raw", "kind", laid_out(F.col("kind"), F.col("raw"), F.col("p.s")).alias("new"), named.alias("named"))
-    own = met.join(spelled, "raw").groupBy("at").agg(F.collect_list(F.struct("raw", "new")).alias("pairs"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.array_sort(F.flatten(F.collect_list("named"))).alias("named"))
+    # a document gathers what stands at each place of its own, in order: digits that are no card stay themselves
+    own = met.join(spelled, "raw", "left").withColumn("new", F.coalesce("new", "raw")).groupBy("at")
+    own = own.agg(
+        F.array_sort(F.collect_list(F.struct("place", "new"))).alias("put"),
+        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("named")))).alias("named"),
+        F.count("kind").alias("n_found"),
+    )
     # a word that is both a surname and a given name in a document is taken for the surname
     first = F.filter("named", lambda x, i: (i == 0) | (x["norm"] != F.get("named", i - 1)["norm"]))
     names = F.map_from_entries(F.transform(first, lambda x: F.struct(x["norm"], x["s"])))
-    both = dirty.join(own.withColumn("names", names), "at", "left").withColumn("news", F.map_from_entries("pairs")).withColumn("gaps", F.split(body, ANY, -1))
+    both = dirty.join(own.withColumn("names", names), "at")
+    both = both.withColumn("gaps", F.split(body, ANY, -1))
     plain = F.transform("gaps", lambda g: F.struct(g.alias("text"), F.lit(0).alias("n")))
     both = both.withColumn("gaps", F.when(F.size("names") > 0, F.transform("gaps", lambda g: _bare(g, F.col("names")))).otherwise(plain))
-    put = F.transform("found", lambda e: F.coalesce(F.col("news")[e], e))
-    rebuilt = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("gaps.text", 1, F.size("found")).alias("g"), put.alias("e")), lambda z: F.concat(z["g"], z["e"])), ""), F.element_at("gaps.text", -1))
-    changed = both.withColumn("rebuilt", F.when(F.col("pairs").isNull(), body).otherwise(rebuilt))
-    n = (F.coalesce(F.size(F.filter("found", lambda e: F.col("news")[e].isNotNull())), F.lit(0)) + F.aggregate("gaps.n", F.lit(0), lambda a, x: a + x)).cast("long")
+    couples = F.arrays_zip(F.slice("gaps.text", 1, F.size("found")).alias("g"), F.transform("put", lambda x: x["new"]).alias("e"))
+    rebuilt = F.concat(F.array_join(F.transform(couples, lambda z: F.concat(z["g"], z["e"])), ""), F.element_at("gaps.text", -1))
+    changed = both.withColumn("rebuilt", F.when(F.col("kinds") == "", body).otherwise(rebuilt))
+    n = (F.col("n_found") + F.aggregate("gaps.n", F.lit(0), lambda a, x: a + x)).cast("long")
     fields = [(F.col("rebuilt") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
-    changed = changed.select(F.struct(*fields).alias("row"), F.greatest(n, F.lit(0)).alias("n_entities"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+    changed = changed.select(F.struct(*fields).alias("row"), n.alias("n_entities"), "kinds")
     return clean.unionByName(changed)
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "row.text", "n_entities", "kinds")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, surrogate_key(spark)).select("row.doc_id", "row.text", "n_entities", "kinds")
