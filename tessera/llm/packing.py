@@ -3,23 +3,30 @@
 A document's ids are those of the tokenizer file plus END; only a document of over CAPACITY ids is cut, into pieces of CAPACITY
 from its end, so that the first piece may be shorter. Full pieces are sequences of their own. All other pieces are dealt by a
 hash into blocks of about BLOCK items, each of which is bred on ISLANDS islands: an island is one row that holds the block's item
-sizes and a few packings, and evolves by itself. Crossover injects whole well-filled bins of one packing into another, dissolves
-the bins that held the same items, and puts the displaced items by best fit, largest first. Between rounds the best packing of
-each island moves to the next island of its block.
+sizes and a few packings, and evolves by itself. Its founders are best fits of disturbed orders. Crossover injects whole
+well-filled bins of one packing into another, dissolves the bins that held the same items, and puts the displaced items by best
+fit, largest first; mutation does so with the emptiest bins. Between rounds the best packing of each island moves to the next
+island of its block. All generations run unless a packing is the best there can be: as few bins as the sizes allow, all but one
+of them full.
 
 Bins with at most SLACK free places are kept; the items of the others go to the next level, in fewer blocks, until they fit into
-one block or hardly shrink any more. So a task holds one block, of a bounded number of items, whatever the input's size.
+one block, or until nine tenths of them come back, as happens where sizes do not fit together. Then each block is packed on its
+own. So a task holds one block, of a bounded number of items, whatever the input's size, and every level but the last wastes at
+most SLACK places a sequence.
 
 Defined results: a null text is empty and is one piece of the id END; repeated rows are packed each; an empty table gives an
-empty result; extra columns are ignored; equal sizes are broken by item number, so a run can be repeated.
+empty result; extra columns are ignored; equal sizes are broken by item number, so a run can be repeated. Texts of any length are
+encoded whole; long runs of white space are cut out first, where the split pattern cuts too, as its engine keeps a stack of them.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +38,44 @@ from .bpe import PATTERN, byte_letters, tokenizer_path
 from .common import column, materialize, parallelism, table
 
 CAPACITY, END = 2048, 0
-BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 2, 2, 6, 4, 2
-LEVELS = 12
+BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 3, 3, 8, 6, 2
+LONG = 1000
+# Fixed value: the characters that the split pattern takes for white space.
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = re.compile(f"{WHITE}{{{LONG},}}")
 
 
-def encoding(path: str) -> tiktoken.Encoding:
+class Encoder:
     """The tokenizer file as a rank encoder: the same ids, faster. Refuses files whose merge order is not their id order."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    letters, ids = byte_letters(), spec["model"]["vocab"]
-    merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-    if merged != sorted(merged):
-        raise ValueError(f"{path}: ids do not follow the merges")
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={bytes(letters[c] for c in t): i for t, i in ids.items()}, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters, ids = byte_letters(), spec["model"]["vocab"]
+        merged = [ids["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError(f"{path}: ids do not follow the merges")
+        self.ranks = {bytes(letters[c] for c in t): i for t, i in ids.items()}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.split = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
+        self.whole: tiktoken.Encoding | None = None  # takes a text for one word; made when a long run is met
+
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Stretches of the text, and whether each is a long run of white space. A run's last character belongs to what follows, but before a special token or the end."""
+        at = 0
+        for m in LONG_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(tuple(self.special), m.end()) else m.end() - 1
+            yield text[at : m.start()], False
+            yield text[m.start() : end], True
+            at = end
+        yield text[at:], False
+
+    def ids(self, text: str) -> np.ndarray:
+        if not LONG_RUN.search(text):
+            return self.split.encode_to_numpy(text, allowed_special="all")
+        if self.whole is None:
+            self.whole = tiktoken.Encoding("whole", pat_str="(?s).+", mergeable_ranks=self.ranks, special_tokens={})
+        return np.concatenate([self.whole.encode_to_numpy(t) if run else self.split.encode_to_numpy(t, allowed_special="all") for t, run in self._parts(text)])
 
 
 def cut(docs: DataFrame, path: str) -> DataFrame:
@@ -51,11 +83,11 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_to_numpy
+        encoder = Encoder(path)
         for b in batches:
             out = []
             for doc, text in zip(column(b, "doc_id"), column(b, "text"), strict=True):
-                ids = np.append(encode(text or "", allowed_special="all"), END).astype("<u4")
+                ids = np.append(encoder.ids(text or ""), END).astype("<u4")
                 at = 0
                 for piece in range(-(-len(ids) // CAPACITY)):
                     to = len(ids) - (-(-len(ids) // CAPACITY) - 1 - piece) * CAPACITY
@@ -144,34 +176,50 @@ def mutate(a: Packing, sizes: list[int], rng: random.Random) -> Packing:
 
 
 def founders(sizes: list[int], rng: random.Random) -> list[Packing]:
-    """Best fit of items in falling order, and in disturbed falling orders."""
+    """Best fits of disturbed falling orders."""
     items = list(range(len(sizes)))
-    orders = [largest_first(items, sizes)] + [sorted(items, key=lambda i: -sizes[i] * rng.uniform(0.7, 1)) for _ in range(POPULATION - 1)]
     out = []
-    for order in orders:
+    for _ in range(POPULATION):
         made = Bins(sizes)
-        made.best_fit(order)
+        made.best_fit(sorted(items, key=lambda i: -sizes[i] * rng.uniform(0.7, 1)))
         out.append(made.bins)
     return out
 
 
-def evolve(sizes: list[int], packings: list[Packing], seed: int) -> list[Packing]:
-    """GENERATIONS of an island; the best packing comes first and is never lost. Ends early where no packing could have fewer or fuller bins."""
-    rng = random.Random(seed)
-    packings = packings or founders(sizes, rng)
-    rank = lambda p: fitness(p, sizes)
-    packings.sort(key=rank, reverse=True)
-    least = -(-sum(sizes) // CAPACITY)
+def perfect(sizes: list[int]) -> tuple[int, float]:
+    """A fitness that no packing exceeds: as few bins as the sum allows, all but one of them full."""
+    total = sum(sizes)
+    return -(-(-total // CAPACITY)), total // CAPACITY * CAPACITY**2 + (total % CAPACITY) ** 2
+
+
+@dataclass
+class Bred:
+    """What happened on an island: generations, children of crossovers, those of them that displaced another packing."""
+
+    generations: int = 0
+    crossovers: int = 0
+    survivors: int = 0
+
+
+def evolve(sizes: list[int], packings: list[Packing], seed: int) -> tuple[list[Packing], Bred]:
+    """GENERATIONS of an island; the best packing comes first and is never lost. Ends early only at a packing that none could exceed."""
+    rng, bred, best = random.Random(seed), Bred(), perfect(sizes)
+    ranked = sorted(((fitness(p, sizes), k, p) for k, p in enumerate(packings or founders(sizes, rng))), key=lambda x: x[0], reverse=True)
     for _ in range(GENERATIONS):
-        if len(packings[0]) <= least:
+        if ranked[0][0] >= best:
             break
-        a, b = rng.sample(packings, 2) if len(packings) > 1 else packings * 2
-        child = crossover(a, b, sizes, rng)
-        packings = sorted([*packings, child, mutate(packings[0], sizes, rng)], key=rank, reverse=True)[:POPULATION]
-    return packings
+        a, b = rng.sample(ranked, 2) if len(ranked) > 1 else ranked * 2
+        made = [crossover(a[2], b[2], sizes, rng), mutate(ranked[0][2], sizes, rng)]
+        fresh = [(fitness(p, sizes), -1 - k, p) for k, p in enumerate(made)]
+        ranked = sorted([*ranked, *fresh], key=lambda x: x[0], reverse=True)[:POPULATION]
+        bred.generations += 1
+        bred.crossovers += 1
+        bred.survivors += any(x is fresh[0] for x in ranked)
+    return [p for _, _, p in ranked], bred
 
 
-ISLAND = "block long, island int, items array<long>, sizes array<int>, packings array<array<int>>"
+BRED = ("generations", "crossovers", "survivors", "migrations")
+ISLAND = "block long, island int, items array<long>, sizes array<int>, packings array<array<int>>, " + ", ".join(f"{c} int" for c in BRED)
 
 
 def to_numbers(packing: Packing, n: int) -> list[int]:
@@ -193,8 +241,10 @@ def _round(islands: DataFrame, number: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                bred = evolve(row["sizes"], [to_bins(p) for p in row["packings"]], row["block"] * 1009 + row["island"] * 31 + number)
-                row["packings"] = [to_numbers(p, len(row["sizes"])) for p in bred]
+                packings, bred = evolve(row["sizes"], [to_bins(p) for p in row["packings"]], row["block"] * 1009 + row["island"] * 31 + number)
+                row["packings"] = [to_numbers(p, len(row["sizes"])) for p in packings]
+                for c in BRED[:3]:
+                    row[c] += getattr(bred, c)
                 yield pa.RecordBatch.from_pylist([row], schema=b.schema)
 
     return islands.mapInArrow(run, ISLAND)
@@ -204,11 +254,13 @@ def _migrate(islands: DataFrame) -> DataFrame:
     """The first packing of each island takes the place of the last of the next island."""
     elite = islands.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.element_at("packings", 1).alias("elite"))
     kept = F.slice("packings", 1, F.greatest(F.lit(1), F.least(F.size("packings"), F.lit(POPULATION - 1))))
-    return islands.join(elite, ["block", "island"]).select("block", "island", "items", "sizes", F.concat(kept, F.array("elite")).alias("packings"))
+    moved = islands.join(elite, ["block", "island"])
+    return moved.select("block", "island", "items", "sizes", F.concat(kept, F.array("elite")).alias("packings"), *BRED[:3], (F.col("migrations") + 1).alias("migrations"))
 
 
 def _bins_of(best: DataFrame) -> DataFrame:
-    """Rows of the best packing: item, size, block, bin, offset, free."""
+    """Rows of the best packing: item, size, block, bin, offset, free, and the block's BRED."""
+    columns = "item long, size int, block long, bin long, offset long, free int, " + ", ".join(f"{c} int" for c in BRED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,47 +269,51 @@ def _bins_of(best: DataFrame) -> DataFrame:
                 for k, members in enumerate(to_bins(row["packing"])):
                     at, free = 0, CAPACITY - sum(row["sizes"][i] for i in members)
                     for i in members:
-                        out.append((row["items"][i], row["sizes"][i], row["block"], k, at, free))
+                        out.append((row["items"][i], row["sizes"][i], row["block"], k, at, free, *(row[c] for c in BRED)))
                         at += row["sizes"][i]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.record_batch([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["item", "size", "block", "bin", "offset", "free"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * (1 + len(BRED)))
+                yield pa.record_batch([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in columns.split(", ")])
 
-    return best.mapInArrow(run, "item long, size int, block long, bin long, offset long, free int")
+    return best.mapInArrow(run, columns)
 
 
 def pack_level(items: DataFrame, blocks: int, salt: int) -> DataFrame:
-    """items(item, size) -> item, size, block, bin, offset, free. One row of a block's items is at most some thousand numbers."""
+    """items(item, size) -> item, size, block, bin, offset, free, BRED. One row of a block's items is at most some thousand numbers."""
     dealt = items.select(F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(blocks)).alias("block"), F.struct("item", "size").alias("x"))
     rows = dealt.groupBy("block").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    islands = rows.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.item").alias("items"), F.col("x.size").alias("sizes"), F.array().cast("array<array<int>>").alias("packings"))
+    islands = rows.select(
+        "block",
+        F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"),
+        F.col("x.item").alias("items"),
+        F.col("x.size").alias("sizes"),
+        F.array().cast("array<array<int>>").alias("packings"),
+        *[F.lit(0).alias(c) for c in BRED],
+    )
     for number in range(ROUNDS):
         # a given number of partitions, as small rows stand for long work
         ready = _migrate(materialize(islands, "islands")) if number else islands
         islands = _round(ready.repartition(parallelism(items.sparkSession), "block", "island"), number)
     first = F.element_at("packings", 1)
-    bred = islands.select("block", "items", "sizes", first.alias("packing"), (-F.array_max(first)).alias("fit"))
-    best = bred.groupBy("block").agg(F.max_by(F.struct("items", "sizes", "packing"), "fit").alias("b")).select("block", "b.*")
-    return _bins_of(best)
+    bred = islands.select("block", "items", "sizes", first.alias("packing"), F.array_max(first).alias("bins"), *BRED)
+    best = bred.groupBy("block").agg(F.min_by(F.struct("items", "sizes", "packing"), "bins").alias("b"), *[F.sum(c).cast("int").alias(c) for c in BRED])
+    return _bins_of(best.select("block", "b.*", *BRED))
 
 
 def pack(pieces: DataFrame) -> DataFrame:
-    """pieces(item, length) with distinct items -> item, sequence_id, offset. Lengths are 1 to CAPACITY."""
-    full = pieces.filter(F.col("length") == CAPACITY).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    """pieces(item, length) with distinct items -> item, sequence_id, offset, and BRED of the block that placed it (0 for full pieces). Lengths are 1 to CAPACITY."""
+    none = [F.lit(0).alias(c) for c in BRED]
+    full = pieces.filter(F.col("length") == CAPACITY).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *none)
     left, done = pieces.filter(F.col("length") < CAPACITY).select("item", F.col("length").cast("int").alias("size")), [full]
-    n = left.count()
-    for level in range(LEVELS):
-        if n == 0:
-            break
+    n, level = left.count(), 0
+    while n:
         blocks = -(-n // BLOCK)
         made = materialize(pack_level(left, blocks, level), "packed")
         open_ = made.filter(F.col("free") > SLACK)
-        more = open_.count() if blocks > 1 and level < LEVELS - 1 else 0
+        more = open_.count() if blocks > 1 else 0
         last = more == 0 or more > n * 9 // 10
-        number = F.lit(level << 56) + F.shiftleft(F.col("block"), 16) + F.col("bin")
-        done.append((made if last else made.filter(F.col("free") <= SLACK)).select("item", number.alias("sequence_id"), "offset"))
-        if last:
-            break
-        left, n = open_.select("item", "size"), more
+        number = F.shiftleft(F.lit(level).cast("long"), 44) + F.shiftleft(F.col("block"), 16) + F.col("bin")
+        done.append((made if last else made.filter(F.col("free") <= SLACK)).select("item", number.alias("sequence_id"), "offset", *BRED))
+        left, n, level = open_.select("item", "size"), 0 if last else more, level + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -265,7 +321,7 @@ def pack(pieces: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset, BRED."""
     pieces = materialize(cut(docs, path).withColumn("item", F.monotonically_increasing_id()), "pieces")
     return pieces.join(pack(pieces), "item").drop("item")
 

@@ -65,12 +65,46 @@ def test_many_blocks_and_levels(spark, monkeypatch):
 
 def test_breeding_never_loses_an_item():
     rng = P.random.Random(5)
-    sizes = [rng.randint(1, 2047) for _ in range(400)]
+    sizes = [rng.randint(1, 900) for _ in range(400)]
     found = P.founders(sizes, rng)
     child = P.mutate(P.crossover(found[0], found[1], sizes, rng), sizes, rng)
     assert sorted(i for b in child for i in b) == list(range(400))
-    best = P.evolve(sizes, [], 1)[0]
-    assert P.fitness(best, sizes) >= max(P.fitness(p, sizes) for p in found[:1])
+    (best, *_), bred = P.evolve(sizes, found, 1)
+    assert P.fitness(best, sizes) > max(P.fitness(p, sizes) for p in found)
+    assert bred.generations == bred.crossovers == P.GENERATIONS and 0 < bred.survivors <= bred.crossovers
+    assert P.fitness(best, sizes) <= P.perfect(sizes)
+
+
+def test_evolution_ends_early_only_at_the_best():
+    rng = P.random.Random(1)
+    for sizes in ([2047, 1] * 9 + [5], [1024] * 10, [100]):
+        ((best, *_), bred) = P.evolve(sizes, [], 3)
+        assert P.fitness(best, sizes) == P.perfect(sizes) and bred.generations < P.GENERATIONS
+    assert P.evolve([rng.randint(900, 1100) for _ in range(99)], [], 3)[1].generations == P.GENERATIONS
+
+
+@pytest.mark.parametrize("n", [999, 1000, 100_001])
+def test_long_runs_of_white_space(n):
+    encoder = P.Encoder(tokenizer_path())
+    end = "<|endoftext|>"
+    for run in (" " * n, "\n" * n, "\u3000" * n, " \n\t" * n, "\x1c" * n, "\x85 " * n):
+        for t in (run, run + "a", "a" + run, f"a{run}b{run}c", run + "1", run + "!", run + end, end + run + end + "x", run + "\x00" + run, run + "é"):
+            assert encoder.ids(t).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, (n, t[:3], t[-3:])
+
+
+@pytest.mark.parametrize("text", ["\n" * 10_000_000 + "a", " " * 10_000_000 + "a", "a." * 500_000, "7" * 1_000_000, "A1B2 " * 200_000, "é" * 1_000_000, "ab" * 500_000, "! " * 500_000])
+def test_very_long_texts(text):
+    ids = P.Encoder(tokenizer_path()).ids(text).tolist()
+    assert b"".join(LIBRARY.id_to_token(i).encode() for i in ids[:100])
+    assert LIBRARY.decode(ids[:5000]) == text[: len(LIBRARY.decode(ids[:5000]))]
+    if len(text) <= 1_000_001:
+        assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_the_query_is_bred_on_islands(spark):
+    rows = P.op2_pack_genetic(spark, "/root/testdata/sf0.001").filter("length < 2048").collect()
+    assert all(r["generations"] > 0 and r["crossovers"] > 0 and r["survivors"] > 0 for r in rows)
+    assert all(r["migrations"] == P.ISLANDS * (P.ROUNDS - 1) for r in rows)
 
 
 def test_empty_table(spark):
