@@ -1,16 +1,24 @@
 """Document fingerprints of improbable features.
 
-A feature is a window of a text's UTF-8 bytes (32 bytes; 8 or 1 in short texts, see WINDOWS). Its entropy is put in one of 1024
-steps, and how many windows of all documents fall into each step is counted; a step's rank is its place by rarity, rarest first.
+A feature is a window of a text's UTF-8 bytes, of one of the lengths in SCALES. Its entropy is put in one of 1024 steps, and how
+many windows of all documents fall into each step is counted, for each length; a step's rank is its place by rarity, rarest first.
 In each run of NEAR windows the leftmost one of lowest rank gets a vote; windows of at least VOTES votes are features of the
-document. A text none of whose windows has them keeps all its windows if it is too short for a vote, and else the rarest quarter
-with all windows that tie with its last, so no feature is chosen by its place. Each distinct feature sets HASHES bits of a Bloom filter of 2048 bits; after PER_FILTER features the next filter of the
-chain begins. Two fingerprints are compared filter by filter: the shared bits over what chance gives, normalised by the most
-that could be shared; each filter of the shorter chain takes its best partner, and the mean is the likeness, from 0 to 1.
-
-Defined results: a null text is empty; an empty text has the fingerprint ""; equal fingerprints have likeness 1, an empty one and
-another 0; repeated rows stay, with equal doc_id ordered by text; one document alone is its own next; an empty table gives an
-empty result; extra columns are ignored. Texts are handled whole, in blocks of about BLOCK bytes.
+document; a text none of whose windows has them keeps all its windows. So what a text loses with its last character is at most
+features at its end, or features that are among all windows of the shorter text. Each distinct feature sets HASHES bits of a Bloom
+filter of 2048 bits; after PER_FILTER features the next filter of the chain begins.
+
+A text has a chain for each length of SCALES that it is long enough for, and not too long: short texts have chains of all lengths,
+long ones of the longest only. Texts of any two neighbouring lengths share a length, so a fingerprint changes by degrees: a text
+and itself without its last character stay above 0.8 in likeness.
+
+Two chains of one length are compared filter by filter: the shared bits over what chance gives, normalised by the most that could
+be shared; each filter of the shorter chain takes its best partner. The likeness, from 0 to 1, is the mean over the lengths that
+both texts have; without such a length it is 0.
+
+Defined results: a null text is empty; an empty text has the fingerprint ""; a text shorter than the least length is taken with
+zero bytes before it; equal fingerprints have likeness 1, an empty one and another 0; repeated rows stay, with equal doc_id
+ordered by text; one document alone is its own next; an empty table gives an empty result; extra columns are ignored. Texts are
+handled whole, in blocks of about BLOCK bytes.
 """
 
 from __future__ import annotations
@@ -30,12 +38,11 @@ STEPS, NEAR, VOTES = 1024, 32, 8
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 BLOCK = 400_000
 MOST_RANGES = 65_536  # their bounds are literals of the plan
-#: Fewest code points of a text, and the window's bytes.
-WINDOWS = ((128, 32), (24, 8), (0, 1))
+#: Window bytes, with the fewest and (exclusive) most bytes of a text that has a chain of them.
+SCALES = {2: (1, 64), 8: (8, 256), 32: (32, 1 << 62)}
+LEAST = min(SCALES)
 
-
-def window_of(text: str) -> int:
-    return next(w for least, w in WINDOWS if len(text) >= least)
+Print = dict[int, np.ndarray]  # the chain of each length: filters x BITS of 0 and 1
 
 
 def _entropy_parts(w: int) -> np.ndarray:
@@ -50,8 +57,6 @@ def entropy_steps(data: np.ndarray, w: int) -> np.ndarray:
     A byte's number of equals among the w - 1 bytes before it (after it) is what it meets when it enters (leaves) a window, so
     the sum of c log2 c over all windows is a running sum of differences."""
     n = len(data)
-    if w == 1:
-        return np.zeros(n, np.int64)
     before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     for d in range(1, w):
         same = (data[d:] == data[:-d]).view(np.uint8)
@@ -65,23 +70,27 @@ def entropy_steps(data: np.ndarray, w: int) -> np.ndarray:
     return np.clip(bits * ((STEPS - 1) / np.log2(w)), 0, STEPS - 1).astype(np.int64)
 
 
-def _blocks(texts: list[str], w: int) -> Iterator[tuple[list[int], list[bytes], np.ndarray, np.ndarray]]:
-    """Texts of this window in blocks: their numbers and bytes, the bytes joined, and where each begins (and the end)."""
-    own = [(i, t.encode("utf-8", "surrogatepass")) for i, t in enumerate(texts) if t and window_of(t) == w]
-    for block in blocks_of(own, lambda x: len(x[1]), BLOCK):
-        raw = [b for _, b in block]
-        yield [i for i, _ in block], raw, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+def _bytes(text: str) -> bytes:
+    """UTF-8, brought to the least window length by zero bytes before it; nothing for an empty text."""
+    b = text.encode("utf-8", "surrogatepass")
+    return b.rjust(LEAST, b"\0") if b else b
+
+
+def _blocks(raw: list[tuple[int, bytes]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Numbered texts in blocks: their numbers, their bytes joined, and where each begins (and the end)."""
+    for block in blocks_of(raw, lambda x: len(x[1]), BLOCK):
+        at = np.concatenate([[0], np.cumsum([len(b) for _, b in block])])
+        yield [i for i, _ in block], np.frombuffer(b"".join(b for _, b in block), np.uint8), at
 
 
 def count_steps(docs: DataFrame) -> dict[int, np.ndarray]:
     """How many windows of all documents fall into each step, by window length. At most STEPS rows a length come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {w: np.zeros(STEPS, np.int64) for _, w in WINDOWS}
+        counts = {w: np.zeros(STEPS, np.int64) for w in SCALES}
         for b in batches:
-            texts = [t or "" for t in column(b, "text")]
-            for w in counts:
-                for _, _, data, at in _blocks(texts, w):
+            for _, data, at in _blocks([(0, _bytes(t)) for t in column(b, "text") if t]):
+                for w in counts:
                     if len(data) >= w:
                         inside = _inside(at, w)[: len(data) - w + 1]
                         counts[w] += np.bincount(entropy_steps(data, w)[inside], minlength=STEPS)
@@ -90,7 +99,7 @@ def count_steps(docs: DataFrame) -> dict[int, np.ndarray]:
             yield pa.record_batch([pa.array(np.full(len(k), w), pa.int32()), pa.array(k, pa.int32()), pa.array(c[k], pa.int64())], names=["w", "step", "n"])
 
     rows = docs.select("text").mapInArrow(run, "w int, step int, n long").groupBy("w", "step").agg(F.sum("n").alias("n")).collect()
-    out = {w: np.zeros(STEPS, np.int64) for _, w in WINDOWS}
+    out = {w: np.zeros(STEPS, np.int64) for w in SCALES}
     for r in rows:
         out[r["w"]][r["step"]] = r["n"]
     return out
@@ -116,7 +125,7 @@ def _inside(at: np.ndarray, w: int) -> np.ndarray:
 
 
 def _chosen(rank: np.ndarray, ok: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the features: windows of at least VOTES votes, or where no window has them the rarest, never by their place."""
+    """Positions of the features: windows of at least VOTES votes, and all windows of texts where none has them."""
     n = len(rank)
     key = np.where(ok[:n], rank, STEPS) * (1 << 40) + np.arange(n)
     low, span = key, 1
@@ -129,14 +138,7 @@ def _chosen(rank: np.ndarray, ok: np.ndarray, at: np.ndarray, w: int) -> np.ndar
     votes = np.bincount(low[run_ok], minlength=n)
     good = (votes >= VOTES) & ok[:n]
     lone = np.flatnonzero(~np.bincount(np.searchsorted(at, np.flatnonzero(good), "right") - 1, minlength=len(at) - 1).astype(bool))
-    extra = []
-    for t in lone:  # texts too short for a vote: all windows; others: the rarest quarter, and all that are as rare as its last
-        places = np.arange(at[t], min(at[t + 1], n))
-        places = places[ok[places]]
-        if len(places) >= NEAR + VOTES - 1:
-            quarter = max(16, len(places) // 4)
-            places = places[rank[places] <= np.partition(rank[places], quarter - 1)[quarter - 1]]
-        extra.append(places)
+    extra = [at[t] + np.flatnonzero(ok[at[t] : min(at[t + 1], n)]) for t in lone]
     return np.sort(np.concatenate([np.flatnonzero(good), *extra]))
 
 
@@ -164,36 +166,36 @@ def _filters(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(texts: list[str], ranks: dict[int, np.ndarray]) -> list[np.ndarray]:
-    out = [np.zeros((0, BITS), np.uint8)] * len(texts)
+def fingerprints_of(texts: list[str], ranks: dict[int, np.ndarray]) -> list[Print]:
+    out: list[Print] = [{} for _ in texts]
+    raw = [(i, _bytes(t)) for i, t in enumerate(texts) if t]
     for w, rank in ranks.items():
-        for numbers, _, data, at in _blocks(texts, w):
+        least, most = SCALES[w]
+        for numbers, data, at in _blocks([x for x in raw if least <= len(x[1]) < most]):
             ok = _inside(at, w)[: max(0, len(data) - w + 1)]
-            if not ok.any():
-                continue
             places = _chosen(rank[entropy_steps(data, w)], ok, at, w)
             h = _hashes(data, places, w)
             ends = np.searchsorted(places, at)
             for k, i in enumerate(numbers):
-                out[i] = _filters(h[ends[k] : ends[k + 1]])
+                out[i][w] = _filters(h[ends[k] : ends[k + 1]])
     return out
 
 
-def to_text(filters: np.ndarray) -> str:
-    return ":".join(base64.b64encode(x.tobytes()).decode() for x in np.packbits(filters, axis=1))
+def to_text(made: Print) -> str:
+    return ";".join(f"{w}=" + ":".join(base64.b64encode(x.tobytes()).decode() for x in np.packbits(made[w], axis=1)) for w in sorted(made))
 
 
-def from_text(s: str) -> np.ndarray:
-    return np.array([np.unpackbits(np.frombuffer(base64.b64decode(x), np.uint8)) for x in s.split(":")], np.uint8).reshape(-1, BITS) if s else np.zeros((0, BITS), np.uint8)
+def from_text(s: str) -> Print:
+    out = {}
+    for chain in s.split(";") if s else []:
+        w, filters = chain.split("=", 1)
+        out[int(w)] = np.array([np.unpackbits(np.frombuffer(base64.b64decode(x), np.uint8)) for x in filters.split(":")], np.uint8).reshape(-1, BITS)
+    return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def chain_likeness(a: np.ndarray, b: np.ndarray) -> float:
     if len(a) > len(b):
         a, b = b, a
-    if len(a) == 0:
-        return float(len(b) == 0)
-    if a.shape == b.shape and (a == b).all():
-        return 1.0
     na, nb = a.sum(1, dtype=np.float32)[:, None], b.sum(1, dtype=np.float32)[None, :]
     shared = a.astype(np.float32) @ b.astype(np.float32).T
     chance, most = na * nb / BITS, np.minimum(na, nb)
@@ -203,6 +205,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, (score.max(1) * weight).sum() / weight.sum()))
 
 
+def likeness(a: Print, b: Print) -> float:
+    if a.keys() == b.keys() and all(np.array_equal(a[w], b[w]) for w in a):
+        return 1.0
+    both = a.keys() & b.keys()
+    return sum(chain_likeness(a[w], b[w]) for w in both) / len(both) if both else 0.0
+
+
 def _bucket(c: Column, starts: list[int]) -> Column:
     """Which range a doc_id falls into: binary search in the ranges' least ids, by expressions."""
     bounds = F.lit(starts).cast("array<bigint>")
