@@ -1,14 +1,17 @@
-"""URL filter: pattern rules indexed by their rarest literal token.
+"""URL filter: pattern rules indexed by their rarest literal token, in DataFrame functions only.
 
-Each rule is a regular expression with the literal tokens (runs of a-z and 0-9 in the lower-cased url) that any match must hold.
-A rule is indexed under the token of its own that the fewest urls hold, counted over all urls. The tokens of a url fetch its
-candidate rules from the index, and only those run their regular expressions.
+Each rule is a regular expression with the literal tokens (runs of a-z and 0-9 in the lower-cased url) that any match must hold. A
+rule is indexed under the token of its own that the fewest urls hold, counted over all urls: the index is a table of tokens and
+rules. The distinct tokens of each distinct url fetch its candidate rules by an equi-join with that table, and only those run
+their regular expressions. So cost follows the candidates, not rules times urls, and no number of rules is too many.
 
 The longest host rule that fits gives `rule` and its verdict; without one, the url is blocked if a pattern rule matches, else
-allowed. Rule sets are literals of the plan and bounded by MAX_RULES; more is an error, not a silent cut.
+allowed. Rules may come as a list (which stands in the plan) or as a table.
 
 Defined results: a null url, and one without `://`, has an empty host and path, no rule, and is judged by the pattern rules on its
-text (null: allowed). Repeated rows stay; empty tables give an empty result; extra columns are ignored.
+text (null: allowed). Repeated rows stay; empty tables give an empty result; extra columns are ignored. A rule without a literal
+token is refused with a ValueError, as no token could fetch it: split it into rules that have one. Of pattern rules that match, the
+one of the longest name, then the greatest, is named.
 """
 
 from __future__ import annotations
@@ -21,8 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
 
-MAX_RULES = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,10 +36,15 @@ class Rule:
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
     """Fits the host and its subdomains if the path starts with path; matched on host + path. Only tokens with both ends inside the rule count."""
-    whole = re.findall(r"[a-z0-9]+", host) + re.findall(r"(?<![a-z0-9])[a-z0-9]+(?=[^a-zA-Z0-9])", path)
+    whole = re.findall(r"[a-z0-9]+", host) + re.findall(r"(?<![a-zA-Z0-9])[a-z0-9]+(?=[^a-zA-Z0-9])", path)
     return Rule(host + path, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}".replace(r"\/", "/"), tuple(whole), verdict, True)
 
 
+def site_rule(host: str) -> Rule:
+    """Blocks a site and its subdomains."""
+    return Rule(host, rf"://([^/?#]*\.)?{re.escape(host)}([/?#:]|$)".replace(r"\-", "-"), tuple(re.findall("[a-z0-9]+", host)))
+
+
 # The host rules of the contract, then the pattern rules of the method, which are matched on the lower-cased url.
 HOST_RULES = [
     host_rule("com", "/en/", "block"),
@@ -47,20 +53,22 @@ HOST_RULES = [
     host_rule("example.net", "/de/8", "block"),
     host_rule("org", "/es/", "block"),
 ]
+ADULT = ["porn", "porno", "pornos", "xxx", "hentai", "camgirl", "camgirls", "escort", "escorts", "milf", "nsfw", "sexcam", "sexcams"]
+GAMBLING = ["casino", "casinos", "slots", "jackpot", "roulette", "sportsbook", "betting", "poker-room"]
+PHARMACY = ["viagra", "cialis", "levitra", "xanax", "tramadol", "canadian-pharmacy"]
+MONEY = ["payday-loan", "payday-loans", "get-rich-quick", "essay-mill", "buy-followers", "free-iphone"]
+PIRACY = ["torrent", "torrents", "warez", "keygen", "keygens", "nulled"]
+TRACKERS = ["doubleclick.net", "googlesyndication.com", "adnxs.com", "taboola.com", "outbrain.com", "popads.net", "criteo.com", "scorecardresearch.com"]
+FARMS = ["spam-farm", "link-farm", "content-farm"]
+FILES = ["exe", "msi", "apk", "dmg", "iso", "rar"]
 PATTERN_RULES = [
-    Rule("spam-farm", r"://([^/?#]*[./-])?spam-farm\.", ("spam", "farm")),
-    Rule("link-farm", r"://([^/?#]*[./-])?link-farm\.", ("link", "farm")),
-    Rule("casino", r"[./-]casino[./-]", ("casino",)),
-    Rule("porn", r"[./-]porn[./-]", ("porn",)),
-    Rule("xxx", r"[./-]xxx[./-]", ("xxx",)),
-    Rule("viagra", r"[./?=-]viagra([./&-]|$)", ("viagra",)),
-    Rule("payday-loans", r"[./-]payday-loans?([./-]|$)", ("payday",)),
-    Rule("doubleclick", r"://([^/?#]*\.)?doubleclick\.net([/?#:]|$)", ("doubleclick", "net")),
-    Rule("ad-server", r"://ads?\.[^/?#]+/(banner|click)s?/", ()),
-    Rule("torrent", r"[./-]torrents?([./-]|$)", ()),
+    *[Rule(w, rf"[./-]{w}([./?&#=-]|$)", tuple(w.split("-"))) for w in [*ADULT, *GAMBLING, *PHARMACY, *MONEY, *PIRACY]],
+    *[site_rule(h) for h in TRACKERS],
+    *[Rule(w, rf"://([^/?#]*[./-])?{w}\.", tuple(w.split("-"))) for w in FARMS],
+    *[Rule(f"file-{e}", rf"/[^/?#]+\.{e}([?#]|$)", (e,)) for e in FILES],
+    *[Rule(f"{a}-server", rf"://{a}\.[^/?#]+/{k}/", (a, k)) for a in ("ad", "ads") for k in ("banner", "banners", "click", "clicks")],
     Rule("login", r"/login\.php([?#]|$)", ("login", "php")),
     Rule("session", r"[?&]phpsessid=[0-9a-f]{16,}", ("phpsessid",)),
-    Rule("executable", r"/[^/?#]+\.exe([?#]|$)", ("exe",)),
     Rule("calendar-trap", r"/calendar/[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}/", ("calendar",)),
 ]
 
@@ -77,44 +85,49 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.coalesce(host, F.lit(""))), F.coalesce(F.regexp_extract(F.substring(rest, F.length(host) + 1, F.length(rest)), r"^[^?#]*", 0), F.lit(""))
 
 
-def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """Index of the rules. Counts the rules' own tokens over all urls; at most one row per such token comes to the driver. Rules without a literal stand under ''."""
-    vocabulary = sorted({t for r in rules for t in r.tokens})
-    found = urls.select(F.explode(F.array_intersect(tokens(F.col("url")), F.lit(vocabulary).cast("array<string>"))).alias("token")).groupBy("token").count()
-    counts = {r["token"]: r["count"] for r in found.collect()}
-    index: dict[str, list[Rule]] = {}
+RULES = "array<struct<name:string,pattern:string,tokens:array<string>,verdict:string,host_rule:boolean>>"
+
+
+def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """name, pattern, tokens, verdict, host_rule; the rules stand in the plan as literals."""
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", []).append(r)
-    return index
+        if not r.tokens:
+            raise ValueError(f"rule {r.name!r} has no literal token")
+    rows = [F.struct(F.lit(r.name), F.lit(r.pattern), F.array(*map(F.lit, r.tokens)), F.lit(r.verdict), F.lit(r.host_rule)) for r in rules]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows).cast(RULES)))
+
+
+def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules with the token that each is indexed under: of its own the one that the fewest rows of urls(url, n) hold, then the first by name."""
+    own = rules.select(*rules.columns, F.explode(F.array_distinct("tokens")).alias("token"))
+    met = urls.select("n", F.explode(tokens(F.col("url"))).alias("token")).join(own.select("token").distinct(), "token", "left_semi")
+    counts = met.groupBy("token").agg(F.sum("n").alias("held"))
+    whole = own.join(counts, "token", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("bigint")))
+    return whole.groupBy("name", "pattern", "verdict", "host_rule").agg(F.min(F.struct("held", "token")).alias("least")).select("name", "pattern", "verdict", "host_rule", "least.token")
+
 
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """pages(page_id, url) -> page_id, host, path, rule, verdict, pattern_rule.
 
-def filter_urls(pages: DataFrame, host_rules: list[Rule], pattern_rules: list[Rule]) -> DataFrame:
-    """pages(page_id, url) -> page_id, host, path, rule, verdict, pattern_rule. No shuffle but for the token counts."""
-    rules = [*host_rules, *pattern_rules]
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit into a plan")
+    A url that many pages share is judged once; pages meet their judgement by an equi-join on the url."""
+    if isinstance(rules, list):
+        rules = rules_table(pages.sparkSession, rules)
+    elif not rules.filter(F.size("tokens") < 1).isEmpty():
+        raise ValueError("a rule has no literal token")
     pages = pages.select("page_id", "url")
-    index = rarest_tokens(pages, rules)
+    urls = pages.filter("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n"))
     host, path = split_url(F.col("url"))
-    df = pages.withColumns({"host": host, "path": path})
-    df = df.withColumns({"place": F.concat("host", "path"), "low": ascii_lower(F.coalesce("url", F.lit(""))), "held": F.coalesce(tokens(F.col("url")), F.array().cast("array<string>"))})
-
-    def matched(host_rule: bool, subject: str) -> Column:
-        """The matching rules: per index token one guarded group, so an expression runs only if its token is there."""
-        groups = []
-        for token, own in sorted(index.items()):
-            if own := [r for r in own if r.host_rule == host_rule]:
-                hits = F.array_compact(F.array(*[F.when(F.col(subject).rlike(r.pattern), F.struct(F.lit(len(r.name)).alias("n"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))) for r in own]))
-                groups.append(F.when(F.array_contains("held", token), hits) if token else hits)
-        return F.flatten(F.array_compact(F.array(*groups)))
-
-    df = df.withColumns({"fit": F.array_max(matched(True, "place")), "flag": F.array_max(matched(False, "low"))})
+    candidates = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(rule_index(urls, rules), "token")
+    subject = F.when(F.col("host_rule"), F.concat(host, path)).otherwise(ascii_lower(F.col("url")))
+    hits = candidates.filter(F.rlike(subject, F.col("pattern")))
+    named = F.struct(F.length("name").alias("n"), "name", "verdict")
+    judged = hits.groupBy("url").agg(F.max(F.when(F.col("host_rule"), named)).alias("fit"), F.max(F.when(~F.col("host_rule"), named)).alias("flag"))
     verdict = F.coalesce(F.col("fit.verdict"), F.col("flag.verdict"), F.lit("allow"))
-    return df.select("page_id", "host", "path", F.col("fit.name").alias("rule"), verdict.alias("verdict"), F.col("flag.name").alias("pattern_rule"))
+    return pages.join(judged, "url", "left").select("page_id", host.alias("host"), path.alias("path"), F.col("fit.name").alias("rule"), verdict.alias("verdict"), F.col("flag.name").alias("pattern_rule"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"), HOST_RULES, PATTERN_RULES)
+    return filter_urls(table(spark, sf_dir, "pages"), [*HOST_RULES, *PATTERN_RULES])
 
 
 def _sql() -> str:
