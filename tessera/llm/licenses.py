@@ -21,22 +21,34 @@ from .common import ascii_lower, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE, VOTES, COVER = 4, 2, 0.8
+LONGEST, TEMPLATE = 1 << 16, 1 << 40  # a template has fewer words, a text fewer than TEMPLATE less LONGEST
 # Base phrases and labels; then licence templates (label, wording) with their mandatory phrases.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
+# Names are cut to their distinctive core, without words that lead in, as notices differ there.
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0"]
 TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license"]),
-    ("mit", "Released under the MIT License", ["mit license"]),
+    ("apache-2.0", "Apache License, Version 2.0", ["apache license", "version 2"]),
+    ("apache-2.0", "Apache License 2.0", ["apache license 2"]),
+    ("mit", "MIT License", ["mit license"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ["general public license", "free software foundation"]),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution"]),
+    ("gpl-3.0", "GNU General Public License, version 3", ["gnu general public license", "version 3"]),
+    ("gpl-3.0", "GPLv3", ["gplv3"]),
+    ("gpl-2.0", "GNU General Public License, version 2", ["gnu general public license", "version 2"]),
+    ("gpl-2.0", "GPLv2", ["gplv2"]),
+    ("gpl", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ["general public license", "free software foundation"]),
+    ("lgpl", "GNU Lesser General Public License", ["lesser general public license"]),
+    ("agpl", "GNU Affero General Public License", ["affero general public license"]),
+    *[(f"cc-by{x}-4.0", f"CC BY{x.upper()} 4.0", [f"cc by{x}".replace("-", " ")]) for x in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")],
+    ("cc-by-4.0", "Creative Commons Attribution 4.0 International", ["creative commons attribution 4"]),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0 International", ["creative commons attribution sharealike"]),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International", ["creative commons attribution noncommercial 4"]),
+    ("cc0-1.0", "CC0 1.0 Universal", ["cc0 1"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["source and binary forms"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
+    ("mpl-2.0", "Mozilla Public License, v. 2.0", ["mozilla public license", "2 0"]),
+    ("mpl-2.0", "Mozilla Public License Version 2.0", ["mozilla public license", "2 0"]),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software"]),
+    *[(name.lower(), f"SPDX-License-Identifier: {name}", ["spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower())]) for name in SPDX],
 ]
 
 
@@ -91,7 +103,8 @@ def _phrase_places(phrase: list[str], label: str) -> Column:
 def _template_places(t: int, label: str, keys: list[str], body: list[str], rare: list[int]) -> Column:
     """The proposed offsets of template t that hold its rare words, enough of all its words, and its mandatory phrases."""
     need = min(VOTES, len(rare))
-    voted = F.filter(F.transform(F.filter("proposed", lambda c: c["t"] == t), lambda c: F.struct(c["o"].alias("o"), _standing(rare, body, c["o"]).alias("votes"))), lambda c: c["votes"] >= need)
+    offsets = F.transform(F.filter("proposed", lambda c: c.between(t * TEMPLATE, (t + 1) * TEMPLATE - 1)), lambda c: (c - t * TEMPLATE - LONGEST).cast("int"))
+    voted = F.filter(F.transform(offsets, lambda o: F.struct(o.alias("o"), _standing(rare, body, o).alias("votes"))), lambda c: c["votes"] >= need)
     every = list(range(len(body)))
     scored = F.transform(voted, lambda c: F.struct(F.lit(label).alias("label"), c["o"].alias("o"), c["votes"].alias("votes"), (_standing(every, body, c["o"]) / len(body)).alias("cover")))
 
@@ -115,8 +128,9 @@ def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, phrases: list =
     df = docs.select("doc_id", words(F.col("text")).alias("words"))
     df = df.withColumn("hits", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(wanted), i))))
     df = df.withColumn("base", F.concat(*[_phrase_places(words_of(p), label) for p, label in phrases]))
-    index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
-    proposed = F.flatten(F.transform(F.filter("hits", lambda i: F.get("words", i).isin(sorted(postings))), lambda i: F.transform(index[F.get("words", i)], lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("o")))))
+    # a proposal is one number, as distinct numbers are found by hashing and distinct structs are not
+    index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.lit(t * TEMPLATE - p) for t, p in ps]))])
+    proposed = F.flatten(F.transform(F.filter("hits", lambda i: F.get("words", i).isin(sorted(postings))), lambda i: F.transform(index[F.get("words", i)], lambda x: x + i + LONGEST)))
     df = df.withColumn("proposed", F.array_distinct(proposed))
 
     df = df.withColumn("places", F.concat(*[_template_places(t, *templates[t][::2], bodies[t], rare[t]) for t in range(len(templates))]))
