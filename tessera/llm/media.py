@@ -8,10 +8,12 @@ coefficient is non-zero and every scan has a fixed layout that numpy reads and w
 
 The decoder accumulates the scans of any progressive JPEG of 8-bit samples in coefficient arrays (scans of the layout above as
 arrays, others bit by bit), dequantises, inverse-transforms with one matrix product, upsamples chroma by replication and
-returns full-resolution RGB tensors.
+stores full-resolution RGB tensors: a binary column of height x width x 3 samples beside its height and width. Features are
+computed from that column, not from what made it.
 
 Defined results: a null text is empty; an empty payload is one unit of 576 bytes of 255; repeated rows stay; an empty table gives
-an empty result; extra columns are ignored. A payload may have up to 6 GB; rows are handled in slices of bounded bytes.
+an empty result; extra columns are ignored. A tensor has two bytes for each of the payload and must fit into a binary value, so a
+payload may have up to MOST bytes, and a longer one is an error that names it; rows are handled in slices of bounded bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,8 @@ from .common import blocks_of, column, table
 
 UNIT = 576
 WIDEST = 4095  # MCUs in a row or column: 65,520 samples
-SLICE = 8_000_000  # payload bytes whose coefficients stand in memory at once, but for one longer row
+MOST = (1 << 30) - (1 << 20)
+SLICE = 4_000_000  # payload bytes whose coefficients stand in memory at once, but for one longer row
 
 # Zigzag order and the ITU-R BT.601 weights of JFIF.
 ZIGZAG = np.array(
@@ -76,10 +80,10 @@ TABLES = _huffman(0, 0, {1: [7]}) + _huffman(1, 0, {1: [7]}) + _huffman(1, 1, {4
 
 def geometry(size: int) -> tuple[int, int]:
     """MCUs in a row and in a column that hold so many bytes."""
+    if size > MOST:
+        raise ValueError(f"{size} bytes do not fit into one image")
     units = max(1, -(-size // 384))
     across = min(units, WIDEST)
-    if -(-units // across) > WIDEST:
-        raise ValueError(f"{size} bytes do not fit into one image")
     return across, -(-units // across)
 
 
@@ -374,29 +378,46 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def read_media(stored: DataFrame, tensors: bool = True) -> DataFrame:
-    """stored(doc_id, n_bytes, media) -> the same with payload, height, width, feature and, if asked for, the RGB tensor's bytes."""
-    columns = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, feature string" + ", rgb binary" * tensors
+def _mapped(df: DataFrame, columns: str, weight: str, one) -> DataFrame:
+    """df with one(row)'s values as new columns; rows go through Python in slices of about SLICE bytes of the column weight."""
+    new = [c.split()[0] for c in columns.split(", ")]
+    kinds = {"binary": pa.binary(), "int": pa.int32(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(column(b, "doc_id"), column(b, "n_bytes"), column(b, "media"), strict=True)
-            for part in blocks_of(rows, lambda r: len(r[2]), SLICE):
-                out = []
-                for i, n, media in part:
-                    height, width, comps, quantisers, comment = read_scans(media)
-                    rgb = rgb_of(height, width, comps, quantisers)
-                    out.append((i, n, media, payload_of(comps, comment), height, width, feature_of(rgb), *[rgb.tobytes()] * tensors))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * tensors]
-                names = [x.split()[0] for x in columns.split(", ")]
-                yield pa.record_batch([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            sizes = pc.binary_length(b.column(b.schema.get_field_index(weight))).to_pylist()
+            for part in blocks_of(range(b.num_rows), lambda i: sizes[i], SLICE):
+                some = b.slice(part[0], len(part))
+                made = list(zip(*map(one, some.to_pylist()), strict=True))
+                more = [pa.array(list(v), kinds[c.split()[1]]) for v, c in zip(made, columns.split(", "), strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *more], names=[*some.schema.names, *new])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + columns
+    return df.mapInArrow(run, schema)
+
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """stored(doc_id, n_bytes, media) -> the same with payload, and the tensor as rgb, height and width."""
+
+    def one(row: dict) -> tuple:
+        height, width, comps, quantisers, comment = read_scans(row["media"])
+        return payload_of(comps, comment), rgb_of(height, width, comps, quantisers).tobytes(), height, width
+
+    return _mapped(stored, "payload binary, rgb binary, height int, width int", "media", one)
+
+
+def with_features(tensors: DataFrame) -> DataFrame:
+    """tensors(..., rgb, height, width) with feature, from the stored samples."""
+
+    def one(row: dict) -> tuple:
+        return (feature_of(np.frombuffer(row["rgb"], np.uint8).reshape(row["height"], row["width"], 3)),)
 
-    return stored.mapInArrow(run, columns)
+    return _mapped(tensors, "feature string", "rgb", one)
 
 
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = read_media(store_texts(table(spark, sf_dir, "documents")), tensors=False)
-    return read.select(
+    read = read_media(store_texts(table(spark, sf_dir, "documents")))
+    payload = read.select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),
@@ -404,5 +425,8 @@ def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
         F.octet_length("media").cast("bigint").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+        "height",
+        "width",
+        "rgb",
     )
+    return with_features(payload)

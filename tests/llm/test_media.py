@@ -135,3 +135,23 @@ def test_query_columns(spark, tmp_path):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert M.read_media(M.store_texts(empty)).count() == 0
+
+
+def test_the_query_stores_the_tensors(spark, tmp_path):
+    rows = [(1, "abc" * 1000, "x"), (2, None, "x"), (2, None, "x"), (3, "é" * 5000, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, rgb string").write.parquet(f"{tmp_path}/documents.parquet")
+    M.op9_media_jpeg(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == 4
+    for r in got:
+        rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        assert M.feature_of(rgb) == r["feature"]
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        height, width, comps, quantisers, _ = M.read_scans(M.encode(M.padded(text)[1]))
+        assert (M.rgb_of(height, width, comps, quantisers) == rgb).all()
+
+
+def test_a_payload_beyond_the_limit_is_refused():
+    with pytest.raises(ValueError):
+        M.geometry(M.MOST + 1)
+    assert M.geometry(M.MOST)
