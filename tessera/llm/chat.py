@@ -178,7 +178,8 @@ def streamed_summaries(turns: DataFrame) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = turns.union(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema))
+    added = F.array(*[F.struct(F.lit(-1), F.lit(k), F.lit(role), F.lit(said)) for k, role in enumerate(("user", "assistant"))])
+    turns = turns.union(spark.range(1, numPartitions=1).select(F.inline(added)))
     chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + F.coalesce(F.length("role"), F.lit(0)) + len(START + END) + 2)
     # at most one large conversation per WHOLE characters of the table; only where there are any, a Python step is planned
     large = turns.groupBy(F.col("conv_id").alias("large")).agg(chars.alias("chars")).filter(F.col("chars") > WHOLE).select("large")
