@@ -1,6 +1,8 @@
 """Layer trees as adjacency lists: layer_id, parent_id, ord, name, kind, visible.
 
-Trees are walked level by level with one join each, as deep as the tree is; no recursion limit and no row limit applies."""
+Trees are walked level by level with one join each, as deep as the tree is; each level is written, so that no step runs those above
+it again, and no recursion limit and no row limit applies. Layers that are their own ancestors stand under no root: they are an
+error, not a walk without end."""
 
 from __future__ import annotations
 
@@ -8,22 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-DEEPEST = 64  # after so many levels, and each time as many, it is asked whether they are more than the layers
+from tessera.sources.shared import materialize
 
 
 def levels(layers: DataFrame) -> DataFrame:
     """layers with depth, names (of the way from the root) and place (orders along the way, which sort in pre-order)."""
-    level = layers.filter("parent_id IS NULL").withColumns({"depth": F.lit(0), "names": F.array("name"), "place": F.array("ord")})
+    root = {"depth": F.lit(0), "names": F.array("name"), "place": F.array("ord")}
+    level = materialize(layers.filter("parent_id IS NULL").withColumns(root), "level")
     out, depth = level, 0
-    while True:
+    while not level.isEmpty():
         depth += 1
         up = level.select(F.col("layer_id").alias("parent_id"), F.col("names").alias("_names"), F.col("place").alias("_place"))
-        level = layers.join(up, "parent_id").select(*layers.columns, F.lit(depth).alias("depth"), F.concat("_names", F.array("name")).alias("names"), F.concat("_place", F.array("ord")).alias("place")).localCheckpoint()
-        if level.isEmpty():
-            return out
-        if depth % DEEPEST == 0 and depth > layers.count():
-            raise ValueError("layers that are their own ancestors")
+        names, place = F.concat("_names", F.array("name")), F.concat("_place", F.array("ord"))
+        level = layers.join(up, "parent_id").select(*layers.columns, F.lit(depth).alias("depth"), names.alias("names"), place.alias("place"))
+        level = materialize(level, "level")
         out = out.unionByName(level)
+    # a circle is not reached from any root, nor is a layer whose parent is missing
+    left = layers.join(out.select("layer_id"), "layer_id", "left_anti").filter("parent_id IS NOT NULL")
+    if not left.isEmpty() and left.join(layers.select(F.col("layer_id").alias("parent_id")), "parent_id", "left_anti").isEmpty():
+        raise ValueError("layers that are their own ancestors")
+    return out
 
 
 def paths(layers: DataFrame, own_group: Column) -> DataFrame:
@@ -53,13 +59,17 @@ def next_branch(layers: DataFrame, group: str) -> DataFrame:
 PREFIXES = {"rgb": ("Match RGB", "Match Curves"), "lab": ("Match Lab",), "lut": ("Match LUT",)}
 
 
-def visibility(name: Column, mode: str, before: Column) -> Column:
-    """Outputs of the mode are shown, those of other modes hidden, other layers left alone."""
-    out = before
+def visibility(layers: DataFrame, own_group: Column, mode: str) -> DataFrame:
+    """layer_id and visible: below the first own group in pre-order, outputs of the mode are shown and those of other modes hidden; all other layers are left alone."""
+    tree = levels(layers.withColumn("_own", own_group & (F.col("kind") == "group")))
+    first = tree.filter("_own").groupBy().agg(F.min("place").alias("place"))
+    up = first.select(F.col("place").alias("_group"))
+    below = tree.crossJoin(F.broadcast(up)).filter((F.size("place") > F.size("_group")) & (F.slice("place", F.lit(1), F.size("_group")) == F.col("_group"))).select("layer_id", F.lit(True).alias("_below"))
+    shown = F.col("visible")
     for m, names in PREFIXES.items():
         for p in names:
-            out = F.when(name.startswith(p), F.lit(m == mode)).otherwise(out)
-    return out
+            shown = F.when(F.col("name").startswith(p), F.lit(m == mode)).otherwise(shown)
+    return layers.join(below, "layer_id", "left").select("layer_id", F.when(F.col("_below"), shown).otherwise(F.col("visible")).alias("visible"))
 
 
 def isolate(layers: DataFrame, wanted: int) -> DataFrame:

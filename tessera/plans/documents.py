@@ -88,8 +88,10 @@ def history_update(s, d):
 
 
 def recipe_merge(s, d):
-    e = events(s, d).select(F.concat_ws("|", F.col("event_type"), (F.col("user_id") % 40).cast("string")).alias("key"), F.col("event_id").alias("ord"), F.lit(False).alias("pinned"), "user_id")
-    return R.merge(e.filter("user_id % 3 = 0 AND ord < 200").drop("user_id"), e.filter("user_id % 3 <> 0").drop("user_id"))
+    """Purchases are what is there, all other events what is imported; keys are of user and hour."""
+    key = F.concat_ws("|", F.col("user_id").cast("string"), F.expr("ms div 3600000").cast("string"))
+    e = events(s, d).select(key.alias("key"), F.col("event_id").alias("ord"), F.lit(False).alias("pinned"), F.col("event_type").alias("kind"))
+    return R.merge(e.filter("kind = 'purchase'").drop("kind"), e.filter("kind <> 'purchase'").drop("kind"))
 
 
 def undo_query(s, d):
@@ -138,7 +140,7 @@ QUERIES = {
     "layer_paths": lambda s, d: L.paths(layers(s, d), F.col("name") == "Match"),
     "group_consolidate": lambda s, d: L.consolidate(layers(s, d), F.col("name") == "Match"),
     "branch_number": lambda s, d: L.next_branch(layers(s, d), "Match"),
-    "layer_visibility": lambda s, d: layers(s, d).select("layer_id", L.visibility(F.col("name"), "lab", F.col("visible")).alias("visible")),
+    "layer_visibility": lambda s, d: L.visibility(layers(s, d), F.col("name") == "Match", "lab"),
     "layer_prefix": lambda s, d: layers(s, d).filter(F.col("name").startswith("Match LUT")).select("layer_id", "name"),
     "layer_isolate": lambda s, d: L.isolate(layers(s, d), 100007),
     "debounce_sessions": lambda s, d: E.debounce(events(s, d), "6 hours").select("user_id", F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), "n"),
@@ -170,7 +172,8 @@ UNION ALL SELECT f.user_id, f.rn + 1, CASE WHEN coalesce(hs.ms - list_filter(h,
     "history_topk": f"WITH {HIST}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, p ORDER BY id DESC) k2 FROM hs) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY p DESC, id DESC) - 1 AS INT) pos, id, p pinned FROM r WHERE p OR k2 <= 5",
     "history_prune": f"WITH {US} SELECT user_id, CAST(0 AS INT) pos, 'x' id, false pinned FROM us WHERE user_id % 7 IN (4, 5) UNION ALL SELECT user_id, 0, 'u' || user_id, true FROM us WHERE user_id % 7 = 6 UNION ALL SELECT user_id, 1, 'x', false FROM us WHERE user_id % 7 = 6",
     "history_update": f"WITH {HIST} SELECT user_id, id, CASE WHEN id % 10 = 3 THEN NOT p ELSE p END pinned, CASE WHEN id % 20 = 3 THEN NULL WHEN id % 10 = 3 THEN 'n' || id ELSE 'old' END custom_name FROM hs",
-    "recipe_merge": "WITH e AS (SELECT event_type || '|' || (user_id % 40) \"key\", event_id ord, user_id FROM events), o AS (SELECT * FROM e WHERE user_id % 3 = 0 AND ord < 200) SELECT \"key\", min(ord) ord, true pinned, 'import' origin FROM e WHERE user_id % 3 <> 0 AND \"key\" NOT IN (SELECT \"key\" FROM o) GROUP BY 1 UNION ALL SELECT \"key\", ord, false, 'own' FROM o",
+    "recipe_merge": f"""WITH {EV}, e AS (SELECT user_id || '|' || (ms // 3600000) "key", event_id ord, event_type k FROM ev), o AS (SELECT * FROM e WHERE k = 'purchase')
+SELECT "key", min(ord) ord, true pinned, 'import' origin FROM e WHERE k <> 'purchase' AND "key" NOT IN (SELECT "key" FROM o) GROUP BY 1 UNION ALL SELECT "key", ord, false, 'own' FROM o""",
     "undo_fold": f"""WITH RECURSIVE {EV}, ac AS (SELECT user_id, {ROWS}, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'change' END act, event_type || (event_id % 2) s FROM ev),
 f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) rn, CAST(NULL AS VARCHAR) cur, CAST([] AS VARCHAR[]) past, CAST([] AS VARCHAR[]) fut FROM ac
 UNION ALL SELECT f.user_id, f.rn + 1,
@@ -186,7 +189,9 @@ least(100e0, user_id*2e0) lut_strength, CASE user_id % 4 WHEN 0 THEN 17 WHEN 3 T
     "layer_paths": f"WITH RECURSIVE {LAY}, w AS (SELECT layer_id, kind, \"name\" path FROM ly WHERE parent_id IS NULL AND \"name\" <> 'Match' UNION ALL SELECT ly.layer_id, ly.kind, w.path || ' / ' || ly.\"name\" FROM w JOIN ly ON ly.parent_id = w.layer_id WHERE ly.\"name\" <> 'Match') SELECT layer_id, path FROM w WHERE kind IN ('pixel', 'smartObject') OR kind IS NULL",
     "group_consolidate": f"WITH {LAY}, g AS (SELECT layer_id, parent_id, ord FROM ly WHERE \"name\" = 'Match' AND kind = 'group'), c AS (SELECT arg_min(layer_id, (parent_id, ord)) k FROM g) SELECT layer_id, CASE WHEN parent_id IN (SELECT layer_id FROM g) THEN k ELSE parent_id END parent_id, \"name\" FROM ly, c WHERE layer_id NOT IN (SELECT layer_id FROM g) OR layer_id = k",
     "branch_number": f"WITH {LAY} SELECT max(TRY_CAST(regexp_extract(\"name\", '^Match _(\\d+)', 1) AS INT)) + 1 n, 'Match _' || format('{{:02d}}', max(TRY_CAST(regexp_extract(\"name\", '^Match _(\\d+)', 1) AS INT)) + 1) \"name\" FROM ly",
-    "layer_visibility": f"WITH {LAY} SELECT layer_id, CASE WHEN starts_with(\"name\", 'Match Lab') THEN true WHEN starts_with(\"name\", 'Match RGB') OR starts_with(\"name\", 'Match Curves') OR starts_with(\"name\", 'Match LUT') THEN false ELSE visible END visible FROM ly",
+    "layer_visibility": f"""WITH RECURSIVE {LAY}, t AS (SELECT layer_id, "name", kind, [ord] pl, [layer_id] up FROM ly WHERE parent_id IS NULL UNION ALL SELECT ly.layer_id, ly."name", ly.kind, list_append(pl, ly.ord), list_append(up, ly.layer_id) FROM t JOIN ly ON ly.parent_id = t.layer_id),
+g AS (SELECT arg_min(layer_id, pl) g FROM t WHERE "name" = 'Match' AND kind = 'group'), b AS (SELECT layer_id FROM t, g WHERE list_contains(up, g) AND layer_id <> g)
+SELECT layer_id, CASE WHEN layer_id NOT IN (SELECT layer_id FROM b) THEN visible WHEN starts_with("name", 'Match Lab') THEN true WHEN regexp_matches("name", '^Match (RGB|Curves|LUT)') THEN false ELSE visible END visible FROM ly""",
     "layer_prefix": f"WITH {LAY} SELECT layer_id, \"name\" FROM ly WHERE \"name\" LIKE 'Match LUT%'",
     "layer_isolate": f"WITH RECURSIVE {LAY}, u AS (SELECT layer_id, parent_id FROM ly WHERE layer_id = 100007 UNION ALL SELECT ly.layer_id, ly.parent_id FROM u JOIN ly ON ly.layer_id = u.parent_id) SELECT layer_id, layer_id IN (SELECT layer_id FROM u) visible FROM ly",
     "debounce_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) s FROM e) SELECT user_id, epoch_us(min(ts))//1000 first_ms, epoch_us(max(ts))//1000 last_ms, count(*) n FROM g GROUP BY user_id, s",
