@@ -7,10 +7,14 @@ if, for a uniform prior, the posterior probability of a similarity of SIMILARITY
 their full sets, and only confirmed pairs are links.
 
 No bucket emits all its pairs. First each member is compared with one least member of its buckets, the one it shares most bands
-with, and the links found are drawn together into components. Then the buckets that still hold several components are taken up:
-their members are dealt into cells of bounded size, each pair of cells is compared in one place by arrays, where pairs of
-different components that survive are compared on their full sets; what comes out is a forest of links, at most one per member.
-So every pair of a bucket is either compared or already connected.
+with, and the links found are drawn together into components. Then the buckets that still hold several components are taken up.
+Their members are dealt into cells of bounded size, those of the bucket's largest component apart from the others: pairs within
+that component are connected already, so its cells never meet each other, only cells of other members. Cells hold signatures; each
+pair of cells is pruned in one place by arrays and names the members that some survivor needs. Only those are dealt once more, now
+with their texts, and compared on their full sets; what comes out is a forest of links, at most one per member. So every pair of a
+bucket is either pruned, compared or already connected. Written steps that nothing reads any more are deleted.
+
+A text is read with two tables of powers, of 8 bytes for each byte of the worker's longest text, rounded up to a power of two.
 
 Defined results: a document without words (null or empty text) has 0 shingles, is linked with nothing and is its own component;
 repeated rows get equal results; rows of one doc_id with different texts are one vertex where both stand for their classes; a null
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, column, materialize, parallelism, table
+from .common import blocks_of, column, discard, materialize, parallelism, table
 
 WORDS, SIMILARITY = 5, 75  # words of a shingle; the least similarity in hundredths
 BANDS, ROWS, BATCH, MISS = 32, 4, 16, 1e-6
@@ -172,7 +176,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, component (its least node), for all nodes in links. Alternates large-star and small-star steps, which halve paths, until nothing changes; neighbours are never gathered in a row."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    before, made = None, []
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -180,7 +184,10 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")).distinct()
+        made.append(edges)
         edges = materialize(small, "small")
+        discard(*made)
+        made = []
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
@@ -189,10 +196,26 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
-def cell_links(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, first: np.ndarray | None, texts: list[str]) -> list[tuple[int, int]]:
-    """Links between different components among the rows of one cell (first is None), or between two cells (first: rows of one).
+def _facing(x: int, first: np.ndarray | None, comp: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which rows of a pair of cells row x is to be compared with: later ones of its own cell (first is None), else those of the other cell (first: rows of one); of another component and of a like size."""
+    ok = (comp != comp[x]) & (n * 100 >= n[x] * SIMILARITY) & (n[x] * 100 >= n * SIMILARITY)
+    return np.flatnonzero(ok & ((np.arange(len(n)) > x) if first is None else (~first if first[x] else False)))
+
 
-    Pairs are pruned by their signatures, then compared on full sets; a pair that earlier links connect is left out."""
+def cell_survivors(comp: np.ndarray, sig: np.ndarray, n: np.ndarray, first: np.ndarray | None) -> np.ndarray:
+    """Rows of a pair of cells that are in a pair which is never pruned."""
+    needed = np.zeros(len(comp), bool)
+    for x in range(len(comp)):
+        y = _facing(x, first, comp, n)
+        if len(y):
+            alive = y[survives(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
+            needed[alive] = True
+            needed[x] |= bool(len(alive))
+    return np.flatnonzero(needed)
+
+
+def cell_links(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarray, first: np.ndarray | None, texts: list[str]) -> list[tuple[int, int]]:
+    """Links between different components among the rows of a pair of cells: pairs that survive are compared on full sets; a pair that earlier links connect is left out."""
     top = {int(c): int(c) for c in comp}
 
     def root(c: int) -> int:
@@ -207,11 +230,9 @@ def cell_links(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarra
             sets[k] = shingles(texts[k])
         return sets[k]
 
-    out, rank = [], np.arange(len(node))
+    out = []
     for x in range(len(node)):
-        ok = (comp != comp[x]) & (n * 100 >= n[x] * SIMILARITY) & (n[x] * 100 >= n * SIMILARITY)
-        ok &= (rank > x) if first is None else (~first if first[x] else False)
-        y = np.flatnonzero(ok)
+        y = _facing(x, first, comp, n)
         if not len(y):
             continue
         for k in y[survives(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])].tolist():
@@ -222,38 +243,62 @@ def cell_links(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, n: np.ndarra
     return out
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """members(bucket, m, node, n, component, signature, text) of open buckets -> links(a, b) between different components.
+def _deal(members: DataFrame) -> DataFrame:
+    """members(bucket, node, n, component, signature) of open buckets -> the same by pairs of cells (i, j), with own.
 
-    A bucket of m members has ceil(m / CELL) cells; a row goes to each pair of cells that holds its own."""
-    count = F.ceil(F.col("m") / CELL).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-    fields = ("bucket", "i", "j", "own", "node", "n", "component", "signature", "text")
-    dealt = own.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *fields[3:])
-    dealt = dealt.repartition(parallelism(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    Cells 0, 1, ... hold the members outside the bucket's largest component, cells -1, -2, ... that component; a pair of cells has
+    at least one of the former, so its rows are others x all, not all x all."""
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"))
+    count = lambda k: F.ceil(k / CELL).cast("int")
+    shape = shape.select("bucket", F.col("largest.component").alias("main"), count(F.col("largest.k")).alias("mains"), count(F.col("m") - F.col("largest.k")).alias("others"))
+    main, hashed = F.col("component") == F.col("main"), F.xxhash64("node")
+    own = F.when(main, -1 - F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    across = F.sequence(F.lit(0), F.col("others") - 1)
+    met = F.when(main, across).otherwise(F.concat(across, F.sequence(-F.col("mains"), F.lit(-1))))
+    dealt = members.join(shape, "bucket").withColumn("own", own).withColumn("other", F.explode(met))
+    return dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component", "signature")
 
-    def links(rows: list[tuple]) -> pa.RecordBatch:
-        if len(rows) < 2:
-            found = []
-        else:
+
+def _by_cells(dealt: DataFrame, fields: tuple[str, ...], schema: str, one) -> DataFrame:
+    """one(rows, first, node, comp, sig, n) for each pair of cells; first as in _facing."""
+    dealt = dealt.repartition(parallelism(dealt.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        found = []
+        if len(rows) > 1:
             first = np.array([r[1] == r[3] for r in rows]) if rows[0][1] != rows[0][2] else None
             n, node, comp = (np.array([r[k] for r in rows], np.int64) for k in (5, 4, 6))
             sig = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(len(rows), HASHES)
-            found = cell_links(node, comp, sig, n, first, [r[8] for r in rows])
-        return pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = one(rows, first, node, comp, sig, n)
+        names = [c.split() for c in schema.split(", ")]
+        kinds = {"long": pa.int64(), "int": pa.int32()}
+        return pa.record_batch([pa.array([f[k] for f in found], kinds[kind]) for k, (_, kind) in enumerate(names)], names=[c for c, _ in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for b in batches:
             for r in zip(*(column(b, f) for f in fields), strict=True):
                 if group and group[0][:3] != r[:3]:
-                    yield links(group)
+                    yield made(group)
                     group = []
                 group.append(r)
         if group:
-            yield links(group)
+            yield made(group)
+
+    return dealt.mapInArrow(run, schema)
+
+
+FIELDS = ("bucket", "i", "j", "own", "node", "n", "component", "signature")
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _cells(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members of open buckets -> links(a, b) between different components, confirmed on texts(node, text)."""
+    dealt = _deal(members)
+    needed = _by_cells(dealt, FIELDS, "bucket long, i int, j int, node long", lambda rows, first, node, comp, sig, n: [(*rows[k][:3], rows[k][4]) for k in cell_survivors(comp, sig, n, first).tolist()])
+    needed = materialize(needed, "needed")
+    some = dealt.join(needed, ["bucket", "i", "j", "node"], "left_semi").join(texts, "node").select(*FIELDS, "text")
+    return _by_cells(some, (*FIELDS, "text"), "a long, b long", lambda rows, first, node, comp, sig, n: cell_links(node, comp, sig, n, first, [r[8] for r in rows])).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -275,10 +320,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     label = components(links)
     left = met.join(label, "node", "left").select("bucket", "m", "node", "n", F.coalesce("component", "node").alias("component"))
     open_ = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    members = left.join(open_, "bucket", "left_semi").join(representatives.select("node", "signature"), "node").join(texts.withColumnRenamed("doc_id", "node"), "node")
-    more = materialize(_cells(members), "more")
+    members = left.join(open_, "bucket", "left_semi").join(representatives.select("node", "signature"), "node")
+    members = materialize(members.select("bucket", "node", "n", "component", "signature"), "members")
+    more = materialize(_cells(members, texts.withColumnRenamed("doc_id", "node")), "more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
+    discard(met, texts, members)
     named = described.select("doc_id", "n", "same").join(classes.select("same", "node"), "same", "left").join(label, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -95,3 +95,50 @@ def test_long_paths_become_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["component"] for r in N.components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_a_large_open_bucket_of_several_components(spark, monkeypatch):
+    """One bucket of thousands of members: a main component, two others, and members of none. Main cells never meet each other, and what is found is what all pairs give."""
+    monkeypatch.setattr(N, "CELL", 64)
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 62, 400, np.uint64))
+    sets = []
+    for kind, many in ((0, 1500), (1, 300), (2, 200), (3, 200)):
+        core = base if kind == 0 else np.union1d(base[: len(base) * 2 // 3], np.unique(np.random.default_rng(kind).integers(0, 1 << 62, 130, np.uint64)))
+        for _ in range(many):
+            own = core if kind < 3 else np.union1d(base[: len(base) // 2], rng.integers(0, 1 << 62, 200, np.uint64))
+            sets.append((kind, np.unique(np.concatenate([own[3:], rng.integers(0, 1 << 62, 3, np.uint64)]))))
+    order = rng.permutation(len(sets))
+    rows = [(1, int(i), len(sets[k][1]), 10_000 + sets[k][0] if sets[k][0] == 0 else int(i), N.signature(sets[k][1]).tobytes()) for i, k in enumerate(order)]
+    members = spark.createDataFrame([(b, i, n, c, bytearray(s)) for b, i, n, c, s in rows], "bucket long, node long, n long, component long, signature binary")
+    dealt = N._deal(members)
+    others, cells = 700, -(-1500 // 64)
+    assert dealt.filter("i < 0 AND j < 0").count() == 0
+    assert dealt.count() == 1500 * -(-others // 64) + others * (-(-others // 64) + cells)
+    by_node = {int(i): sets[k][1] for i, k in enumerate(order)}
+    monkeypatch.setattr(N, "similar", lambda a, b: True)
+    pairs = N._by_cells(dealt, N.FIELDS, "bucket long, i int, j int, node long", lambda rows, first, node, comp, sig, n: [(*rows[k][:3], rows[k][4]) for k in N.cell_survivors(comp, sig, n, first).tolist()])
+    needed = {r["node"] for r in pairs.collect()}
+    monkeypatch.undo()
+    linked = {i for i in by_node if any(k != i and rows[k][3] != rows[i][3] and N.similar(by_node[i], by_node[k]) for k in rng.integers(0, len(rows), 60).tolist())}
+    assert linked <= needed
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "a b " * 250_000
+    rows = [(1, long, 1, b"x"), (2, long + "c", 1, b"x"), (3, " " * 1_000_000 + "a", 1, b"x"), (4, "x" * 1_000_000, 1, b"x"), (5, "x" * 999_999, 1, b"x"), (6, None, 1, b"x")]
+    df = spark.createDataFrame([(i, t, n, bytearray(b)) for i, t, n, b in rows], "doc_id long, text string, component long, signature binary")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (3, 2), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (0, 6)}
+
+
+def test_steps_are_deleted_and_the_folder_must_be_shared(spark, tmp_path):
+    import os
+
+    from tessera.sources import shared
+
+    folder = shared.shared_dir(spark).replace("file:", "") + "/tessera"
+    before = set(os.listdir(folder))
+    N.near_duplicates(spark.createDataFrame(corpus(3), "doc_id long, text string")).collect()
+    kept = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert not kept & {"met", "texts", "members"}
