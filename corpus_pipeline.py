@@ -3,9 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and all documents its predecessor kept; all but the last return the columns of documents.
 
 Defined results: documents without a letter (null or empty texts too), or of an ambiguous language, go in the first stage; of each
-near-duplicate group the document of least doc_id stays, of rows with one doc_id one, and all rows without doc_id; texts with
-personal data are rewritten and their n_chars counted anew; an empty table passes through all stages; extra columns are carried
-along whatever their names, and dropped by the last stage.
+near-duplicate group the document of least doc_id stays (nulls last), whether or not ids are unique; texts with personal data are
+rewritten and their n_chars counted anew; an empty table passes through all stages; extra columns are carried along whatever
+their names, and dropped by the last stage.
 """
 
 from __future__ import annotations
@@ -29,9 +29,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """Rows are numbered in a written table, so that each has a decision of its own, whatever its doc_id; of a group the least doc_id stays, nulls last, then the first number."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    rows = materialize(docs.select(whole.alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+    said = near_duplicates(rows.select(F.col("at").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("at"), F.col("component_id").alias("group"))
+    said = said.join(rows.select("at", "row.doc_id"), "at")
+    kept = said.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("least")).select("least.at")
+    return rows.join(kept, "at", "left_semi").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
