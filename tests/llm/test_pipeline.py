@@ -47,3 +47,10 @@ def test_odd_tables(spark, tmp_path):
     got = C.run(spark, f"{tmp_path}/some").collect()
     assert sorted([r["doc_id"] for r in got], key=repr) == [1, None]
     assert C.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, b, c = "one two three four five six", "some quite other words stand here", "these are words of a third text"
+    docs = spark.createDataFrame([(None, a, 1), (7, a, 2), (7, b, 3), (7, b, 4), (None, c, 5), (None, c, 6), (3, None, 7), (3, "", 8)], "doc_id long, text string, at int")
+    got = sorted(((r["doc_id"], r["text"]) for r in C.near_duplicate(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(7, a), (7, b), (None, c), (3, None), (3, "")], key=repr)
