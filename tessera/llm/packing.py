@@ -38,7 +38,7 @@ from .bpe import PATTERN, byte_letters, tokenizer_path
 from .common import column, materialize, parallelism, table
 
 CAPACITY, END = 2048, 0
-BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 3, 3, 8, 6, 2
+BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 2, 3, 6, 6, 2
 LONG = 1000
 # Fixed value: the characters that the split pattern takes for white space.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
