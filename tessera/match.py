@@ -33,10 +33,9 @@ class Curves:
     params: Params
 
     def apply(self, px: DataFrame, weight: str | None = None) -> DataFrame:
-        """px with matched r, g, b; with a weight column only so far. Presets blend with the original."""
-        if weight:
-            return P.apply_weighted(px, self.df, weight)
-        return P.preset(P.mapped(px, self.df), self.params.preset)
+        """px with matched r, g, b. Presets blend with the original; with a weight column (a palette's, a mask's or a selection's, 0 to 1) the outcome counts only so far."""
+        made = P.mapped(px, self.df)
+        return P.preset_weighted(made, self.params.preset, weight) if weight else P.preset(made, self.params.preset)
 
     def to_lut(self, size: int = 33, strength: float = 1.0) -> DataFrame:
         return P.lut_grid(self.df, size, self.params.preset, strength)

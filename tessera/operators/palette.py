@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.color import byte, half_up, hash01, luma, num, with_lab, with_rgb
+from tessera.functions.color import byte, half_up, hash01, luma, num, pack, with_lab, with_rgb
+
+from .pixels import LABELS
+from .pixels import preset as blend
 
 STRIDE, ROUNDS, SETTLED, SOFT_BASE = 4, 12, 0.5, 5000.0
 SOURCE_PIXELS, LEAST_WIDTH = 4096, 1.5
@@ -197,3 +200,58 @@ def recipe_source(swatches: DataFrame, total: int = SOURCE_PIXELS) -> DataFrame:
     fill = df.groupBy().agg(F.max("to").alias("from"), *[F.min_by(c, "idx").alias(c) for c in "rgb"]).filter(F.col("from") < total).withColumn("to", F.lit(total))
     spans = df.select("from", "to", *"rgb").unionByName(fill.select("from", "to", *"rgb"))
     return spans.select(F.explode(F.sequence(F.col("from").cast("bigint"), F.col("to").cast("bigint") - 1)).alias("px_id"), *"rgb", F.lit(255).alias("a"))
+
+
+STOPS = 32
+#: What an empty palette stands for.
+NO_COLOR = 0x888888
+
+
+def clamp_byte(c: Column) -> Column:
+    """Rounded into a byte; what is no number is 0."""
+    x = c.cast("double")
+    return F.when(x.isNull() | F.isnan(x), F.lit(0)).otherwise(half_up(F.greatest(num(0), F.least(num(255), x))))
+
+
+def shown_palette(source: Column, target: Column) -> Column:
+    """The source's swatches, or the target's where there are none, or no swatch."""
+    some = lambda c: F.when(F.size(c) > 0, c)
+    return F.coalesce(some(source), some(target), source, target)
+
+
+def gradient_stops(states: DataFrame, key: str, palette: Column, preset: Column, n: int = STOPS) -> DataFrame:
+    """One row per state and stop: key, i, r, g, b, pct. Each grey stop takes the swatch of nearest lightness (the first among equals), blended by the state's preset; without swatches it stays grey.
+
+    palette: array<struct<r,g,b,labL>>. States are few numbers each; stops are made by explode, without a shuffle."""
+    grey = half_up(F.col("i") / num(n - 1) * num(255))
+    df = states.select(key, palette.alias("_p"), F.coalesce(preset, F.lit("color")).alias("_preset"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    df = df.withColumn("_g", grey)
+    light = F.col("_g") / num(255) * num(100)
+    far = lambda s: F.coalesce(F.abs(F.when(~F.isnan(s["labL"].cast("double")), s["labL"]).cast("double") - light), num(1e9))
+    ranked = F.transform("_p", lambda s, k: F.struct(far(s).alias("far"), k.alias("k"), *[clamp_byte(s[c]).alias(c) for c in "rgb"]))
+    best = F.array_min(ranked)
+    df = df.withColumn("_s", best).select(key, "i", "_preset", *[F.col("_g").alias(c) for c in "rgb"], *[F.coalesce(F.col("_s")[c], F.col("_g")).alias(f"m_{c}") for c in "rgb"])
+    parts = None
+    for name in LABELS:
+        known = F.col("_preset").isin(*LABELS)
+        part = blend(df.filter((F.col("_preset") == name) | (~known if name == "color" else F.lit(False))), name)
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.select(key, "i", *"rgb", F.format_string("%.6f", F.col("i") / num(n - 1) * num(100)).alias("pct"))
+
+
+def gradient_css(stops: DataFrame, key: str) -> DataFrame:
+    """key and css of stops(key, i, r, g, b, pct)."""
+    part = F.format_string("rgb(%d,%d,%d) %s%%", F.col("r"), F.col("g"), F.col("b"), F.col("pct"))
+    one = stops.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", part.alias("p")))).alias("x"))
+    return one.select(key, F.concat(F.lit("linear-gradient(to right, "), F.array_join(F.transform("x", lambda x: x["p"]), ", "), F.lit(")")).alias("css"))
+
+
+def signature(palette: Column, user: Column) -> Column:
+    """struct<colors, weights>: packed colours, and prevalence times user weight (1 where there is none, never below 0) in hundredths; an empty palette is one grey of weight 100."""
+    whole = lambda c: F.when(c.isNull() | F.isnan(c.cast("double")), num(0)).otherwise(c.cast("double"))
+    mult = lambda i: F.greatest(num(0), F.coalesce(F.when(~F.isnan(F.get(user, i)), F.get(user, i)), num(1)))
+    known = F.filter(F.transform(palette, lambda s, i: F.struct(s.alias("s"), i.alias("i"))), lambda x: x["s"].isNotNull())
+    colors = F.transform(known, lambda x: pack(*[clamp_byte(x["s"][c]) for c in "rgb"]))
+    weights = F.transform(known, lambda x: half_up(whole(x["s"]["weight"]) * mult(x["i"]) * num(100)))
+    empty = F.coalesce(F.size(known), F.lit(0)) < 1
+    return F.struct(F.when(empty, F.array(F.lit(NO_COLOR))).otherwise(colors).alias("colors"), F.when(empty, F.array(F.lit(100))).otherwise(weights).alias("weights"))

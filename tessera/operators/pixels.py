@@ -44,6 +44,13 @@ def _hsl(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}H": h, f"{prefix}S": s, f"{prefix}L": l})
 
 
+def preset_weighted(df: DataFrame, name: str, weight: str) -> DataFrame:
+    """The preset's blend first, then as much of it as the weight says."""
+    before = {f"_o_{c}": F.col(c) for c in RGB}
+    out = preset(df.withColumns(before), name)
+    return out.withColumns({c: weighted(F.col(f"_o_{c}"), F.col(c), F.col(weight)) for c in RGB}).drop(*before)
+
+
 def preset(df: DataFrame, name: str) -> DataFrame:
     """Blends m_r, m_g, m_b into r, g, b: hue takes H and S, hueOnly H, saturationOnly S of the mapped colour and keeps the original luma; contrast takes the luma step alone; color all."""
     own, new = tuple(map(F.col, RGB)), tuple(F.col(f"m_{c}") for c in RGB)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.color import num
+from tessera.functions.color import half_up, num, pack
 
 FORMAT, VERSION = "tessera-recipes", 1
 SWATCH = "struct<r:int,g:int,b:int,weight:double,labL:double,labA:double,labB:double>"
@@ -111,6 +111,25 @@ def merge(existing: DataFrame, imported: DataFrame) -> DataFrame:
     return new.unionByName(existing.select("key", "ord", "pinned", F.lit("own").alias("origin")))
 
 
+def merge_report(existing: DataFrame, imported: DataFrame) -> DataFrame:
+    """added and skipped: imported entries with a new key (the first of each), and all others."""
+    first = imported.groupBy("key").agg(F.count("*").alias("n"))
+    known = existing.select("key", F.lit(True).alias("known")).distinct()
+    added = F.col("known").isNull().cast("long")
+    return first.join(known, "key", "left").agg(F.coalesce(F.sum(added), F.lit(0)).alias("added"), F.coalesce(F.sum(F.col("n") - added), F.lit(0)).alias("skipped"))
+
+
+def clear_unpinned(entries: DataFrame) -> DataFrame:
+    """The pinned entries alone."""
+    return entries.filter(F.coalesce("pinned", F.lit(False)))
+
+
+def fresh_names(entries: DataFrame, current: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """entries with the current name of what they refer to, or the name they were stored with where it is gone."""
+    now = current.select(key, F.col(name).alias("_now"))
+    return entries.join(now, key, "left").withColumn(name, F.coalesce("_now", name)).drop("_now")
+
+
 # The recipes that a new panel starts with.
 STARTERS = [
     ("starter-1", "Punch — Contrast Lift", "contrast", [1.0, 1.0, 1.0, 1.0, 1.0], [(0, 0), (64, 48), (128, 128), (192, 208), (255, 255)]),
@@ -120,9 +139,21 @@ STARTERS = [
 ]
 
 
+# The greys of the neutral palette that all starters share, each of a weight of a fifth.
+NEUTRAL = [25, 70, 128, 185, 230]
+
+
 def starters(spark: SparkSession) -> DataFrame:
-    """id, name, preset, weights, and points as data only: they are in output values, not weights."""
-    return spark.createDataFrame([(i, n, p, w, [{"x": x, "y": y} for x, y in e]) for i, n, p, w, e in STARTERS], "id string, name string, preset string, weights array<double>, points array<struct<x:int,y:int>>")
+    """The starters as whole entries: id, timestamp, label, name, pinned, preset, output_mode, weights, swatches, signature, and points as data only: they are in output values, not weights."""
+    rows = [(i, n, p, w, [{"x": x, "y": y} for x, y in e]) for i, n, p, w, e in STARTERS]
+    df = spark.createDataFrame(rows, "id string, name string, preset string, weights array<double>, points array<struct<x:int,y:int>>")
+    grey = lambda g: F.struct(g.alias("r"), g.alias("g"), g.alias("b"), num(0.2).alias("weight"), (g / num(255) * num(100)).alias("labL"), num(0).alias("labA"), num(0).alias("labB"))
+    swatches = F.transform(F.lit(NEUTRAL).cast("array<int>"), grey)
+    state = F.struct(F.lit("rgb").alias("outputMode"), F.lit("rgb").alias("colorSpace"), F.col("preset"), F.lit(len(NEUTRAL)).alias("paletteCount"), swatches.alias("sourcePaletteSwatches"))
+    colors = F.transform("swatches", lambda s: pack(s["r"], s["g"], s["b"]))
+    hundredths = F.transform("weights", lambda w: half_up(w * num(100)))
+    df = df.select("id", F.lit(0).cast("long").alias("timestamp"), label(state).alias("label"), "name", F.lit(True).alias("pinned"), "preset", F.lit("rgb").alias("output_mode"), "weights", "points", swatches.alias("swatches"))
+    return df.withColumn("signature", F.struct(colors.alias("colors"), hundredths.alias("weights")))
 
 
 def restore(state: Column, full: bool) -> dict[str, Column]:

@@ -89,9 +89,24 @@ def history_update(s, d):
 
 def recipe_merge(s, d):
     """Purchases are what is there, all other events what is imported; keys are of user and hour."""
-    key = F.concat_ws("|", F.col("user_id").cast("string"), F.expr("ms div 3600000").cast("string"))
-    e = events(s, d).select(key.alias("key"), F.col("event_id").alias("ord"), F.lit(False).alias("pinned"), F.col("event_type").alias("kind"))
-    return R.merge(e.filter("kind = 'purchase'").drop("kind"), e.filter("kind <> 'purchase'").drop("kind"))
+    return R.merge(*merge_sides(s, d))
+
+
+def merge_sides(s, d):
+    e = events(s, d).select(F.col("event_id").alias("ord"), F.lit(False).alias("pinned"), F.col("event_type").alias("kind"), F.concat_ws("|", F.col("user_id").cast("string"), F.expr("ms div 3600000").cast("string")).alias("key"))
+    return e.filter("kind = 'purchase'").drop("kind"), e.filter("kind <> 'purchase'").drop("kind")
+
+
+def fresh(s, d):
+    """Orders with the customers' names, some stored under an old name, some whose customer is gone."""
+    stored = table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") * F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(1)).alias("c_custkey"), F.concat(F.lit("was "), F.col("o_custkey").cast("string")).alias("name"))
+    return R.fresh_names(stored, table(s, d, "customer").select("c_custkey", F.col("c_name").alias("name")), "c_custkey").select("o_orderkey", "name")
+
+
+def paused(s, d):
+    """Events wait while an error has paused their user; a signup lets them go on."""
+    e = events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "signup", "resume").otherwise("event").alias("act"))
+    return E.flush_pauses(e)
 
 
 def undo_query(s, d):
@@ -107,7 +122,9 @@ def state_query(s, d):
 
 
 def starters(s, d):
-    return R.starters(s).select("id", "name", "preset", F.array_join(F.transform("weights", lambda w: F.format_string("%.1f", w)), ",").alias("weights"), F.array_join(F.transform("points", lambda p: F.format_string("%d:%d", p["x"], p["y"])), ",").alias("points"))
+    sig = [F.array_join(F.transform(f"signature.{c}", lambda x: x.cast("string")), ",").alias(f"sig_{c}") for c in ("colors", "weights")]
+    light = F.array_join(F.transform("swatches", lambda w: F.format_string("%.4f", w["labL"])), ",").alias("lights")
+    return R.starters(s).select("timestamp", "label", "pinned", "output_mode", *sig, light, "id", "name", "preset", F.array_join(F.transform("weights", lambda w: F.format_string("%.1f", w)), ",").alias("weights"), F.array_join(F.transform("points", lambda p: F.format_string("%d:%d", p["x"], p["y"])), ",").alias("points"))
 
 
 def layers(s, d):
@@ -133,6 +150,10 @@ QUERIES = {
     "history_prune": history_prune,
     "history_update": history_update,
     "recipe_merge": recipe_merge,
+    "merge_report": lambda s, d: R.merge_report(*merge_sides(s, d)),
+    "clear_unpinned": lambda s, d: R.clear_unpinned(history(s, d)).select("user_id", "id"),
+    "fresh_names": fresh,
+    "pause_flush": paused,
     "undo_fold": undo_query,
     "state_restore": state_query,
     "starter_recipes": starters,
@@ -174,6 +195,13 @@ UNION ALL SELECT f.user_id, f.rn + 1, CASE WHEN coalesce(hs.ms - list_filter(h,
     "history_update": f"WITH {HIST} SELECT user_id, id, CASE WHEN id % 10 = 3 THEN NOT p ELSE p END pinned, CASE WHEN id % 20 = 3 THEN NULL WHEN id % 10 = 3 THEN 'n' || id ELSE 'old' END custom_name FROM hs",
     "recipe_merge": f"""WITH {EV}, e AS (SELECT user_id || '|' || (ms // 3600000) "key", event_id ord, event_type k FROM ev), o AS (SELECT * FROM e WHERE k = 'purchase')
 SELECT "key", min(ord) ord, true pinned, 'import' origin FROM e WHERE k <> 'purchase' AND "key" NOT IN (SELECT "key" FROM o) GROUP BY 1 UNION ALL SELECT "key", ord, false, 'own' FROM o""",
+    "merge_report": f"""WITH {EV}, e AS (SELECT user_id || '|' || (ms // 3600000) "key", event_type k FROM ev), o AS (SELECT DISTINCT "key" FROM e WHERE k = 'purchase'), i AS (SELECT "key", count(*) n, "key" IN (SELECT "key" FROM o) old FROM e WHERE k <> 'purchase' GROUP BY 1)
+SELECT CAST(count(*) FILTER (NOT old) AS BIGINT) added, CAST(sum(CASE WHEN old THEN n ELSE n - 1 END) AS BIGINT) skipped FROM i""",
+    "clear_unpinned": "SELECT user_id, event_id id FROM events WHERE event_type = 'signup'",
+    "fresh_names": "SELECT o_orderkey, coalesce(c_name, 'was ' || o_custkey) \"name\" FROM orders LEFT JOIN customer ON c_custkey = CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END",
+    "pause_flush": f"""WITH {EV}, e AS (SELECT user_id, event_id id, ms, event_type k FROM ev), r AS (SELECT *, max(CASE WHEN k IN ('error', 'signup') THEN (ms, id, k) END) OVER (PARTITION BY user_id ORDER BY ms, id) s,
+ min(CASE WHEN k = 'signup' THEN (ms, id) END) OVER (PARTITION BY user_id ORDER BY ms, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) nx FROM e)
+SELECT user_id, id, CASE WHEN coalesce(s[3] = 'error', false) THEN nx[1] ELSE ms END at_ms FROM r WHERE k NOT IN ('error', 'signup')""",
     "undo_fold": f"""WITH RECURSIVE {EV}, ac AS (SELECT user_id, {ROWS}, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'change' END act, event_type || (event_id % 2) s FROM ev),
 f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) rn, CAST(NULL AS VARCHAR) cur, CAST([] AS VARCHAR[]) past, CAST([] AS VARCHAR[]) fut FROM ac
 UNION ALL SELECT f.user_id, f.rn + 1,
@@ -184,7 +212,9 @@ UNION ALL SELECT f.user_id, f.rn + 1,
 SELECT user_id, cur present, CAST(pd AS INT) undo_depth, CAST(fd AS INT) redo_depth FROM l""",
     "state_restore": f"""WITH {ST} SELECT user_id, preset, CASE WHEN om IS NOT NULL THEN om WHEN cs = 'lab' THEN cs ELSE 'lut' END output_mode, CAST(CASE WHEN pc IN (3, 5, 7) THEN pc ELSE 5 END AS INT) palette_count, coalesce(ss, 0e0) source_softness, CAST(user_id % 50 AS DOUBLE) target_softness,
 least(100e0, user_id*2e0) lut_strength, CASE user_id % 4 WHEN 0 THEN 17 WHEN 3 THEN 65 ELSE 33 END lut_grid, CASE WHEN user_id % 2 = 1 THEN 'focus' ELSE 'off' END selection_mode, 0e0 recipe_target_softness, 'off' recipe_selection_mode FROM md""",
-    "starter_recipes": "SELECT * FROM (VALUES ('starter-1', 'Punch — Contrast Lift', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:48,128:128,192:208,255:255'), ('starter-2', 'Faded — Lifted Shadows', 'color', '1.0,1.0,1.0,1.0,1.0', '0:24,64:70,128:130,192:200,255:248'), ('starter-3', 'Warm Midtones', 'hue', '0.7,1.0,1.2,1.2,0.9', ''), ('starter-4', 'Mono — Contrast B&W', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:40,128:128,192:220,255:255')) t(id, \"name\", preset, weights, points)",
+    "starter_recipes": """WITH v AS (SELECT * FROM (VALUES ('starter-1', 'Punch — Contrast Lift', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:48,128:128,192:208,255:255'), ('starter-2', 'Faded — Lifted Shadows', 'color', '1.0,1.0,1.0,1.0,1.0', '0:24,64:70,128:130,192:200,255:248'), ('starter-3', 'Warm Midtones', 'hue', '0.7,1.0,1.2,1.2,0.9', ''), ('starter-4', 'Mono — Contrast B&W', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:40,128:128,192:220,255:255')) t(id, "name", preset, weights, points))
+SELECT CAST(0 AS BIGINT) "timestamp", 'RGB · ' || upper(preset[1]) || preset[2:] || ' · 5 swatches' "label", true pinned, 'rgb' output_mode, '1644825,4605510,8421504,12171705,15132390' sig_colors,
+ array_to_string(list_transform(string_split(weights, ','), lambda w: CAST(round(CAST(w AS DOUBLE)*100) AS INT)), ',') sig_weights, '9.8039,27.4510,50.1961,72.5490,90.1961' lights, v.* FROM v""",
     "b64": "SELECT event_id, to_base64(encode('é ' || props)) b64 FROM events",
     "layer_paths": f"WITH RECURSIVE {LAY}, w AS (SELECT layer_id, kind, \"name\" path FROM ly WHERE parent_id IS NULL AND \"name\" <> 'Match' UNION ALL SELECT ly.layer_id, ly.kind, w.path || ' / ' || ly.\"name\" FROM w JOIN ly ON ly.parent_id = w.layer_id WHERE ly.\"name\" <> 'Match') SELECT layer_id, path FROM w WHERE kind IN ('pixel', 'smartObject') OR kind IS NULL",
     "group_consolidate": f"WITH {LAY}, g AS (SELECT layer_id, parent_id, ord FROM ly WHERE \"name\" = 'Match' AND kind = 'group'), c AS (SELECT arg_min(layer_id, (parent_id, ord)) k FROM g) SELECT layer_id, CASE WHEN parent_id IN (SELECT layer_id FROM g) THEN k ELSE parent_id END parent_id, \"name\" FROM ly, c WHERE layer_id NOT IN (SELECT layer_id FROM g) OR layer_id = k",

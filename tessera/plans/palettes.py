@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.color import half_up, num, pack
+from tessera.functions.color import num
 from tessera.operators import palette as A
 from tessera.operators import pixels as P
 from tessera.operators import raster as T
 from tessera.sources.files import png_tiles
 from tessera.sources.fixtures import CLUSTERS
+from tessera.sources.fixtures import table
 from tessera.sources.fixtures import target_pixels as tgt
 
 from .fits import fitted
@@ -76,26 +77,40 @@ def swatch_color(s, d):
     return out
 
 
-def stops(s, d, n=32):
-    """Grey stops and the palette's nearest by lightness, the first among equals."""
-    grey = half_up(F.col("id") / num(n - 1) * num(255))
-    df = s.range(n).select(F.col("id").cast("int").alias("i"), grey.alias("g"))
-    pal = F.array(*[F.struct(F.abs(num(w[6]) - F.col("g") / num(255) * num(100)).alias("far"), F.lit(w[0]).alias("idx"), *[F.lit(v).alias(f"m_{c}") for c, v in zip("rgb", w[1:4], strict=True)]) for w in SWATCHES])
-    best = df.withColumn("s", F.array_min(pal)).select("i", F.col("g").alias("r"), "g", F.col("g").alias("b"), "s.m_r", "s.m_g", "s.m_b")
-    return P.preset(best, "hue").select("i", "r", "g", "b", F.format_string("%.6f", F.col("i") / num(n - 1) * num(100)).alias("pct"))
+SWATCH = "struct<r:double,g:double,b:double,weight:double,labL:double>"
+
+
+def _swatches(k, n, shift):
+    """n swatches of customer k; colours may lie outside a byte."""
+
+    def one(j):
+        values = {"r": (k * 37 + j * 91 + shift) % 300 - 20, "g": (k * 11 + j * 57 + shift) % 256, "b": (k * 5 + j * 133 + shift) % 280}
+        return F.struct(*[v.cast("double").alias(c) for c, v in values.items()], ((k + j) % 10 / num(4)).alias("weight"), ((k * 13 + j * 29 + shift) % 101).cast("double").alias("labL"))
+
+    made = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), one)
+    return F.when(n > 0, made).otherwise(F.array().cast(f"array<{SWATCH}>"))
+
+
+def states(s, d):
+    """A state per customer: up to three source swatches, up to two target swatches, a preset and user weights for some of them."""
+    k = F.col("c_custkey").cast("long")
+    preset = F.element_at(F.array(*map(F.lit, [*P.LABELS, "unknown"])), (k % 6 + 1).cast("int"))
+    df = table(s, d, "customer").select(k.alias("k"), preset.alias("preset"), _swatches(k, k % 4, 0).alias("source"), _swatches(k, k * 7 % 3, 50).alias("target"))
+    return df.withColumn("palette", A.shown_palette(F.col("source"), F.col("target"))).withColumn("user", F.when(F.col("k") % 5 > 0, F.array(F.col("k") % 3 - num(0.5), F.col("k") % 7 / num(2))))
+
+
+def stops(s, d):
+    return A.gradient_stops(states(s, d), "k", F.col("palette"), F.col("preset"))
 
 
 def gradient_css(s, d):
-    part = F.format_string("rgb(%d,%d,%d) %s%%", F.col("r"), F.col("g"), F.col("b"), F.col("pct"))
-    one = stops(s, d).agg(F.array_sort(F.collect_list(F.struct("i", part.alias("p")))).alias("x"))
-    return one.select(F.concat(F.lit("linear-gradient(to right, "), F.array_join(F.transform("x", lambda x: x["p"]), ", "), F.lit(")")).alias("css"))
+    return A.gradient_css(stops(s, d), "k")
 
 
 def signature(s, d):
-    """Packed colours, weights in hundredths and shares of the strip."""
-    df = swatches(s).select("idx", pack(F.col("r"), F.col("g"), F.col("b")).alias("color"), half_up(F.col("weight") * F.greatest(num(0), F.col("user")) * num(100)).alias("w"))
-    total = df.agg(F.sum("w").alias("t"))
-    return df.crossJoin(F.broadcast(total)).select("idx", "color", "w", F.round(F.col("w") / F.when(F.col("t") == 0, num(1)).otherwise(F.col("t")), 9).alias("share"))
+    """Packed colours and weights in hundredths, by place."""
+    df = states(s, d).select("k", A.signature(F.col("palette"), F.col("user")).alias("x"))
+    return df.select("k", F.posexplode(F.arrays_zip("x.colors", "x.weights")).alias("idx", "z")).select("k", "idx", F.col("z.colors").alias("color"), F.col("z.weights").alias("w"))
 
 
 def selection(s, d):
@@ -127,6 +142,14 @@ def rects(s, d):
     return px.select("px_id", a.alias("a"), b.alias("b"))
 
 
+def png(s, d):
+    """Tiles of 64 rows of 100 pixels: size, size told in the header, and a digest of the stored rows, which one uncompressed block holds."""
+    df = png_tiles(tgt(s, d), 100)
+    rows = F.substring("png", F.lit(49), F.col("height") * 401)
+    header = F.hex(F.substring("png", 17, 8))
+    return df.select("tile", "height", F.octet_length("png").alias("bytes"), header.alias("size"), F.sha2(rows, 256).alias("rows_sha256"))
+
+
 QUERIES = {
     "cluster_distances": cluster_distances,
     "nearest_cluster": nearest_cluster,
@@ -152,7 +175,7 @@ QUERIES = {
     "selection_as_alpha": lambda s, d: T.selection_as_alpha(tgt(s, d), selection(s, d).filter("px_id % 3 <> 0")).select("px_id", *P.RGB, "a"),
     "mask_compose": mask_compose,
     "preview_selection": preview_selection,
-    "png_encode": lambda s, d: png_tiles(tgt(s, d), 100),
+    "png_encode": png,
     "rect_intersect": lambda s, d: rects(s, d).select("px_id", T.intersect(F.col("a"), F.col("b")).alias("i")).select("px_id", *[F.col(f"i.{k}").alias(f"{k}_") for k in T.SIDES]),
     "stats_rect": lambda s, d: rects(s, d).select("px_id", F.coalesce(T.intersect(F.col("a"), F.col("b")), F.col("a")).alias("i")).select("px_id", *[F.col(f"i.{k}").alias(f"{k}_") for k in T.SIDES]),
 }
@@ -172,8 +195,15 @@ SW = "sws(idx, r, g, b, p, u, l) AS (VALUES " + ", ".join(f"({', '.join(map(str,
 BAR = f"""{SW}, bv AS (SELECT *, greatest(0, u)*greatest(0, p) val, {luma()} y FROM sws), bw AS (SELECT *, greatest(15e-1, val/CASE WHEN sum(val) OVER () = 0 THEN 1 ELSE sum(val) OVER () END*100) w0 FROM bv),
 bars AS (SELECT *, w0/sum(w0) OVER ()*100 width, CAST(row_number() OVER (ORDER BY y, idx) - 1 AS INT) ord FROM bw), bl AS (SELECT *, coalesce(sum(width) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lft FROM bars)"""
 SEL = "sel AS (SELECT px_id, x, y, CASE WHEN x BETWEEN 20 AND 70 AND y BETWEEN 2 AND 6 THEN 255 ELSE CAST((px_id*7) % 256 AS INT) END m FROM tgt)"
-STOPS = f"""{SW}, gr AS (SELECT CAST(range AS INT) i, CAST(floor(range/31e0*255 + 5e-1) AS INT) g FROM range(32)), nr AS (SELECT i, any_value(gr.g) g, arg_min(idx, (abs(l - gr.g/255e0*100), idx)) idx FROM gr CROSS JOIN sws GROUP BY i),
-st AS (SELECT i, nr.g r, nr.g g, nr.g b, s.r mr, s.g mg, s.b mb FROM nr JOIN sws s USING (idx)), stops AS (SELECT i, r, g, b, format('{{:.6f}}', i/31e0*100) pct FROM ({_preset('st', 'hue', 'i')}))"""
+_side = lambda shift: ", ".join(f"CAST(({e} + {shift}) % {m} AS DOUBLE){x} {c}" for c, e, m, x in (("r", "k*37 + j*91", 300, " - 20"), ("g", "k*11 + j*57", 256, ""), ("b", "k*5 + j*133", 280, ""), ("l", "k*13 + j*29", 101, "")))
+STATES = f"""cu AS (SELECT CAST(c_custkey AS BIGINT) k, ['color','hue','hueOnly','saturationOnly','contrast','unknown'][c_custkey % 6 + 1] preset FROM customer), js(j) AS (VALUES (0), (1), (2)),
+sw AS (SELECT k, preset, j, ((k+j) % 10)/4e0 p, {_side(0)} FROM cu, js WHERE j < k % 4 UNION ALL SELECT k, preset, j, ((k+j) % 10)/4e0, {_side(50)} FROM cu, js WHERE k % 4 = 0 AND j < k*7 % 3)"""
+_cb = lambda c: f"CAST(floor(greatest(0e0, least(255e0, {c})) + 5e-1) AS INT)"
+_stops_of = lambda name: _preset(f"(SELECT * FROM st WHERE preset {'NOT IN (' + repr(list(P.LABELS)[1:])[1:-1] + ')' if name == 'color' else '= ' + repr(name)})", name, "k, i")
+STOPS = f"""{STATES}, gr AS (SELECT CAST(range AS INT) i, CAST(floor(range/31e0*255 + 5e-1) AS INT) g FROM range(32)),
+nr AS (SELECT k, i, arg_min(sw, (abs(l - gr.g/255e0*100), j)) s FROM sw, gr GROUP BY k, i),
+st AS (SELECT cu.k, preset, gr.i, gr.g r, gr.g g, gr.g b, {', '.join(f"CASE WHEN s IS NULL THEN gr.g ELSE {_cb(f's.{c}')} END m{c}" for c in 'rgb')} FROM cu CROSS JOIN gr LEFT JOIN nr ON nr.k = cu.k AND nr.i = gr.i),
+al AS ({' UNION ALL '.join(f'SELECT k, i, r, g, b FROM ({_stops_of(n)})' for n in P.LABELS)}), stops AS (SELECT k, i, r, g, b, format('{{:.6f}}', i/31e0*100) pct FROM al)"""
 RECTS = "rc AS (SELECT px_id, x l, y t, x + r % 30 rr, y + g % 30 bb, greatest(x, 20) il, greatest(y, 2) it, least(x + r % 30, 70) ir, least(y + g % 30, 60) ib FROM tgt)"
 BOXES = """dim AS (SELECT max(x)+1 w, max(y)+1 h FROM tgt), sc AS (SELECT w, h, 33e0/greatest(w, h) s FROM dim), nd AS (SELECT w, h, greatest(1, floor(w*s + 5e-1)) nw, greatest(1, floor(h*s + 5e-1)) nh FROM sc),
 ex AS (SELECT CAST(i AS INT) o, floor(i*(w/nw)) lo, least(w, floor((i+1)*(w/nw))) hi FROM nd, LATERAL (SELECT unnest(range(CAST(nw AS BIGINT))) i)), ey AS (SELECT CAST(i AS INT) o, floor(i*(h/nh)) lo, least(h, floor((i+1)*(h/nh))) hi FROM nd, LATERAL (SELECT unnest(range(CAST(nh AS BIGINT))) i))"""
@@ -198,8 +228,9 @@ SELECT a.idx, b.idx "right", {', '.join(f'CAST(floor((a.{c}c+b.{c}c)/2e0 + 5e-1)
     "recipe_source": f"""WITH {SW}, v AS (SELECT *, greatest(0, u)*greatest(0, p) val FROM sws), c AS (SELECT *, greatest(1, floor(val/sum(val) OVER ()*4096 + 5e-1)) n FROM v), e AS (SELECT *, sum(n) OVER (ORDER BY idx) hi FROM c), px AS (SELECT range i FROM range(4096)),
 h AS (SELECT i, min(idx) idx FROM px LEFT JOIN e ON i < hi AND i >= hi-n GROUP BY i) SELECT i px_id, s.r, s.g, s.b, 255 a FROM h JOIN sws s ON s.idx = coalesce(h.idx, 0)""",
     "gradient_stops": f"WITH {STOPS} SELECT * FROM stops",
-    "gradient_css": f"WITH {STOPS} SELECT 'linear-gradient(to right, ' || string_agg(format('rgb({{}},{{}},{{}}) {{}}%', r, g, b, pct), ', ' ORDER BY i) || ')' css FROM stops",
-    "palette_signature": f"WITH {SW}, q AS (SELECT idx, CAST((r*65536) + (g*256) + b AS INT) color, CAST(floor(p*greatest(0, u)*100 + 5e-1) AS INT) w FROM sws) SELECT idx, color, w, round(w/CAST(CASE WHEN sum(w) OVER () = 0 THEN 1 ELSE sum(w) OVER () END AS DOUBLE), 9) \"share\" FROM q",
+    "gradient_css": f"WITH {STOPS} SELECT k, 'linear-gradient(to right, ' || string_agg(format('rgb({{}},{{}},{{}}) {{}}%', r, g, b, pct), ', ' ORDER BY i) || ')' css FROM stops GROUP BY k",
+    "palette_signature": f"""WITH {STATES} SELECT k, j idx, {_cb('r')}*65536 + {_cb('g')}*256 + {_cb('b')} color, CAST(floor(p*greatest(0, coalesce(CASE WHEN k % 5 > 0 THEN CASE j WHEN 0 THEN k % 3 - 5e-1 WHEN 1 THEN (k % 7)/2e0 END END, 1e0))*100 + 5e-1) AS INT) w FROM sw
+UNION ALL SELECT k, 0, {0x888888}, 100 FROM cu WHERE k NOT IN (SELECT k FROM sw)""",
     "weights_active": f"WITH {TGT} SELECT px_id, abs((r % 3)/100e0 + 1 - 1) > 1e-2 OR abs(1 - (g % 2)/100e0 - 1) > 1e-2 active FROM tgt",
     "downsample_box": f"WITH {TGT}, {BOXES} SELECT ex.o x, ey.o y, {', '.join(f'CAST(floor(sum(t.{c})/CAST(count(*) AS DOUBLE)) AS INT) {c}' for c in 'rgba')} FROM tgt t JOIN ex ON t.x >= ex.lo AND t.x < ex.hi JOIN ey ON t.y >= ey.lo AND t.y < ey.hi GROUP BY 1, 2",
     "mask_nn": f"WITH {TGT}, {SEL}, dim AS (SELECT max(x)+1 w, max(y)+1 h FROM tgt), g AS (SELECT CAST(i AS INT) x, CAST(j AS INT) y, CAST(least(w-1, floor(i/37e0*w)) AS INT) sx, CAST(least(h-1, floor(j/23e0*h)) AS INT) sy FROM dim, (SELECT range i FROM range(37)), (SELECT range j FROM range(23))) SELECT g.x, g.y, m FROM g JOIN sel ON sel.x = sx AND sel.y = sy",
@@ -208,6 +239,8 @@ h AS (SELECT i, min(idx) idx FROM px LEFT JOIN e ON i < hi AND i >= hi-n GROUP B
     "selection_as_alpha": f"WITH {TGT}, {SEL} SELECT px_id, r, g, b, CASE WHEN px_id % 3 <> 0 THEN m ELSE 0 END a FROM tgt JOIN sel USING (px_id)",
     "mask_compose": f"WITH {DIST}, {HARD}, {SEL}, o AS (SELECT t.px_id, CAST(floor(coalesce(least(1e0, greatest(0e0, h.w)), 0)*255 + 5e-1) AS INT) own FROM tgt t LEFT JOIN hw h USING (px_id)) SELECT px_id, (own*m + 127) >> 8 focus, (own*(255-m) + 127) >> 8 \"exclude\" FROM o JOIN sel USING (px_id)",
     "preview_selection": f"WITH {FITTED}, {M}, {SEL}, n AS (SELECT m.*, 1 - s.m/255e0 w FROM m JOIN sel s USING (px_id)) SELECT px_id, {', '.join(f'CASE WHEN w >= 999e-3 THEN m{c} WHEN w <= 1e-3 THEN n.{c} ELSE CAST(floor(n.{c} + (m{c}-n.{c})*w + 5e-1) AS INT) END {c}' for c in 'rgb')} FROM n",
+    "png_encode": f"""WITH {TGT}, rw AS (SELECT y, '00' || string_agg(printf('%02x%02x%02x%02x', r, g, b, a), '' ORDER BY x) h FROM tgt GROUP BY y)
+SELECT CAST(y // 64 AS BIGINT) tile, CAST(max(y) % 64 + 1 AS INT) height, CAST(68 + (max(y) % 64 + 1)*401 AS INT) bytes, printf('%08X%08X', 100, CAST(max(y) % 64 + 1 AS INT)) size, sha256(unhex(string_agg(h, '' ORDER BY y))) rows_sha256 FROM rw GROUP BY y // 64""",
     "rect_intersect": f"WITH {TGT}, {RECTS} SELECT px_id, {', '.join(f'CASE WHEN ir > il AND ib > it THEN i{k[0]} END {k}_' for k in ('left', 'top', 'right', 'bottom'))} FROM rc",
     "stats_rect": f"WITH {TGT}, {RECTS} SELECT px_id, {', '.join(f'CASE WHEN ir > il AND ib > it THEN i{k[0]} ELSE {o} END {k}_' for k, o in (('left', 'l'), ('top', 't'), ('right', 'rr'), ('bottom', 'bb')))} FROM rc",
 }

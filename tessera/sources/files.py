@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,24 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartition(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
 
 
+# Where a device link's prefix tells the whole size, its table tag's length and its grid, and what that tag holds beside the table.
+SIZE_AT, TAG_LENGTH_AT, GRID_AT, TAG_BESIDE = 0, 164, 0x13E, 76
+
+
+def sized_prefix(prefix: bytes, suffix: bytes, grid: int, beside: int = TAG_BESIDE) -> bytes:
+    """The prefix of a device link with the whole size, the tag's length and the grid patched in."""
+    if not 2 <= grid <= 256:
+        raise ValueError(f"a grid of {grid} is not between 2 and 256")
+    table = 6 * grid**3
+    out = bytearray(prefix)
+    struct.pack_into(">I", out, SIZE_AT, len(prefix) + table + len(suffix))
+    struct.pack_into(">I", out, TAG_LENGTH_AT, table + beside)
+    out[GRID_AT] = grid & 255
+    return bytes(out)
+
+
 def profile(clut: DataFrame, prefix: bytes, suffix: bytes) -> DataFrame:
-    """One row with the binary of a device link: prefix, table by node, suffix. The table's size follows from the grid's alone."""
+    """One row with the binary of a device link: prefix (see sized_prefix), table by node, suffix. The table's size follows from the grid's alone."""
     body = clut.agg(F.array_sort(F.collect_list(F.struct("node", "hex"))).alias("x")).select(F.unhex(F.array_join(F.transform("x", lambda n: n["hex"]), "")).alias("body"))
     return body.select(F.concat(F.lit(bytearray(prefix)), "body", F.lit(bytearray(suffix))).alias("profile"))
 
@@ -63,12 +80,10 @@ def png_tiles(px: DataFrame, width: int) -> DataFrame:
         for f in frames:
             out = []
             for tile, x, y, pixels in f.itertuples(index=False):
-                height = max(y) % TILE_ROWS + 1
-                data = bytearray(4 * width * height)
-                for i, j, p in zip(x, y, pixels, strict=True):
-                    at = 4 * ((j % TILE_ROWS) * width + i)
-                    data[at : at + 4] = struct.pack(">I", p)
-                out.append((tile, height, png(width, height, bytes(data))))
+                x, y = np.asarray(x), np.asarray(y)
+                image = np.zeros((int(y.max()) % TILE_ROWS + 1, width), ">u4")
+                image[y % TILE_ROWS, x] = pixels
+                out.append((tile, len(image), png(width, len(image), image.tobytes())))
             yield pd.DataFrame(out, columns=["tile", "height", "png"])
 
     packed = (F.col("r").cast("long") * 16777216 + F.col("g").cast("long") * 65536 + F.col("b").cast("long") * 256 + F.col("a").cast("long")).alias("p")

@@ -35,19 +35,40 @@ def without_echo(events: DataFrame, own: str, within: str, owner: str = "user_id
     return df.filter(~is_own & (F.col("_own").isNull() | (F.col("ts") >= F.col("_own") + F.expr(f"INTERVAL {within}")))).drop("_own")
 
 
+def flush_pauses(events: DataFrame, owner: str = "user_id") -> DataFrame:
+    """events(owner, id, ms, act) -> owner, id, at_ms of all acts but pause and resume: an event between a pause and its owner's next resume waits for that resume (null while none has come), all others pass at once."""
+    order = W.partitionBy(owner).orderBy("ms", "id")
+    turn = F.last(F.when(F.col("act").isin("pause", "resume"), F.col("act")), True).over(order)
+    resumed = F.first(F.when(F.col("act") == "resume", F.col("ms")), True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
+    df = events.select(owner, "id", "act", F.when(turn == "pause", resumed).otherwise(F.col("ms")).alias("at_ms"))
+    return df.filter(~F.col("act").isin("pause", "resume")).drop("act")
+
+
 def throttle_stream(events: DataFrame, wait_ms: int, owner: str = "user_id") -> DataFrame:
-    """As the batch throttle, for a stream of (owner, ms, value) in event time: windows are kept as state and fire once an event passes their end. Within a micro-batch, events are taken in order of ms."""
+    """As the batch throttle, for a stream of (owner, ms, value) in event time: windows are kept as state and fire once an event passes their end.
+
+    With a column ts and a watermark on it, a window also fires when the watermark passes its end, and its state goes; without one,
+    an owner's last window waits for the owner's next event. Within a micro-batch, events are taken in order of ms."""
     schema = f"{owner} long, open_ms long, fire_ms long, n int, last double"
+    timed = "ts" in events.columns
+    names = [owner, "open_ms", "fire_ms", "n", "last"]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ms, n, last = state.get if state.exists else (None, 0, None)
         out = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], open_ms, open_ms + wait_ms, n, last)], columns=names)
+            return
         for ms, value in pd.concat(list(frames)).sort_values("ms", kind="stable")[["ms", "value"]].itertuples(index=False):
             if open_ms is not None and ms - open_ms >= wait_ms:
                 out.append((key[0], open_ms, open_ms + wait_ms, n, last))
                 open_ms, n = None, 0
             open_ms, n, last = ms if open_ms is None else open_ms, n + 1, float(value)
         state.update((int(open_ms), int(n), last))
-        yield pd.DataFrame(out, columns=[owner, "open_ms", "fire_ms", "n", "last"])
+        if timed:
+            state.setTimeoutTimestamp(max(int(open_ms) + wait_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
 
-    return events.groupBy(owner).applyInPandasWithState(run, schema, "open_ms long, n int, last double", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return events.groupBy(owner).applyInPandasWithState(run, schema, "open_ms long, n int, last double", "append", timeout)

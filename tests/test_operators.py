@@ -299,3 +299,90 @@ def test_the_front(spark):
     assert made.apply(b).count() == 512 and made.control_points().count() == 36 and made.to_lut(5).count() == 125
     rows = made.rows().orderBy("v").collect()
     assert all(x[c] <= y[c] for x, y in zip(rows, rows[1:], strict=False) for c in "rgb")
+
+
+def test_presets_with_a_weight(spark):
+    """The preset's blend first, then as much of it as the weight says: the ends are the original and the preset alone."""
+    from tessera.match import Curves, Params
+
+    px = spark.createDataFrame([(i, i * 7 % 256, i * 31 % 256, i * 11 % 256, 255, w) for i in range(60) for w in (0.0, 0.3, 1.0)], "px_id long, r int, g int, b int, a int, w double")
+    curves = spark.range(1).select(*[F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v, k=k: (v * (k + 2) + 31) % 256).cast("array<int>").alias(c) for k, c in enumerate("rgb")])
+    for name in P.LABELS:
+        fitted = Curves(curves, Params(preset=name))
+        alone = {(r["px_id"]): (r["r"], r["g"], r["b"]) for r in fitted.apply(px.filter("w = 1")).collect()}
+        before = {r["px_id"]: (r["r"], r["g"], r["b"]) for r in px.filter("w = 1").collect()}
+        for r in fitted.apply(px, "w").collect():
+            own, new = before[r["px_id"]], alone[r["px_id"]]
+            w = int(r["w"] * 256 + 0.5)
+            assert (r["r"], r["g"], r["b"]) == tuple(n if w == 256 else o + ((n - o) * w >> 8) for o, n in zip(own, new, strict=True)), name
+
+
+def test_gradients_and_signatures_of_odd_states(spark):
+    swatch = "struct<r:double,g:double,b:double,weight:double,labL:double>"
+    nan = float("nan")
+    rows = [(1, [], "color"), (2, None, None), (3, [(10.0, 20.0, 30.0, 1.0, 50.0)], "color"), (4, [(0.0, 0.0, 200.0, 0.5, 20.0), (250.0, 240.0, 0.0, 0.5, 90.0)], "color"), (5, [(nan, 300.0, -5.0, nan, nan)], "color"), (6, [(10.0, 20.0, 30.0, 1.0, 50.0)], "contrast")]
+    df = spark.createDataFrame(rows, f"k long, p array<{swatch}>, preset string")
+    stops = {}
+    for r in A.gradient_stops(df, "k", F.col("p"), F.col("preset")).collect():
+        stops.setdefault(r["k"], {})[r["i"]] = (r["r"], r["g"], r["b"])
+    grey = [int(i / 31 * 255 + 0.5) for i in range(32)]
+    assert [stops[1][i] for i in range(32)] == [stops[2][i] for i in range(32)] == [(g, g, g) for g in grey]
+    assert set(stops[3].values()) == {(10, 20, 30)} and set(stops[5].values()) == {(0, 255, 0)}
+    assert stops[4][0] == (0, 0, 200) and stops[4][31] == (250, 240, 0) and len(set(stops[4].values())) == 2
+    assert set(stops[6].values()) == {(19, 19, 19)}  # the luma of the swatch, on greys
+    css = {r["k"]: r["css"] for r in A.gradient_css(A.gradient_stops(df, "k", F.col("p"), F.col("preset")), "k").collect()}
+    assert css[3].startswith("linear-gradient(to right, rgb(10,20,30) 0.000000%, ") and css[3].endswith("rgb(10,20,30) 100.000000%)")
+    sig = [(1, None, None), (2, [], [2.0]), (3, [(255.0, 0.0, 0.0, 0.5, 0.0), (0.0, 255.0, 0.0, 0.25, 0.0)], None), (4, [(-10.0, 300.0, 128.0, 1.0, 0.0), (1.0, 1.0, 1.0, nan, 0.0)], [nan]), (5, [(0.0, 0.0, 1.0, 0.5, 0.0)], [-3.0])]
+    got = spark.createDataFrame(sig, f"k long, p array<{swatch}>, u array<double>").select("k", A.signature(F.col("p"), F.col("u")).alias("s")).collect()
+    assert {r["k"]: (r["s"]["colors"], r["s"]["weights"]) for r in got} == {1: ([0x888888], [100]), 2: ([0x888888], [100]), 3: ([0xFF0000, 0x00FF00], [50, 25]), 4: ([0x00FF80, 0x010101], [100, 0]), 5: ([1], [0])}
+
+
+def test_profile_prefix_is_patched():
+    made = S.sized_prefix(bytes(372), bytes(14), 17)
+    assert int.from_bytes(made[:4], "big") == 372 + 6 * 17**3 + 14 and int.from_bytes(made[164:168], "big") == 6 * 17**3 + 76 and made[0x13E] == 17
+    assert S.sized_prefix(bytes(372), b"", 256)[0x13E] == 0
+    with pytest.raises(ValueError):
+        S.sized_prefix(bytes(372), b"", 1)
+
+
+def test_merge_report_and_fresh_names_of_empty_tables(spark):
+    none = spark.createDataFrame([], "key string, ord long, pinned boolean")
+    some = spark.createDataFrame([("a", 1, False), ("a", 2, False), (None, 3, False)], "key string, ord long, pinned boolean")
+    assert tuple(R.merge_report(none, none).first()) == (0, 0)
+    assert tuple(R.merge_report(some.filter("ord = 1"), some).first()) == (1, 2)
+    assert R.fresh_names(spark.createDataFrame([(1, "old"), (2, "kept")], "k long, name string"), spark.createDataFrame([(1, "new")], "k long, name string"), "k").orderBy("k").collect()[0]["name"] == "new"
+
+
+def test_paused_events_wait_for_the_resume(spark):
+    rows = [(1, 0, 5, "event"), (1, 1, 6, "pause"), (1, 2, 7, "event"), (1, 3, 9, "resume"), (1, 4, 9, "event"), (1, 5, 11, "pause"), (1, 6, 12, "event"), (2, 7, 1, "resume"), (2, 8, 2, "event")]
+    got = E.flush_pauses(spark.createDataFrame(rows, "user_id long, id long, ms long, act string")).collect()
+    assert {r["id"]: r["at_ms"] for r in got} == {0: 5, 2: 9, 4: 9, 6: None, 8: 2}
+
+
+def test_throttle_streams_fire_by_watermark(spark, tmp_path):
+    schema = "user_id long, ms long, value double, ts timestamp"
+    stamp = F.timestamp_millis("ms").alias("ts")
+    batches = [[(1, 10_000, 1.0), (1, 10_050, 2.0), (2, 10_060, 5.0)], [(3, 100_000, 9.0)], [(3, 100_001, 9.5)]]
+    for b in batches:
+        spark.createDataFrame(b, "user_id long, ms long, value double").select("*", stamp).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 second")
+    q = E.throttle_stream(stream, 200).writeStream.format("memory").queryName("fired").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("fired").collect()) == [(1, 10_000, 10_200, 2, 2.0), (2, 10_060, 10_260, 1, 5.0)]
+
+
+def test_written_tables_go_and_the_folder_must_be_shared(spark):
+    from tessera.sources import shared
+
+    df = shared.materialize(spark.range(3), "three")
+    assert df.count() == 3
+    shared.discard(df)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(df.written_path)
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Far)
