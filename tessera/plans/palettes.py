@@ -13,7 +13,7 @@ from tessera.sources.fixtures import CLUSTERS
 from tessera.sources.fixtures import table
 from tessera.sources.fixtures import target_pixels as tgt
 
-from .fits import fitted
+from .fits import UNLAB, fitted
 from .pixels import M, _preset
 from .sqltext import FITTED, TGT, byte, lab, luma
 
@@ -207,7 +207,19 @@ al AS ({' UNION ALL '.join(f'SELECT k, i, r, g, b FROM ({_stops_of(n)})' for n i
 RECTS = "rc AS (SELECT px_id, x l, y t, x + r % 30 rr, y + g % 30 bb, greatest(x, 20) il, greatest(y, 2) it, least(x + r % 30, 70) ir, least(y + g % 30, 60) ib FROM tgt)"
 BOXES = """dim AS (SELECT max(x)+1 w, max(y)+1 h FROM tgt), sc AS (SELECT w, h, 33e0/greatest(w, h) s FROM dim), nd AS (SELECT w, h, greatest(1, floor(w*s + 5e-1)) nw, greatest(1, floor(h*s + 5e-1)) nh FROM sc),
 ex AS (SELECT CAST(i AS INT) o, floor(i*(w/nw)) lo, least(w, floor((i+1)*(w/nw))) hi FROM nd, LATERAL (SELECT unnest(range(CAST(nw AS BIGINT))) i)), ey AS (SELECT CAST(i AS INT) o, floor(i*(h/nh)) lo, least(h, floor((i+1)*(h/nh))) hi FROM nd, LATERAL (SELECT unnest(range(CAST(nh AS BIGINT))) i))"""
+#: Rounds of k-means as a recursion over the list of centres; a centre without samples keeps its place.
+KMEANS = f"""WITH RECURSIVE {TGT}, lt AS {lab('(SELECT * FROM tgt WHERE a >= 128 AND px_id % 4 = 0)', 'px_id')}, sm AS (SELECT *, row_number() OVER (ORDER BY px_id) - 1 rn, count(*) OVER () n FROM lt),
+ini AS (SELECT list({{'l': l_, 'a': a_, 'b': b_}} ORDER BY rn) cs FROM sm WHERE rn IN (SELECT CAST(floor((range + 5e-1)/5e0*n) AS BIGINT) FROM range(5), (SELECT max(n) n FROM sm))),
+rec AS (SELECT 0 it, cs, CAST([] AS STRUCT(c INTEGER, n BIGINT, l DOUBLE, a DOUBLE, b DOUBLE)[]) f, 1e9 moved FROM ini
+UNION ALL SELECT it + 1, list_transform([1, 2, 3, 4, 5], lambda i: CASE WHEN len(list_filter(f, lambda x: x.c = i)) > 0 THEN {{'l': list_filter(f, lambda x: x.c = i)[1].l, 'a': list_filter(f, lambda x: x.c = i)[1].a, 'b': list_filter(f, lambda x: x.c = i)[1].b}} ELSE cs[i] END),
+ f, list_sum(list_transform(f, lambda x: sqrt((x.l-cs[x.c].l)*(x.l-cs[x.c].l) + (x.a-cs[x.c].a)*(x.a-cs[x.c].a) + (x.b-cs[x.c].b)*(x.b-cs[x.c].b))))/5e0
+ FROM (SELECT it, cs, list({{'c': c, 'n': n, 'l': l, 'a': a, 'b': b}} ORDER BY c) f FROM (SELECT it, cs, c, count(*) n, avg(l_) l, avg(a_) a, avg(b_) b
+ FROM (SELECT it, cs, l_, a_, b_, CAST(list_position(ds, list_min(ds)) AS INTEGER) c FROM (SELECT it, cs, l_, a_, b_, list_transform(cs, lambda x: (l_-x.l)*(l_-x.l) + (a_-x.a)*(a_-x.a) + (b_-x.b)*(b_-x.b)) ds FROM rec, sm WHERE it < 12 AND moved >= 5e-1)) GROUP BY it, cs, c) GROUP BY it, cs)),
+fin AS (SELECT cs, unnest(f) f FROM (SELECT arg_max(cs, it) cs, arg_max(f, it) f FROM rec)),
+od AS (SELECT CAST(row_number() OVER (ORDER BY f.n DESC, f.c) - 1 AS INT) ord, f.n/CAST(sum(f.n) OVER () AS DOUBLE) weight, cs[f.c].l lab_l, cs[f.c].a lab_a, cs[f.c].b lab_b FROM fin),
+m AS (SELECT ord r, lab_l l2, lab_a a2, lab_b b2, 0 g, 0 b FROM od), o AS ({UNLAB})"""
 SQL = {
+    "kmeans_palette": f"{KMEANS} SELECT ord, o_r r, o_g g, o_b b, round(weight, 9) weight, round(lab_l, 6) lab_l, round(lab_a, 6) lab_a, round(lab_b, 6) lab_b FROM od JOIN o ON o.r = od.ord",
     "cluster_distances": f"WITH {DIST} SELECT px_id, k, round(d, 6) d FROM ds",
     "nearest_cluster": f"WITH {DIST} SELECT px_id, arg_min(k, (d, k)) k FROM ds GROUP BY 1",
     "hard_weights": f"WITH {DIST}, {HARD} SELECT t.px_id, round(coalesce(h.w, 0), 6) ew FROM tgt t LEFT JOIN hw h USING (px_id)",
