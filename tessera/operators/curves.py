@@ -227,3 +227,8 @@ def rows(curves: DataFrame) -> DataFrame:
     """v, r, g, b of one row of arrays."""
     zipped = curves.select(F.posexplode(F.arrays_zip("r", "g", "b")).alias("v", "x"))
     return zipped.select("v", "x.r", "x.g", "x.b")
+
+
+def polyline(drawn: DataFrame, step: int) -> DataFrame:
+    """The points of rows(v, ...) that a plot draws: every step-th value and the last."""
+    return drawn.filter((F.col("v") % step == 0) | (F.col("v") == 255))

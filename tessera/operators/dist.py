@@ -144,3 +144,10 @@ def luma_range(bins: DataFrame, least: float = 0.005) -> DataFrame:
     found = bins.crossJoin(F.broadcast(top)).filter(F.col("n") > F.col("top") * num(least)).agg(F.min("l").alias("lo"), F.max("l").alias("hi"))
     lo = F.coalesce("lo", F.lit(0))
     return found.select(lo.alias("range_start"), F.greatest(lo + 1, F.coalesce("hi", F.lit(255))).alias("range_end"))
+
+
+def luma_bars(px: DataFrame) -> DataFrame:
+    """l and h: bars of log counts over the highest, at most 256 rows."""
+    b = luma_bins(px).withColumn("h", F.log1p("n"))
+    top = b.agg(F.max("h").alias("top"))
+    return b.crossJoin(F.broadcast(top)).select("l", (F.col("h") / F.when(F.col("top") > 0, F.col("top")).otherwise(num(1))).alias("h"))

@@ -81,3 +81,8 @@ def preview(orig: Column, new: Column, selection: Column, mode: str = "focus") -
 def fit_length(mask: DataFrame, wanted: DataFrame) -> DataFrame:
     """A mask cut or filled with 0 to the wanted px_ids."""
     return wanted.select("px_id").join(mask.select("px_id", "m"), "px_id", "left").select("px_id", F.coalesce("m", F.lit(0)).alias("m"))
+
+
+def full_mask(px: DataFrame) -> DataFrame:
+    """px_id and m of a mask that lets all through."""
+    return px.select("px_id", F.lit(255).alias("m"))

@@ -82,14 +82,12 @@ def average_query(s, d):
 
 def polyline(s, d):
     """The curve as drawn: every fourth value and the last."""
-    return C.rows(fitted(s, d)).filter("v % 4 = 0 OR v = 255")
+    return C.polyline(C.rows(fitted(s, d)), 4)
 
 
 def luma_bars(s, d):
     """Bars of log counts over the highest."""
-    b = D.luma_bins(tgt(s, d)).withColumn("h", F.log1p("n"))
-    top = b.agg(F.max("h").alias("top"))
-    return b.crossJoin(F.broadcast(top)).select("l", F.round(F.col("h") / F.when(F.col("top") > 0, F.col("top")).otherwise(num(1)), 6).alias("h"))
+    return D.luma_bars(tgt(s, d)).select("l", F.round("h", 6).alias("h"))
 
 
 def _zone_sql(name: str, zones=BANDS) -> str:
@@ -208,7 +206,7 @@ QUERIES = {
     "zone_weights": zone_query,
     "zone_apply": lambda s, d: C.rows(fitted(s, d).select(*[C.monotonic(C.apply_weights(F.col(c), C.zone_weights(BANDS))).alias(c) for c in "rgb"])),
     "envelope_weights": envelope_query,
-    "envelope_polyline": lambda s, d: envelope_query(s, d).filter("v % 2 = 0 OR v = 255"),
+    "envelope_polyline": lambda s, d: C.polyline(envelope_query(s, d), 2),
     "zone_envelope": lambda s, d: C.rows(shaped(s, d, False, None, BANDS, KNOTS)),
     "control_points": control_query,
 }
