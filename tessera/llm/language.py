@@ -6,8 +6,9 @@ byte n-grams (ORDERS), each language's n-gram distribution counting alike. Decod
 every bit's margin, weighted by how well that bit's classifier separates its two sides in the learning counts; the nearest
 codeword wins, and `ambiguous` flags a posterior of less than SURE.
 
-Learning counts the n-grams of all labelled documents that are not held out; at most (languages x SLOTS) counts come to the
-driver. A prediction sees the text alone. Texts are handled whole.
+Learning counts the n-grams of all labelled documents that are not held out. Tasks count in tables of at most TABLES languages, and
+the driver takes up to SLOTS counts (128 KB) of each language, so some thousand languages fit; a column of another kind than a
+language's, with values without end, is not for this. A prediction sees the text alone. Texts are handled whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with no labelled text at all everything is `und`;
 with one language every text with a letter is of it, score 1; equal distances go to the language that sorts first; a null doc_id
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, column, table
 
-ORDERS, SLOTS, SURE, BLOCK = (2, 3), 16_384, 0.5, 200_000
+ORDERS, SLOTS, SURE, BLOCK, TABLES = (2, 3), 16_384, 0.5, 200_000, 256
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -63,6 +64,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in counts.items():
+                k = np.flatnonzero(c)
+                yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(c[k], pa.int64())], names=["lang", "slot", "n"])
+            counts.clear()
+
         for b in batches:
             langs = column(b, "lang")
             for numbers, slots, starts in grams([t or "" for t in column(b, "text")]):
@@ -73,9 +81,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 for lang, parts in by_lang.items():
                     found = np.bincount(np.concatenate(parts), minlength=SLOTS)
                     counts[lang] = counts.get(lang, 0) + found
-        for lang, c in counts.items():
-            k = np.flatnonzero(c)
-            yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array(c[k], pa.int64())], names=["lang", "slot", "n"])
+                if len(counts) > TABLES:
+                    yield from flush()
+        yield from flush()
 
     return docs.select("text", "lang").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
@@ -139,7 +147,8 @@ def fit(counts: list[tuple[str, int, int]]) -> Model:
 
 def learn(docs: DataFrame) -> Model:
     """docs(text, lang): the labelled documents to learn from."""
-    return fit([(r["lang"], r["slot"], r["n"]) for r in count_grams(docs.filter("lang IS NOT NULL AND text IS NOT NULL")).collect()])
+    found = count_grams(docs.filter("lang IS NOT NULL AND text IS NOT NULL")).toArrow()
+    return fit(list(zip(*(found.column(c).to_pylist() for c in ("lang", "slot", "n")), strict=True)))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -59,3 +60,59 @@ def test_no_or_one_language(spark, labels):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert L.identify(df, L.learn(df), ["doc_id"]).count() == 0
+
+
+def brute_slots(text):
+    """Slots of the pairs and triples of a text's folded bytes, framed by two spaces and one."""
+    b = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in b"  " + text.encode() + b" "]
+    mix = lambda x, k: (x * 2654435761 + k * 40503) % 2**32 >> 18
+    pairs = [mix(b[i] << 8 | b[i + 1], 2) for i in range(len(b) - 2)]
+    return pairs + [mix((b[i] << 8 | b[i + 1]) << 8 | b[i + 2], 3) for i in range(len(b) - 2)]
+
+
+def brute_predict(labelled, text):
+    """Three bits of three languages: counts, log odds, trust, margins, losses and distances by plain loops."""
+    languages = sorted({lang for lang, _ in labelled})
+    code = L.codewords(len(languages)).tolist()
+    share = []
+    for lang in languages:
+        n = [0.5] * L.SLOTS
+        for own, t in labelled:
+            if own == lang:
+                for s in brute_slots(t):
+                    n[s] += 1
+        share.append([x / sum(n) for x in n])
+    weights, trust = [], []
+    for b in range(len(code[0])):
+        side = lambda sign, b=b: [i for i in range(len(languages)) if code[i][b] == sign]
+        mean = lambda who, s: sum(share[i][s] for i in who) / len(who)
+        yes, no = side(1), side(-1)
+        weights.append([math.log(mean(yes, s) / mean(no, s)) for s in range(L.SLOTS)])
+        trust.append(sum((mean(yes, s) - mean(no, s)) * weights[b][s] for s in range(L.SLOTS)))
+    trust = [t / (sum(trust) / len(trust)) for t in trust]
+    found = brute_slots(text)
+    margins = [sum(w[s] for s in found) / math.sqrt(len(found)) for w in weights]
+    distance = [sum(math.log1p(math.exp(-c * m)) * t for c, m, t in zip(row, margins, trust, strict=True)) for row in code]
+    near = [math.exp(min(distance) - d) for d in distance]
+    best = distance.index(min(distance))
+    return languages[best], near[best] / sum(near)
+
+
+def test_predictions_equal_brute_force(spark):
+    labelled = [("de", "der Hund und die Katze laufen über die Straße"), ("en", "the dog and the cat run over the street"), ("fr", "le chien et le chat courent dans la rue"), ("en", "THE bird sings"), ("de", "ein Vogel")]
+    model = L.learn(spark.createDataFrame([(t, lang) for lang, t in labelled], "text string, lang string"))
+    for t in ("the cat", "die Katze", "le chat", "Straße 7!", "x", "und the et"):
+        lang, score, _ = model.predict([t])[0]
+        want, sure = brute_predict(labelled, t)
+        assert lang == want and abs(score - sure) < 1e-4, t
+
+
+def test_many_languages_and_long_texts(spark, monkeypatch):
+    """More languages than a task's tables hold, and texts of a million characters."""
+    monkeypatch.setattr(L, "TABLES", 3)
+    rows = [(f"{chr(97 + k)}{chr(98 + k)} " * 50, f"l{k}") for k in range(9)] + [("ab " * 350_000, "l0"), (" " * 1_000_000 + "a", "l0")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = L.learn(df)
+    assert len(model.languages) == 9
+    got = L.identify(df, model, ["text", "lang"]).select("lang", "lang_pred").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 10
