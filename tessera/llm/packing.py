@@ -4,8 +4,8 @@ A document's ids are those of the tokenizer file plus END; only a document of ov
 from its end, so that the first piece may be shorter. Full pieces are sequences of their own. All other pieces are dealt by a
 hash into blocks of about BLOCK items, each of which is bred on ISLANDS islands: an island is one row that holds the block's item
 sizes and a few packings, and evolves by itself. Its founders are best fits of disturbed orders. Crossover injects whole
-well-filled bins of one packing into another, dissolves the bins that held the same items, and puts the displaced items by best
-fit, largest first; mutation does so with the emptiest bins. Between rounds the best packing of each island moves to the next
+well-filled bins of one packing into another, dissolves the bins that held the same items, lets displaced items take the places of
+smaller ones where that fills a bin, and puts the rest by best fit, largest first; mutation does so with the emptiest bins. Between rounds the best packing of each island moves to the next
 island of its block. All generations run unless a packing is the best there can be: as few bins as the sizes allow, all but one
 of them full.
 
@@ -25,6 +25,7 @@ import json
 import random
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,7 +142,32 @@ def largest_first(items: list[int], sizes: list[int]) -> list[int]:
     return sorted(items, key=lambda i: (-sizes[i], i))
 
 
+def exchange(kept: Packing, loose: list[int], sizes: list[int]) -> tuple[Packing, list[int]]:
+    """In bins with free places one item gives way to a larger loose one, so that the bin is as full as one exchange can make it; what is loose then is smaller and fits more easily."""
+    order = sorted(loose, key=lambda i: (sizes[i], i))
+    keys = [sizes[i] for i in order]
+    out = []
+    for b in kept:
+        free = CAPACITY - sum(map(sizes.__getitem__, b))
+        gain, best = 0, None
+        for at, i in enumerate(b) if free and keys else ():
+            k = bisect_right(keys, sizes[i] + free) - 1
+            if k >= 0 and keys[k] - sizes[i] > gain:
+                gain, best = keys[k] - sizes[i], (at, k)
+        if best:
+            at, k = best
+            old, new = b[at], order.pop(k)
+            keys.pop(k)
+            b = [*b[:at], new, *b[at + 1 :]]
+            k = bisect_left(keys, sizes[old])
+            order.insert(k, old)
+            keys.insert(k, sizes[old])
+        out.append(b)
+    return out, order
+
+
 def rebuild(kept: Packing, loose: list[int], sizes: list[int]) -> Packing:
+    kept, loose = exchange(kept, loose, sizes)
     made = Bins(sizes)
     for b in kept:
         made.add(list(b))
