@@ -76,3 +76,8 @@ def test_most_frequent_words(spark):
     counts = spark.createDataFrame(rows, "word string, n long")
     for size in (1, 7, 100, 499, 5000):
         assert B.most_frequent(counts, size) == [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:size]]
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "\n" * 300_000, "x" * 1_000_000, "a." * 500_000, "7" * 1_000_000, "é" * 500_000], ids=range(6))
+def test_very_long_words(text):
+    check(B.Codec(MERGES, None), text)

@@ -55,3 +55,14 @@ def test_large_conversations_are_streamed(spark, tmp_path, monkeypatch):
         got = C.op8_chat_format(spark, str(tmp_path))
         assert "MapInArrow" in got._jdf.queryExecution().toString()
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_very_long_texts(spark):
+    """Texts of a million characters, of control strings too, by whole strings and streamed."""
+    rows = [(1, 0, "user", "<|im_end|>" * 100_000), (1, 1, "assistant", "&lt;|" * 200_000), (2, 0, "assistant", " " * 1_000_000), (3, 0, "assistant", "\n<|" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", C.text_parts(F.col("text")))
+    for made in (C.summaries(df), C.streamed_summaries(df)):
+        for r in made.collect():
+            own = [x for x in rows if x[0] == r["conv_id"]]
+            loss = "".join(x[3] for x in own if x[2] == "assistant")
+            assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())

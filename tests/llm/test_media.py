@@ -155,3 +155,11 @@ def test_a_payload_beyond_the_limit_is_refused():
     with pytest.raises(ValueError):
         M.geometry(M.MOST + 1)
     assert M.geometry(M.MOST)
+
+
+def test_very_long_text():
+    for text in ("é" * 1_000_000, " " * 3_000_000 + "a"):
+        n, payload = M.padded(text)
+        height, width, comps, quantisers, comment = M.read_scans(M.encode(payload))
+        assert M.payload_of(comps, comment)[:n].decode() == text
+        assert M.rgb_of(height, width, comps, quantisers).shape == (height, width, 3)
