@@ -266,10 +266,12 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     dirty = searched.filter(F.size("found") > 0)
     met = dirty.select("at", F.posexplode("found").alias("place", "raw"))
     known = met.select("raw").distinct().withColumn("kind", kind_of(F.col("raw"))).filter("kind IS NOT NULL")
-    known = materialize(known.withColumn("parts", parts_of(F.col("kind"), F.col("raw"))), "entities")
-    each = known.select("raw", "kind", F.posexplode("parts").alias("pos", "part")).select("raw", "kind", "pos", "part.type", "part.norm")
+    known = materialize(known.select("raw", "kind", parts_of(F.col("kind"), F.col("raw")).alias("parts"), F.monotonically_increasing_id().alias("ent")), "entities")
+    # an entity goes by its number, as a long one may have very many parts
+    each = known.select("ent", F.posexplode("parts").alias("pos", "part")).select("ent", "pos", "part.type", "part.norm")
     chosen = distinct_surrogates(materialize(each.select("type", "norm").distinct(), "parts"), key)
-    spelled = each.join(chosen, ["type", "norm"]).groupBy("raw", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "norm", "s"))).alias("p"))
+    spelled = each.join(chosen, ["type", "norm"]).groupBy("ent").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "norm", "s"))).alias("p"))
+    spelled = spelled.join(known.select("ent", "raw", "kind"), "ent")
     name_part = lambda x: F.struct(x["norm"].alias("norm"), (x["type"] != "surname").alias("given"), x["type"].alias("type"), x["s"].alias("s"))
     named = F.when(F.col("kind") == "name", F.transform("p", name_part))
     spelled = spelled.select("raw", "kind", laid_out(F.col("kind"), F.col("raw"), F.col("p.s")).alias("new"), named.alias("named"))
