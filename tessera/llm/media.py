@@ -33,7 +33,7 @@ from .common import blocks_of, column, table
 UNIT = 576
 WIDEST = 4095  # MCUs in a row or column: 65,520 samples
 MOST = (1 << 30) - (1 << 20)
-SLICE = 4_000_000  # payload bytes whose coefficients stand in memory at once, but for one longer row
+SLICE = 2_000_000  # payload bytes whose coefficients stand in memory at once, but for one longer row
 
 # Zigzag order and the ITU-R BT.601 weights of JFIF.
 ZIGZAG = np.array(
@@ -397,27 +397,19 @@ def _mapped(df: DataFrame, columns: str, weight: str, one) -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """stored(doc_id, n_bytes, media) -> the same with payload, and the tensor as rgb, height and width."""
+    """stored(doc_id, n_bytes, media) -> the same with payload, the tensor as rgb, height and width, and the feature of the tensor's stored bytes."""
 
     def one(row: dict) -> tuple:
         height, width, comps, quantisers, comment = read_scans(row["media"])
-        return payload_of(comps, comment), rgb_of(height, width, comps, quantisers).tobytes(), height, width
+        rgb = rgb_of(height, width, comps, quantisers).tobytes()
+        return payload_of(comps, comment), rgb, height, width, feature_of(np.frombuffer(rgb, np.uint8).reshape(height, width, 3))
 
-    return _mapped(stored, "payload binary, rgb binary, height int, width int", "media", one)
-
-
-def with_features(tensors: DataFrame) -> DataFrame:
-    """tensors(..., rgb, height, width) with feature, from the stored samples."""
-
-    def one(row: dict) -> tuple:
-        return (feature_of(np.frombuffer(row["rgb"], np.uint8).reshape(row["height"], row["width"], 3)),)
-
-    return _mapped(tensors, "feature string", "rgb", one)
+    return _mapped(stored, "payload binary, rgb binary, height int, width int, feature string", "media", one)
 
 
 def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(store_texts(table(spark, sf_dir, "documents")))
-    payload = read.select(
+    return read.select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("bigint").alias("payload_bytes"),
@@ -428,5 +420,5 @@ def op9_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         "height",
         "width",
         "rgb",
+        "feature",
     )
-    return with_features(payload)
