@@ -52,10 +52,25 @@ def consolidate(layers: DataFrame, ours: Column) -> DataFrame:
 
 def next_branch(layers: DataFrame, group: str) -> DataFrame:
     """The name that the working group gets when it is set aside: the highest number so far and one, of two digits at least."""
-    n = F.coalesce(F.max(F.try_to_number(F.nullif(F.regexp_extract("name", rf"^{group} _(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int")), F.lit(0)) + 1
+    n = F.coalesce(F.max(F.try_to_number(F.nullif(F.regexp_extract("name", rf"^\Q{group}\E _(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int")), F.lit(0)) + 1
     return layers.agg(n.alias("n")).select("n", F.concat(F.lit(f"{group} _"), F.when(F.col("n") < 10, F.concat(F.lit("0"), F.col("n").cast("string"))).otherwise(F.col("n").cast("string"))).alias("name"))
 
 
+def first_of(layers: DataFrame, wanted: Column) -> DataFrame:
+    """layer_id of the first wanted layer in pre-order, where several are (copies of one, or groups of one name); no row if there is none."""
+    found = levels(layers.withColumn("_wanted", wanted)).filter("_wanted")
+    return found.groupBy().agg(F.min_by("layer_id", "place").alias("layer_id")).filter("layer_id IS NOT NULL")
+
+
+def branch(layers: DataFrame, group: str) -> DataFrame:
+    """layers with the working group (the first of that name in pre-order) set aside: under its next number, and hidden."""
+    active = first_of(layers, (F.col("name") == group) & (F.col("kind") == "group")).withColumn("_active", F.lit(True))
+    new = next_branch(layers, group).select(F.col("name").alias("_new"))
+    df = layers.join(F.broadcast(active), "layer_id", "left").crossJoin(F.broadcast(new))
+    name, shown = F.when(F.col("_active"), F.col("_new")).otherwise(F.col("name")), F.when(F.col("_active"), F.lit(False)).otherwise(F.col("visible"))
+    return df.withColumns({"name": name, "visible": shown}).select(*layers.columns)
+
+
 PREFIXES = {"rgb": ("Match RGB", "Match Curves"), "lab": ("Match Lab",), "lut": ("Match LUT",)}
 
 

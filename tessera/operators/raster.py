@@ -55,8 +55,10 @@ def nearest_mask(mask: DataFrame, source: tuple[int, int], target: tuple[int, in
     return grid.select(F.col("ox").alias("x"), F.col("oy").alias("y"), "m")
 
 
-def paste(grid: DataFrame, mask: DataFrame, dx: int, dy: int) -> DataFrame:
-    """grid with m of a mask laid at (dx, dy); 0 outside it."""
+def paste(grid: DataFrame, mask: DataFrame | None, dx: int = 0, dy: int = 0) -> DataFrame:
+    """grid with m of a mask laid at (dx, dy); 0 outside it, also where they do not meet at all. Without a mask (no selection) m is null, which compose() takes for no mask."""
+    if mask is None:
+        return grid.withColumn("m", F.lit(None).cast("int"))
     laid = mask.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), "m")
     return grid.join(laid, ["x", "y"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
 

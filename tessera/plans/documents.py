@@ -161,6 +161,8 @@ QUERIES = {
     "layer_paths": lambda s, d: L.paths(layers(s, d), F.col("name") == "Match"),
     "group_consolidate": lambda s, d: L.consolidate(layers(s, d), F.col("name") == "Match"),
     "branch_number": lambda s, d: L.next_branch(layers(s, d), "Match"),
+    "branch_layers": lambda s, d: L.branch(layers(s, d), "Match").select("layer_id", "name", "visible"),
+    "layer_first": lambda s, d: L.first_of(layers(s, d), F.col("name").startswith("Match LUT")),
     "layer_visibility": lambda s, d: L.visibility(layers(s, d), F.col("name") == "Match", "lab"),
     "layer_prefix": lambda s, d: layers(s, d).filter(F.col("name").startswith("Match LUT")).select("layer_id", "name"),
     "layer_isolate": lambda s, d: L.isolate(layers(s, d), 100007),
@@ -219,6 +221,10 @@ SELECT CAST(0 AS BIGINT) "timestamp", 'RGB · ' || upper(preset[1]) || preset[2:
     "layer_paths": f"WITH RECURSIVE {LAY}, w AS (SELECT layer_id, kind, \"name\" path FROM ly WHERE parent_id IS NULL AND \"name\" <> 'Match' UNION ALL SELECT ly.layer_id, ly.kind, w.path || ' / ' || ly.\"name\" FROM w JOIN ly ON ly.parent_id = w.layer_id WHERE ly.\"name\" <> 'Match') SELECT layer_id, path FROM w WHERE kind IN ('pixel', 'smartObject') OR kind IS NULL",
     "group_consolidate": f"WITH {LAY}, g AS (SELECT layer_id, parent_id, ord FROM ly WHERE \"name\" = 'Match' AND kind = 'group'), c AS (SELECT arg_min(layer_id, (parent_id, ord)) k FROM g) SELECT layer_id, CASE WHEN parent_id IN (SELECT layer_id FROM g) THEN k ELSE parent_id END parent_id, \"name\" FROM ly, c WHERE layer_id NOT IN (SELECT layer_id FROM g) OR layer_id = k",
     "branch_number": f"WITH {LAY} SELECT max(TRY_CAST(regexp_extract(\"name\", '^Match _(\\d+)', 1) AS INT)) + 1 n, 'Match _' || format('{{:02d}}', max(TRY_CAST(regexp_extract(\"name\", '^Match _(\\d+)', 1) AS INT)) + 1) \"name\" FROM ly",
+    "branch_layers": f"""WITH RECURSIVE {LAY}, t AS (SELECT layer_id, "name", kind, [ord] pl FROM ly WHERE parent_id IS NULL UNION ALL SELECT ly.layer_id, ly."name", ly.kind, list_append(pl, ly.ord) FROM t JOIN ly ON ly.parent_id = t.layer_id),
+g AS (SELECT arg_min(layer_id, pl) g FROM t WHERE "name" = 'Match' AND kind = 'group'), x AS (SELECT max(TRY_CAST(regexp_extract("name", '^Match _(\\d+)', 1) AS INT)) + 1 n FROM ly)
+SELECT layer_id, CASE WHEN layer_id = g THEN 'Match _' || format('{{:02d}}', n) ELSE "name" END "name", CASE WHEN layer_id = g THEN false ELSE visible END visible FROM ly, g, x""",
+    "layer_first": f"""WITH RECURSIVE {LAY}, t AS (SELECT layer_id, "name", [ord] pl FROM ly WHERE parent_id IS NULL UNION ALL SELECT ly.layer_id, ly."name", list_append(pl, ly.ord) FROM t JOIN ly ON ly.parent_id = t.layer_id) SELECT arg_min(layer_id, pl) layer_id FROM t WHERE "name" LIKE 'Match LUT%'""",
     "layer_visibility": f"""WITH RECURSIVE {LAY}, t AS (SELECT layer_id, "name", kind, [ord] pl, [layer_id] up FROM ly WHERE parent_id IS NULL UNION ALL SELECT ly.layer_id, ly."name", ly.kind, list_append(pl, ly.ord), list_append(up, ly.layer_id) FROM t JOIN ly ON ly.parent_id = t.layer_id),
 g AS (SELECT arg_min(layer_id, pl) g FROM t WHERE "name" = 'Match' AND kind = 'group'), b AS (SELECT layer_id FROM t, g WHERE list_contains(up, g) AND layer_id <> g)
 SELECT layer_id, CASE WHEN layer_id NOT IN (SELECT layer_id FROM b) THEN visible WHEN starts_with("name", 'Match Lab') THEN true WHEN regexp_matches("name", '^Match (RGB|Curves|LUT)') THEN false ELSE visible END visible FROM ly""",

@@ -194,6 +194,7 @@ QUERIES = {
     "luma_bins": lambda s, d: D.luma_bins(tgt(s, d)),
     "luma_range": lambda s, d: D.luma_range(D.luma_bins(tgt(s, d))),
     "luma_bars": luma_bars,
+    "luma_polyline": lambda s, d: C.polyline(luma_bars(s, d).withColumnRenamed("l", "v"), 4),
     "curve_blend": on_curves(lambda c: C.blend(c, 0.65)),
     "curve_strength": on_curves(lambda c: C.toward_identity(c, 0.4)),
     "curve_monotonic": lambda s, d: C.rows(fitted(s, d).select(*[C.monotonic(F.reverse(c)).alias(c) for c in "rgb"])),
@@ -230,6 +231,7 @@ SELECT ch, v, {byte('ya + (yb-ya)*((v-xa)/CAST(CASE WHEN xb=xa THEN 1 ELSE xb-xa
     "percentile_bins": f"WITH {BOTH} SELECT ch, {_QS} FROM tc GROUP BY 1",
     "luma_bins": LUMA_SQL,
     "luma_range": f"WITH b AS ({LUMA_SQL}), t AS (SELECT max(n) top FROM b), f AS (SELECT min(l) lo, max(l) hi FROM b, t WHERE n > top*5e-3) SELECT coalesce(lo, 0) range_start, greatest(coalesce(lo, 0)+1, coalesce(hi, 255)) range_end FROM f",
+    "luma_polyline": f"WITH b AS ({LUMA_SQL}), m AS (SELECT max(ln(1+n)) top FROM b) SELECT l v, round(ln(1+n)/CASE WHEN top > 0 THEN top ELSE 1 END, 6) h FROM b, m WHERE l % 4 = 0 OR l = 255",
     "luma_bars": f"WITH b AS ({LUMA_SQL}), m AS (SELECT max(ln(1+n)) top FROM b) SELECT l, round(ln(1+n)/CASE WHEN top > 0 THEN top ELSE 1 END, 6) h FROM b, m",
     "curve_blend": f"WITH {FITTED}, {_blend('wide', 'x', '65e-2')} {ROWS} x",
     "curve_strength": f"WITH {FITTED}, {_blend('wide', 'x', '4e-1')} {ROWS} x",

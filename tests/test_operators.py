@@ -386,3 +386,25 @@ def test_written_tables_go_and_the_folder_must_be_shared(spark):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Far)
+
+
+def test_working_group_is_set_aside(spark):
+    schema = "layer_id long, parent_id long, ord int, name string, kind string, visible boolean"
+    rows = [(1, None, 1, "A", "group", True), (2, 1, 0, "[M]", "group", True), (3, None, 2, "[M]", "group", True), (4, None, 0, "[M] _11x", "pixel", True), (5, None, 3, "M _40", "pixel", True)]
+    df = spark.createDataFrame(rows, schema)
+    assert {(r["layer_id"], r["name"], r["visible"]) for r in L.branch(df, "[M]").collect()} == {(1, "A", True), (2, "[M] _12", False), (3, "[M]", True), (4, "[M] _11x", True), (5, "M _40", True)}
+    assert L.first_of(df, F.col("name") == "[M]").first()["layer_id"] == 2
+    assert L.first_of(df, F.col("name") == "none").count() == 0
+    assert {tuple(r) for r in L.branch(df.filter("layer_id > 3"), "[M]").collect()} == {tuple(r) for r in rows if r[0] > 3}
+    hidden = L.visibility(df.withColumn("name", F.when(F.col("layer_id") == 2, "ours").when(F.col("layer_id") == 4, "Match Lab").otherwise(F.col("name"))), F.col("name") == "ours", "rgb")
+    assert {r["layer_id"] for r in hidden.collect() if r["visible"]} == {1, 2, 3, 4, 5}
+
+
+def test_masks_without_a_selection(spark):
+    grid = spark.createDataFrame([(0, 0), (1, 0)], "x int, y int")
+    mask = spark.createDataFrame([(0, 0, 9)], "x int, y int, m int")
+    assert [r["m"] for r in T.paste(grid, mask, 5, 5).collect()] == [0, 0]
+    none = T.paste(grid, None)
+    assert [r["m"] for r in none.collect()] == [None, None]
+    assert [r["c"] for r in none.select(T.compose(F.lit(77), F.col("m")).alias("c")).collect()] == [77, 77]
+    assert {r["m"] for r in T.full_mask(spark.range(3).withColumnRenamed("id", "px_id")).collect()} == {255}
