@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .urls import split_url
 
 SAME, SHARE, BUCKETS, DEEPEST, HELD = 3, 0.7, 256, 100, 20_000
@@ -409,7 +409,7 @@ def _aligned(expressions: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """pages(url, html) -> a row a host: host, expression (as nested lists in JSON), pattern (the same to read), main and dropped (see decide)."""
+    """pages(url, html) -> a written table of a row a host: host, expression (as nested lists in JSON), pattern (the same to read), main and dropped (see decide)."""
     found = materialize(outlines(pages), "outlines")
     distinct = found.filter("expression IS NOT NULL").select("host", "expression").distinct()
     bucketed = _aligned(distinct.withColumn("bucket", F.pmod(F.hash("expression"), F.lit(BUCKETS))), ["host", "bucket"], "expression")
@@ -427,7 +427,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 out.append({"host": r["host"], "expression": r["expression"], "pattern": expression(content), "main": main, "dropped": dropped})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("host", pa.string()), ("expression", pa.string()), ("pattern", pa.string()), ("main", pa.string()), ("dropped", pa.list_(pa.string()))]))
 
-    return whole.join(listed, "host", "left").mapInArrow(run, "host string, expression string, pattern string, main string, dropped array<string>")
+    made = whole.join(listed, "host", "left").mapInArrow(run, "host string, expression string, pattern string, main string, dropped array<string>")
+    wrappers = materialize(made, "wrappers")
+    discard(found)
+    return wrappers
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -450,5 +453,4 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
 def op12_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    wrappers = materialize(infer_wrappers(pages).select("host", "main", "dropped"), "wrappers")
-    return extract(pages, wrappers).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "main")
+    return extract(pages, infer_wrappers(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "main")
