@@ -1,35 +1,39 @@
 """Layer trees as adjacency lists: layer_id, parent_id, ord, name, kind, visible.
 
-Trees are walked level by level with one join each, as deep as the tree is; each level is written, so that no step runs those above
-it again, and no recursion limit and no row limit applies. Layers that are their own ancestors stand under no root: they are an
-error, not a walk without end."""
+Ways to the root are found by pointer doubling: every layer holds the way to an ancestor, and a round joins it with that ancestor's
+own way, so a tree of depth d takes log2(d) + 1 rounds, each one join of written tables; no recursion limit and no row limit applies. Layers
+that are their own ancestors are an error, found as soon as a way holds its own next layer, not a walk without end; layers below
+a parent that is missing stand under no root and are left out."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from tessera.sources.shared import materialize
+from tessera.sources.shared import discard, materialize
+
+
+def ways(layers: DataFrame) -> DataFrame:
+    """layer_id, ids, names and place (orders) of the way from the root down to each layer, itself included: a written table."""
+    own = {"ids": F.array("layer_id"), "names": F.array("name"), "place": F.array("ord")}
+    way = materialize(layers.select("layer_id", F.col("parent_id").alias("up"), *[c.alias(n) for n, c in own.items()]), "ways")
+    while True:
+        pending = F.col("up").isNotNull()
+        left, circles = way.agg(F.count_if(pending), F.count_if(pending & F.expr("array_contains(ids, up)"))).first()
+        if circles:
+            raise ValueError("layers that are their own ancestors")
+        if not left:
+            return way.drop("up")
+        above = way.select(F.col("layer_id").alias("_id"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in own])
+        longer = way.filter(pending).join(above, F.col("up") == F.col("_id")).select("layer_id", F.col("_up").alias("up"), *[F.concat(f"_{c}", c).alias(c) for c in own])
+        before, way = way, materialize(way.filter(~pending).unionByName(longer), "ways")
+        discard(before)
 
 
 def levels(layers: DataFrame) -> DataFrame:
     """layers with depth, names (of the way from the root) and place (orders along the way, which sort in pre-order)."""
-    root = {"depth": F.lit(0), "names": F.array("name"), "place": F.array("ord")}
-    level = materialize(layers.filter("parent_id IS NULL").withColumns(root), "level")
-    out, depth = level, 0
-    while not level.isEmpty():
-        depth += 1
-        up = level.select(F.col("layer_id").alias("parent_id"), F.col("names").alias("_names"), F.col("place").alias("_place"))
-        names, place = F.concat("_names", F.array("name")), F.concat("_place", F.array("ord"))
-        level = layers.join(up, "parent_id").select(*layers.columns, F.lit(depth).alias("depth"), names.alias("names"), place.alias("place"))
-        level = materialize(level, "level")
-        out = out.unionByName(level)
-    # a circle is not reached from any root, nor is a layer whose parent is missing
-    left = layers.join(out.select("layer_id"), "layer_id", "left_anti").filter("parent_id IS NOT NULL")
-    if not left.isEmpty() and left.join(layers.select(F.col("layer_id").alias("parent_id")), "parent_id", "left_anti").isEmpty():
-        raise ValueError("layers that are their own ancestors")
-    return out
+    way = ways(layers).select(F.col("layer_id").alias("_id"), (F.size("names") - 1).alias("depth"), "names", "place")
+    return layers.join(way, F.col("layer_id") == F.col("_id")).drop("_id")
 
 
 def paths(layers: DataFrame, own_group: Column) -> DataFrame:
@@ -87,15 +91,22 @@ def visibility(layers: DataFrame, own_group: Column, mode: str) -> DataFrame:
     return layers.join(below, "layer_id", "left").select("layer_id", F.when(F.col("_below"), shown).otherwise(F.col("visible")).alias("visible"))
 
 
-def isolate(layers: DataFrame, wanted: int) -> DataFrame:
-    """layer_id and visible: the wanted layer and its ancestors stay, all else is hidden."""
-    keep, level = set(), [wanted]
-    while level:  # the ids of the way up come to the driver, a level at a time; circles end where they close
-        keep.update(level)
-        above = layers.filter(F.col("layer_id").isin(level) & F.col("parent_id").isNotNull()).select("parent_id").distinct().collect()
-        level = [r["parent_id"] for r in above if r["parent_id"] not in keep]
-    schema = StructType([StructField("layer_id", layers.schema["layer_id"].dataType)])
-    kept = layers.sparkSession.createDataFrame([(k,) for k in keep], schema).withColumn("kept", F.lit(True))
-    return layers.join(F.broadcast(kept), "layer_id", "left").select("layer_id", F.coalesce("kept", F.lit(False)).alias("visible"))
+def ancestors(layers: DataFrame, wanted: int) -> DataFrame:
+    """layer_id of a layer and all its ancestors; a round doubles the steps that are known, and circles end where they close."""
+    kind = layers.schema["layer_id"].dataType.simpleString()
+    found = layers.sparkSession.createDataFrame([(wanted,)], "layer_id long").select(F.col("layer_id").cast(kind))
+    jump = layers.filter("parent_id IS NOT NULL").select("layer_id", F.col("parent_id").alias("up"))
+    n = 1
+    while True:
+        above = jump.join(found, "layer_id", "left_semi").select(F.col("up").alias("layer_id"))
+        found = materialize(found.union(above).distinct(), "ancestors")
+        before, n = n, found.count()
+        if n == before:
+            return found
+        jump = materialize(jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.layer_id")).select("a.layer_id", "b.up"), "jumps")
 
 
+def isolate(layers: DataFrame, wanted: int) -> DataFrame:
+    """layer_id and visible: the wanted layer and its ancestors stay, all else is hidden."""
+    kept = ancestors(layers, wanted).withColumn("_kept", F.lit(True))
+    return layers.join(kept, "layer_id", "left").select("layer_id", F.coalesce("_kept", F.lit(False)).alias("visible"))

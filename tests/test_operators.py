@@ -243,6 +243,23 @@ def test_layers_of_deep_trees_and_circles(spark):
     assert {r["layer_id"]: len(r["path"].split(" / ")) for r in L.paths(df, F.lit(False)).collect()} == {67: 68, 100: 2}
     circle = spark.createDataFrame([(1, 2, 0, "a", "group", True), (2, 1, 0, "b", "group", True), (3, None, 0, "c", "group", True)], schema)
     assert sorted((r["layer_id"], r["visible"]) for r in L.isolate(circle, 1).collect()) == [(1, True), (2, True), (3, False)]
+    hanging = spark.createDataFrame([(9, 8, 0, "d", "pixel", True), (8, 7, 0, "e", "group", True), (3, None, 0, "c", "pixel", True)], schema)
+    for df in (circle, circle.union(spark.createDataFrame([(i, 1 if i == 10 else i - 1, 0, "x", "pixel", True) for i in range(10, 40)], schema)), circle.union(hanging)):
+        with pytest.raises(ValueError, match="own ancestors"):
+            L.paths(df, F.lit(False))
+    assert [tuple(r) for r in L.paths(hanging, F.lit(False)).collect()] == [(3, "c")]
+
+
+def test_a_chain_takes_as_many_rounds_as_its_depth_has_bits(spark, monkeypatch):
+    depth, written = 4096, []
+    monkeypatch.setattr(L, "materialize", lambda df, name, write=L.materialize: written.append(name) or write(df, name))
+    chain = spark.range(depth).select(F.col("id").alias("layer_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit(0).alias("ord"), F.col("id").cast("string").alias("name"), F.lit("group").alias("kind"), F.lit(True).alias("visible"))
+    last = L.levels(chain).filter(f"layer_id = {depth - 1}").first()
+    assert last["depth"] == depth - 1 and last["names"] == [str(i) for i in range(depth)]
+    assert written.count("ways") <= 14  # the start and 13 rounds
+    written.clear()
+    assert L.isolate(chain, 3000).filter("visible").agg(F.min("layer_id"), F.max("layer_id"), F.count("*")).first() == (0, 3000, 3001)
+    assert written.count("ancestors") <= 14
 
 
 def test_throttle_streams_like_the_batch(spark, tmp_path):
