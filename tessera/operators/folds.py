@@ -100,17 +100,3 @@ def undo_fold(actions: DataFrame, owner: str = "user_id") -> DataFrame:
         return ()
 
     return fold(actions, owner, ["ms", "id"], f"{owner} long, present string, undo_depth int, redo_depth int", Undo, step, lambda k, s: [(k, s.present, len(s.past), len(s.future))])
-
-
-def throttle(events: DataFrame, wait_ms: int, owner: str = "user_id") -> DataFrame:
-    """events(owner, id, ms, value) -> owner, open_ms, fire_ms, n, last: a window opens at the first event after the last window, and its last value fires at its end."""
-    def step(k, w, row):
-        out = []
-        if w and row["ms"] - w["open"] >= wait_ms:
-            out = [(k, w["open"], w["open"] + wait_ms, w["n"], w["last"])]
-            w.clear()
-        w.setdefault("open", row["ms"])
-        w["n"], w["last"] = w.get("n", 0) + 1, row["value"]
-        return out
-
-    return fold(events, owner, ["ms", "id"], f"{owner} long, open_ms long, fire_ms long, n int, last double", dict, step, lambda k, w: [(k, w["open"], w["open"] + wait_ms, w["n"], w["last"])] if w else [])

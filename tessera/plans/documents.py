@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.color import num
+from tessera.operators import admission as D
 from tessera.operators import folds as H
 from tessera.operators import layers as L
 from tessera.operators import recipes as R
@@ -109,6 +110,12 @@ def paused(s, d):
     return E.flush_pauses(e)
 
 
+def inflight(s, d):
+    """Work of one to five hours, by the event's value; events that come while their user's work goes on are dropped."""
+    busy = (F.floor(F.col("value")).cast("long") % 5 + 1) * 3_600_000
+    return D.guard(events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", busy.alias("busy_ms"))).select("user_id", "id", "ms")
+
+
 def undo_query(s, d):
     act = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("change")
     return H.undo_fold(events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", act.alias("act"), F.concat_ws("", "event_type", (F.col("event_id") % 2).cast("string")).alias("state")))
@@ -167,7 +174,8 @@ QUERIES = {
     "layer_prefix": lambda s, d: layers(s, d).filter(F.col("name").startswith("Match LUT")).select("layer_id", "name"),
     "layer_isolate": lambda s, d: L.isolate(layers(s, d), 100007),
     "debounce_sessions": lambda s, d: E.debounce(events(s, d), "6 hours").select("user_id", F.unix_millis("first").alias("first_ms"), F.unix_millis("last").alias("last_ms"), "n"),
-    "throttle_windows": lambda s, d: H.throttle(events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", "value"), 21_600_000),
+    "throttle_windows": lambda s, d: D.throttle(events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", "value"), 21_600_000),
+    "inflight_guard": inflight,
     "change_detect": lambda s, d: E.changes(events(s, d), "event_type").select("user_id", "event_id", "event_type"),
     "latest_wins": lambda s, d: E.latest(events(s, d), "value", "event_id"),
     "echo_suppress": lambda s, d: E.without_echo(events(s, d), "event_type = 'purchase'", "5 hours").select("user_id", "event_id"),
@@ -232,6 +240,8 @@ SELECT layer_id, CASE WHEN layer_id NOT IN (SELECT layer_id FROM b) THEN visible
     "layer_isolate": f"WITH RECURSIVE {LAY}, u AS (SELECT layer_id, parent_id FROM ly WHERE layer_id = 100007 UNION ALL SELECT ly.layer_id, ly.parent_id FROM u JOIN ly ON ly.layer_id = u.parent_id) SELECT layer_id, layer_id IN (SELECT layer_id FROM u) visible FROM ly",
     "debounce_sessions": "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END b FROM events), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) s FROM e) SELECT user_id, epoch_us(min(ts))//1000 first_ms, epoch_us(max(ts))//1000 last_ms, count(*) n FROM g GROUP BY user_id, s",
     "throttle_windows": f"WITH RECURSIVE {EV}, e AS (SELECT user_id, event_id, ms, value, {ROWS} FROM ev), f AS (SELECT user_id, rn, ms, ms o, value FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, e.ms, CASE WHEN e.ms - f.o >= 21600000 THEN e.ms ELSE f.o END, e.value FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, o open_ms, o + 21600000 fire_ms, CAST(count(*) AS INT) n, arg_max(value, rn) \"last\" FROM f GROUP BY 1, 2",
+    "inflight_guard": f"""WITH RECURSIVE {EV}, e AS (SELECT user_id, event_id id, ms, (CAST(floor(value) AS BIGINT) % 5 + 1)*3600000 busy, {ROWS} FROM ev),
+f AS (SELECT user_id, rn, id, ms, ms + busy free, true taken FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, e.id, e.ms, CASE WHEN e.ms >= f.free THEN e.ms + e.busy ELSE f.free END, e.ms >= f.free FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, id, ms FROM f WHERE taken""",
     "change_detect": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) b FROM events) WHERE b IS NULL OR b <> event_type",
     "latest_wins": "SELECT user_id, arg_max(value, event_id) \"value\", max(event_id) event_id FROM events GROUP BY 1",
     "echo_suppress": "SELECT user_id, event_id FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events w WHERE w.user_id = e.user_id AND w.event_type = 'purchase' AND w.ts <= e.ts AND e.ts < w.ts + INTERVAL 5 HOURS)",

@@ -11,6 +11,7 @@ from tessera.functions import color as K
 from tessera.match import Params, match
 from tessera.operators import curves as C
 from tessera.operators import dist as D
+from tessera.operators import admission as X
 from tessera.operators import folds as H
 from tessera.operators import layers as L
 from tessera.operators import palette as A
@@ -275,7 +276,7 @@ def test_throttle_streams_like_the_batch(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    want = {tuple(r) for r in H.throttle(batch, 200).collect()}
+    want = {tuple(r) for r in X.throttle(batch, 200).collect()}
     last = {u: max(w[1] for w in want if w[0] == u) for u in range(3)}
     assert got == {w for w in want if w[1] != last[w[0]]}
 
