@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, fits, palettes, pixels, spatial
+from . import documents, fits, live, palettes, pixels, spatial
 
-MODULES = (fits, pixels, palettes, documents, spatial)
+MODULES = (fits, pixels, palettes, documents, spatial, live)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
