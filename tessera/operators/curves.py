@@ -155,6 +155,18 @@ def zone_weights(zones: tuple[Zone, Zone, Zone] = ZONES) -> Column:
     return _by_value(at_value)
 
 
+def zone_weights_of(zones: Column) -> Column:
+    """As zone_weights, for a column of array<struct<amount, anchor, falloff, bias>>: every row has zones of its own."""
+    part = lambda z: F.struct((z["amount"] / num(100)).alias("amount"), z["anchor"].alias("anchor"), F.exp(z["bias"] / num(50)).alias("top"), (num(18) + z["falloff"] / num(100) * num(60)).alias("sigma"))
+
+    def at_value(parts: Column, v: Column) -> Column:
+        bells = F.transform(parts, lambda z: F.struct(z["amount"].alias("amount"), (z["top"] * F.exp(-((v - z["anchor"]) * (v - z["anchor"])) / (num(2) * z["sigma"] * z["sigma"]))).alias("bell")))
+        sums = F.aggregate(bells, F.struct(num(0).alias("own"), num(0).alias("all")), lambda acc, b: F.struct((acc["own"] + b["amount"] * b["bell"]).alias("own"), (acc["all"] + b["bell"]).alias("all")))
+        return bound(sums, lambda x: x["own"] / F.when(x["all"] == 0, num(1)).otherwise(x["all"]))
+
+    return bound(F.transform(zones, part), lambda parts: _by_value(lambda v: at_value(parts, v)))
+
+
 @dataclass(frozen=True)
 class Knot:
     position: float
@@ -204,6 +216,52 @@ def envelope_weights(knots: tuple[Knot, ...] = ENVELOPE) -> Column:
     return _by_value(at_value)
 
 
+def tangents_of(knots: Column) -> Column:
+    """As tangents, for a column of two or more knots (position, weight) in order."""
+    n = F.size(knots)
+    gap = lambda k: F.get(knots, k + 1)["position"] - F.get(knots, k)["position"]
+    steps = F.transform(F.sequence(F.lit(0), n - 2), lambda k: (F.get(knots, k + 1)["weight"] - F.get(knots, k)["weight"]) / F.when(gap(k) == 0, num(1)).otherwise(gap(k)))
+
+    def limited(d: Column) -> Column:
+        mean = lambda k: F.when(k == n - 1, F.get(d, n - 2)).when(F.get(d, k - 1) * F.get(d, k) <= 0, num(0)).otherwise((F.get(d, k - 1) + F.get(d, k)) / num(2))
+
+        def walk(acc: Column, k: Column) -> Column:
+            step, new = F.get(d, k), mean(k + 1)
+            size = F.hypot(acc["now"] / step, new / step)
+            held = lambda m: F.when(step == 0, num(0)).when(size > 3, m * num(3) / size).otherwise(m)
+            return F.struct(F.concat(acc["done"], F.array(held(acc["now"]))).alias("done"), held(new).alias("now"))
+
+        start = F.struct(F.array().cast("array<double>").alias("done"), F.get(d, F.lit(0)).alias("now"))
+        return F.aggregate(F.sequence(F.lit(0), n - 2), start, walk, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+
+    return bound(steps, limited)
+
+
+def envelope_weights_of(knots: Column) -> Column:
+    """As envelope_weights, for a column of array<struct<position, weight, smooth>>: every row has knots of its own; null where a knot lacks a position or weight."""
+    sound = F.coalesce(F.forall(knots, lambda k: k["position"].isNotNull() & k["weight"].isNotNull() & ~F.isnan(k["position"]) & ~F.isnan(k["weight"])), F.lit(True))
+    ready = F.array_sort(F.transform(knots, lambda k, i: F.struct(k["position"].alias("position"), i.alias("i"), F.greatest(num(0), k["weight"]).alias("weight"), F.coalesce(k["smooth"], F.lit(True)).alias("smooth"))))
+    flat = F.array_repeat(F.coalesce(F.get(ready, F.lit(0))["weight"], num(1)), 256)
+
+    def drawn(both: Column) -> Column:
+        p, m, n = both["p"], both["m"], F.size(both["p"])
+
+        def at_value(v: Column) -> Column:
+            i = F.greatest(F.lit(0), F.size(F.filter(p, lambda q: q["position"] < v)) - 1)
+            a, b = F.get(p, i), F.get(p, i + 1)
+            h = F.when(b["position"] == a["position"], num(1)).otherwise(b["position"] - a["position"])
+            t = (v - a["position"]) / h
+            t2, t3 = t * t, t * t * t
+            cubic = (num(2) * t3 - num(3) * t2 + num(1)) * a["weight"] + (t3 - num(2) * t2 + t) * (h * F.get(m, i)) + (num(3) * t2 - num(2) * t3) * b["weight"] + (t3 - t2) * (h * F.get(m, i + 1))
+            inside = F.greatest(num(0), F.when(a["smooth"] & b["smooth"], cubic).otherwise(a["weight"] + (b["weight"] - a["weight"]) * t))
+            first, last = F.get(p, F.lit(0)), F.get(p, n - 1)
+            return F.when(v <= first["position"], first["weight"]).when(v >= last["position"], last["weight"]).otherwise(inside)
+
+        return _by_value(at_value)
+
+    return F.when(sound, F.when(F.coalesce(F.size(knots), F.lit(0)) < 2, flat).otherwise(bound(ready, lambda p: bound(F.struct(p.alias("p"), tangents_of(p).alias("m")), drawn))))
+
+
 def apply_weights(curve: Column, weights: Column) -> Column:
     return bound(weights, lambda w: F.transform(curve, lambda c, v: byte(v + (c - v) * F.element_at(w, v + 1))))
 

@@ -138,37 +138,40 @@ def weights_active(weights: Column) -> Column:
     return F.exists(weights, lambda w: F.abs(w - num(1)) > num(0.01))
 
 
-def bar(swatches: DataFrame) -> DataFrame:
-    """swatches(idx, r, g, b, weight, user) -> idx, ord (dark to light), value, width and left in percent of the bar."""
-    one = W.partitionBy()
+def bar(swatches: DataFrame, owner: str) -> DataFrame:
+    """swatches(owner, idx, r, g, b, weight, user) -> owner, idx, ord (dark to light), value, width and left in percent of the owner's bar. A palette is few rows; owners spread over all tasks."""
+    one = W.partitionBy(owner)
     df = swatches.withColumns({"value": F.greatest(num(0), F.col("user")) * F.greatest(num(0), F.col("weight")), "y": luma(F.col("r"), F.col("g"), F.col("b"))})
     total = F.sum("value").over(one)
     df = df.withColumn("width", F.greatest(num(LEAST_WIDTH), F.col("value") / F.when(total == 0, num(1)).otherwise(total) * num(100)))
     df = df.withColumn("width", F.col("width") / F.sum("width").over(one) * num(100))
-    order = W.orderBy("y", "idx")
+    order = one.orderBy("y", "idx")
     return df.withColumns({"ord": F.row_number().over(order) - 1, "left": F.coalesce(F.sum("width").over(order.rowsBetween(W.unboundedPreceding, -1)), num(0))}).drop("y")
 
 
-def drag_pair(bars: DataFrame, place: int, x: float) -> DataFrame:
-    """idx and new user weight after the handle between place and place + 1 went to x percent; the pair's sum of weight times prevalence stays."""
-    side = bars.filter(F.col("ord").isin(place, place + 1)).withColumn("p", F.greatest(num(1e-6), F.col("weight")))
-    pair = side.agg(F.sum(F.col("user") * F.col("p")).alias("mass"), F.min("left").alias("from"), F.max(F.col("left") + F.col("width")).alias("to"))
-    df = bars.crossJoin(F.broadcast(pair))
-    share = (F.greatest(F.col("from") + num(0.5), F.least(F.col("to") - num(0.5), num(x))) - F.col("from")) / (F.col("to") - F.col("from"))
+def drag_pair(bars: DataFrame, owner: str, place: int, x: float) -> DataFrame:
+    """owner, idx and new user weight after the handle between place and place + 1 went to x percent; the pair's sum of weight times prevalence stays. Palettes without that handle stay as they are."""
+    one = W.partitionBy(owner)
+    both = F.col("ord").isin(place, place + 1)
+    of = lambda f, c: f(F.when(both, c)).over(one)
     p = F.greatest(num(1e-6), F.col("weight"))
-    new = F.when(F.col("ord") == place, F.col("mass") * share / p).when(F.col("ord") == place + 1, F.col("mass") * (num(1) - share) / p).otherwise(F.col("user"))
-    return df.select("idx", new.alias("user"))
+    df = bars.withColumns({"mass": of(F.sum, F.col("user") * p), "from": of(F.min, F.col("left")), "to": of(F.max, F.col("left") + F.col("width")), "pair": of(F.count, F.col("idx"))})
+    share = (F.greatest(F.col("from") + num(0.5), F.least(F.col("to") - num(0.5), num(x))) - F.col("from")) / (F.col("to") - F.col("from"))
+    new = F.when(F.col("ord") == place, F.col("mass") * share / p).when(F.col("ord") == place + 1, F.col("mass") * (num(1) - share) / p)
+    return df.select(owner, "idx", F.when(both & (F.col("pair") == 2), new).otherwise(F.col("user")).alias("user"))
 
 
-def drag_body(bars: DataFrame, place: int, dx: float) -> DataFrame:
-    """idx and new user weight after the swatch at place grew by dx of the bar; the others keep their ratios, or share by prevalence if they had nothing."""
-    one = bars.agg(F.sum("value").alias("total"), F.max(F.when(F.col("ord") == place, F.col("value"))).alias("own"), F.sum(F.when(F.col("ord") != place, F.greatest(num(0), F.col("weight"))).otherwise(num(0))).alias("others"))
-    df = bars.crossJoin(F.broadcast(one)).withColumn("total", F.when(F.col("total") == 0, num(1)).otherwise(F.col("total")))
+def drag_body(bars: DataFrame, owner: str, place: int, dx: float) -> DataFrame:
+    """owner, idx and new user weight after the swatch at place grew by dx of the bar; the others keep their ratios, or share by prevalence if they had nothing. Palettes without that place stay as they are."""
+    one = W.partitionBy(owner)
+    others = F.when(F.col("ord") != place, F.greatest(num(0), F.col("weight"))).otherwise(num(0))
+    df = bars.withColumns({"total": F.sum("value").over(one), "own": F.max(F.when(F.col("ord") == place, F.col("value"))).over(one), "others": F.sum(others).over(one)})
+    df = df.withColumn("total", F.when(F.col("total") == 0, num(1)).otherwise(F.col("total")))
     before = F.col("own") / F.col("total")
     after = F.greatest(num(0), F.least(num(1), before + num(dx)))
     mine = after * F.col("total") / F.greatest(num(1e-6), F.col("weight"))
     rest = F.when(num(1) - before >= num(1e-6), F.col("user") * (num(1) - after) / (num(1) - before)).when(F.col("others") > num(1e-6), (num(1) - after) / F.col("others")).otherwise(F.col("user"))
-    return df.select("idx", F.when(F.col("ord") == place, mine).otherwise(rest).alias("user"))
+    return df.select(owner, "idx", F.when(F.col("own").isNull(), F.col("user")).when(F.col("ord") == place, mine).otherwise(rest).alias("user"))
 
 
 def display_color(preset: str) -> tuple[Column, Column, Column]:
@@ -182,24 +185,27 @@ def display_color(preset: str) -> tuple[Column, Column, Column]:
     return own
 
 
-def edges(bars: DataFrame, preset: str) -> DataFrame:
-    """idx, right, r, g, b: the colour between a swatch and the next one of the bar, the mean of both as shown; none after the last."""
-    df = bars.select("idx", "ord", *[c.alias(n) for c, n in zip(display_color(preset), "rgb", strict=True)])
-    after = df.select((F.col("ord") - 1).alias("ord"), F.col("idx").alias("right"), *[F.col(c).alias(f"n_{c}") for c in "rgb"])
-    return df.join(F.broadcast(after), "ord").select("idx", "right", *[half_up((F.col(c) + F.col(f"n_{c}")) / num(2)).alias(c) for c in "rgb"])
+def edges(bars: DataFrame, owner: str, preset: str) -> DataFrame:
+    """owner, idx, right, r, g, b: the colour between a swatch and the next one of the bar, the mean of both as shown; none after the last."""
+    by = W.partitionBy(owner).orderBy("ord")
+    shown = bars.select(owner, "idx", "ord", *[c.alias(n) for c, n in zip(display_color(preset), "rgb", strict=True)])
+    df = shown.withColumns({"right": F.lead("idx").over(by), **{f"n_{c}": F.lead(c).over(by) for c in "rgb"}}).filter("right IS NOT NULL")
+    return df.select(owner, "idx", "right", *[half_up((F.col(c) + F.col(f"n_{c}")) / num(2)).alias(c) for c in "rgb"])
 
 
-def recipe_source(swatches: DataFrame, total: int = SOURCE_PIXELS) -> DataFrame:
-    """px_id, r, g, b, a: a source of a fixed number of pixels in the swatches' shares, at least one each while there is room, filled up with the first."""
+def recipe_source(swatches: DataFrame, owner: str, total: int = SOURCE_PIXELS) -> DataFrame:
+    """owner, px_id, r, g, b, a: a source of a fixed number of pixels in the swatches' shares, at least one each while there is room, filled up with the first."""
+    one = W.partitionBy(owner)
+    order = one.orderBy("idx")
     value = F.greatest(num(0), F.coalesce("user", num(1))) * F.greatest(num(0), F.coalesce("weight", num(1)))
     df = swatches.withColumn("value", value)
-    whole = F.sum("value").over(W.partitionBy())
+    whole = F.sum("value").over(one)
     df = df.withColumn("n", F.greatest(F.lit(1), half_up(F.col("value") / F.when(whole == 0, num(1)).otherwise(whole) * num(total))))
-    df = df.withColumn("end", F.sum("n").over(W.orderBy("idx").rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    df = df.withColumn("from", F.col("end") - F.col("n")).withColumn("to", F.least(F.lit(total), F.col("end"))).filter(F.col("from") < total)
-    fill = df.groupBy().agg(F.max("to").alias("from"), *[F.min_by(c, "idx").alias(c) for c in "rgb"]).filter(F.col("from") < total).withColumn("to", F.lit(total))
-    spans = df.select("from", "to", *"rgb").unionByName(fill.select("from", "to", *"rgb"))
-    return spans.select(F.explode(F.sequence(F.col("from").cast("bigint"), F.col("to").cast("bigint") - 1)).alias("px_id"), *"rgb", F.lit(255).alias("a"))
+    df = df.withColumn("end", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    df = df.withColumns({"from": F.col("end") - F.col("n"), "to": F.least(F.lit(total), F.col("end")), "rest": F.when(F.row_number().over(order) == 1, F.greatest(F.lit(0), F.lit(total) - F.max("end").over(one)))})
+    ids = lambda lo, hi: F.when(hi > lo, F.sequence(lo.cast("bigint"), hi.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+    filled = F.concat(ids(F.col("from"), F.col("to")), ids(F.lit(total) - F.coalesce("rest", F.lit(0)), F.lit(total)))
+    return df.select(owner, F.explode(filled).alias("px_id"), *"rgb", F.lit(255).alias("a"))
 
 
 STOPS = 32

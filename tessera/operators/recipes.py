@@ -144,16 +144,42 @@ NEUTRAL = [25, 70, 128, 185, 230]
 
 
 def starters(spark: SparkSession) -> DataFrame:
-    """The starters as whole entries: id, timestamp, label, name, pinned, preset, output_mode, weights, swatches, signature, and points as data only: they are in output values, not weights."""
-    rows = [(i, n, p, w, [{"x": x, "y": y} for x, y in e]) for i, n, p, w, e in STARTERS]
+    """The starters as whole entries: id, timestamp, label, name, pinned, signature, and state: source-only, so its target side is empty and no document is named. The envelope's points are in output values, not weights."""
+    rows = [(i, n, p, w, [{"x": x, "y": y} for x, y in e] or None) for i, n, p, w, e in STARTERS]
     df = spark.createDataFrame(rows, "id string, name string, preset string, weights array<double>, points array<struct<x:int,y:int>>")
     grey = lambda g: F.struct(g.alias("r"), g.alias("g"), g.alias("b"), num(0.2).alias("weight"), (g / num(255) * num(100)).alias("labL"), num(0).alias("labA"), num(0).alias("labB"))
     swatches = F.transform(F.lit(NEUTRAL).cast("array<int>"), grey)
-    state = F.struct(F.lit("rgb").alias("outputMode"), F.lit("rgb").alias("colorSpace"), F.col("preset"), F.lit(len(NEUTRAL)).alias("paletteCount"), swatches.alias("sourcePaletteSwatches"))
-    colors = F.transform("swatches", lambda s: pack(s["r"], s["g"], s["b"]))
+    none = F.array().cast("array<struct<r:int,g:int,b:int,weight:double,labL:double,labA:double,labB:double>>")
+    parts = {
+        "xmpVersion": F.lit(1),
+        "toolVersion": F.lit("starter"),
+        "preset": F.col("preset"),
+        "outputMode": F.lit("rgb"),
+        "colorSpace": F.lit("rgb"),
+        "paletteCount": F.lit(len(NEUTRAL)),
+        "sourcePaletteSwatches": swatches,
+        "sourcePaletteWeights": F.col("weights"),
+        "sourceSoftness": num(0),
+        "targetPaletteSwatches": none,
+        "targetPaletteWeights": F.array().cast("array<double>"),
+        "targetSoftness": num(0),
+        "selectionMode": F.lit("off"),
+        "matchMode": F.lit("full"),
+        "paletteAdaptive": F.lit(False),
+        "envelope": F.col("points"),
+        **{c: F.lit(None).cast("long") for c in IDS},
+    }
+    df = df.withColumn("state", F.struct(*[c.alias(n) for n, c in parts.items()]))
+    colors = F.transform("state.sourcePaletteSwatches", lambda s: pack(s["r"], s["g"], s["b"]))
     hundredths = F.transform("weights", lambda w: half_up(w * num(100)))
-    df = df.select("id", F.lit(0).cast("long").alias("timestamp"), label(state).alias("label"), "name", F.lit(True).alias("pinned"), "preset", F.lit("rgb").alias("output_mode"), "weights", "points", swatches.alias("swatches"))
-    return df.withColumn("signature", F.struct(colors.alias("colors"), hundredths.alias("weights")))
+    signature = F.struct(colors.alias("colors"), hundredths.alias("weights"))
+    return df.select("id", F.lit(0).cast("long").alias("timestamp"), label(F.col("state")).alias("label"), "name", F.lit(True).alias("pinned"), "state", signature.alias("signature"))
+
+
+def seed(owners: DataFrame, entries: DataFrame, owner: str) -> DataFrame:
+    """The starters for every owner that has no entry: owner and the columns of starters()."""
+    new = owners.select(owner).join(entries.select(owner), owner, "left_anti")
+    return new.crossJoin(F.broadcast(starters(owners.sparkSession)))  # as many rows as there are starters
 
 
 def restore(state: Column, full: bool) -> dict[str, Column]:

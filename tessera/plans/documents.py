@@ -129,9 +129,15 @@ def state_query(s, d):
 
 
 def starters(s, d):
+    """For customers without an urgent order, as owners without a history."""
+    entries = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"))
+    df = R.seed(table(s, d, "customer").select(F.col("c_custkey").alias("k")), entries, "k")
     sig = [F.array_join(F.transform(f"signature.{c}", lambda x: x.cast("string")), ",").alias(f"sig_{c}") for c in ("colors", "weights")]
-    light = F.array_join(F.transform("swatches", lambda w: F.format_string("%.4f", w["labL"])), ",").alias("lights")
-    return R.starters(s).select("timestamp", "label", "pinned", "output_mode", *sig, light, "id", "name", "preset", F.array_join(F.transform("weights", lambda w: F.format_string("%.1f", w)), ",").alias("weights"), F.array_join(F.transform("points", lambda p: F.format_string("%d:%d", p["x"], p["y"])), ",").alias("points"))
+    light = F.array_join(F.transform("state.sourcePaletteSwatches", lambda w: F.format_string("%.4f", w["labL"])), ",").alias("lights")
+    weights = F.array_join(F.transform("state.sourcePaletteWeights", lambda w: F.format_string("%.1f", w)), ",").alias("weights")
+    points = F.array_join(F.transform("state.envelope", lambda p: F.format_string("%d:%d", p["x"], p["y"])), ",").alias("points")
+    target = F.concat_ws("|", F.size("state.targetPaletteSwatches").cast("string"), F.format_string("%.1f", "state.targetSoftness"), "state.selectionMode", "state.matchMode").alias("target")
+    return df.select("k", "timestamp", "label", "pinned", F.col("state.outputMode").alias("output_mode"), *sig, light, "id", "name", "state.preset", weights, points, target)
 
 
 def layers(s, d):
@@ -222,9 +228,9 @@ UNION ALL SELECT f.user_id, f.rn + 1,
 SELECT user_id, cur present, CAST(pd AS INT) undo_depth, CAST(fd AS INT) redo_depth FROM l""",
     "state_restore": f"""WITH {ST} SELECT user_id, preset, CASE WHEN om IS NOT NULL THEN om WHEN cs = 'lab' THEN cs ELSE 'lut' END output_mode, CAST(CASE WHEN pc IN (3, 5, 7) THEN pc ELSE 5 END AS INT) palette_count, coalesce(ss, 0e0) source_softness, CAST(user_id % 50 AS DOUBLE) target_softness,
 least(100e0, user_id*2e0) lut_strength, CASE user_id % 4 WHEN 0 THEN 17 WHEN 3 THEN 65 ELSE 33 END lut_grid, CASE WHEN user_id % 2 = 1 THEN 'focus' ELSE 'off' END selection_mode, 0e0 recipe_target_softness, 'off' recipe_selection_mode FROM md""",
-    "starter_recipes": """WITH v AS (SELECT * FROM (VALUES ('starter-1', 'Punch — Contrast Lift', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:48,128:128,192:208,255:255'), ('starter-2', 'Faded — Lifted Shadows', 'color', '1.0,1.0,1.0,1.0,1.0', '0:24,64:70,128:130,192:200,255:248'), ('starter-3', 'Warm Midtones', 'hue', '0.7,1.0,1.2,1.2,0.9', ''), ('starter-4', 'Mono — Contrast B&W', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:40,128:128,192:220,255:255')) t(id, "name", preset, weights, points))
-SELECT CAST(0 AS BIGINT) "timestamp", 'RGB · ' || upper(preset[1]) || preset[2:] || ' · 5 swatches' "label", true pinned, 'rgb' output_mode, '1644825,4605510,8421504,12171705,15132390' sig_colors,
- array_to_string(list_transform(string_split(weights, ','), lambda w: CAST(round(CAST(w AS DOUBLE)*100) AS INT)), ',') sig_weights, '9.8039,27.4510,50.1961,72.5490,90.1961' lights, v.* FROM v""",
+    "starter_recipes": """WITH v AS (SELECT * FROM (VALUES ('starter-1', 'Punch — Contrast Lift', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:48,128:128,192:208,255:255'), ('starter-2', 'Faded — Lifted Shadows', 'color', '1.0,1.0,1.0,1.0,1.0', '0:24,64:70,128:130,192:200,255:248'), ('starter-3', 'Warm Midtones', 'hue', '0.7,1.0,1.2,1.2,0.9', NULL), ('starter-4', 'Mono — Contrast B&W', 'contrast', '1.0,1.0,1.0,1.0,1.0', '0:0,64:40,128:128,192:220,255:255')) t(id, "name", preset, weights, points))
+SELECT c_custkey k, '0|0.0|off|full' target, CAST(0 AS BIGINT) "timestamp", 'RGB · ' || upper(preset[1]) || preset[2:] || ' · 5 swatches' "label", true pinned, 'rgb' output_mode, '1644825,4605510,8421504,12171705,15132390' sig_colors,
+ array_to_string(list_transform(string_split(weights, ','), lambda w: CAST(round(CAST(w AS DOUBLE)*100) AS INT)), ',') sig_weights, '9.8039,27.4510,50.1961,72.5490,90.1961' lights, v.* FROM v, customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
     "b64": "SELECT event_id, to_base64(encode('é ' || props)) b64 FROM events",
     "layer_paths": f"WITH RECURSIVE {LAY}, w AS (SELECT layer_id, kind, \"name\" path FROM ly WHERE parent_id IS NULL AND \"name\" <> 'Match' UNION ALL SELECT ly.layer_id, ly.kind, w.path || ' / ' || ly.\"name\" FROM w JOIN ly ON ly.parent_id = w.layer_id WHERE ly.\"name\" <> 'Match') SELECT layer_id, path FROM w WHERE kind IN ('pixel', 'smartObject') OR kind IS NULL",
     "group_consolidate": f"WITH {LAY}, g AS (SELECT layer_id, parent_id, ord FROM ly WHERE \"name\" = 'Match' AND kind = 'group'), c AS (SELECT arg_min(layer_id, (parent_id, ord)) k FROM g) SELECT layer_id, CASE WHEN parent_id IN (SELECT layer_id FROM g) THEN k ELSE parent_id END parent_id, \"name\" FROM ly, c WHERE layer_id NOT IN (SELECT layer_id FROM g) OR layer_id = k",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.color import num
 from tessera.operators import curves as C
 from tessera.operators import dist as D
+from tessera.sources.fixtures import table
 from tessera.sources.fixtures import source_pixels as src
 from tessera.sources.fixtures import target_pixels as tgt
 
@@ -63,12 +64,23 @@ def fit_query(mode, space="rgb"):
     return lambda s, d: D.fit(src(s, d), tgt(s, d), mode, space)
 
 
+def _own(k, low, step, count):
+    """A number of a row's own, by its key."""
+    return (F.lit(low) + k * step % count).cast("double")
+
+
 def zone_query(s, d):
-    return s.range(1).select(F.posexplode(C.zone_weights(BANDS)).alias("v", "w")).select("v", F.round("w", 9).alias("w"))
+    """Zones of every supplier's own, with amounts, anchors, falloffs and biases by its key."""
+    k = F.col("s_suppkey")
+    zones = F.array(*[F.struct(_own(k, 40, 13 + i, 90).alias("amount"), _own(k, 20 + 80 * i, 7, 60).alias("anchor"), _own(k, 10, 11 + i, 80).alias("falloff"), _own(k, -25, 17 + i, 50).alias("bias")) for i in range(3)])
+    return table(s, d, "supplier").select(k.alias("k"), F.posexplode(C.zone_weights_of(zones)).alias("v", "w")).select("k", "v", F.round("w", 9).alias("w"))
 
 
 def envelope_query(s, d):
-    return s.range(1).select(F.posexplode(C.envelope_weights(KNOTS)).alias("v", "w")).select("v", F.round("w", 9).alias("w"))
+    """Five knots of every supplier's own; the last but one is a corner for every other supplier."""
+    k = F.col("s_suppkey")
+    knots = F.array(*[F.struct((_own(k, 64 * i, 7 + i, 40) if 0 < i < 4 else num(255 * (i > 0))).alias("position"), (_own(k, 0, 3 + 4 * i, 19) / num(7)).alias("weight"), (F.lit(True) if i != 3 else k % 2 == 0).alias("smooth")) for i in (3, 0, 1, 2, 4)])
+    return table(s, d, "supplier").select(k.alias("k"), F.posexplode(C.envelope_weights_of(knots)).alias("v", "w")).select("k", "v", F.round("w", 9).alias("w"))
 
 
 def control_query(s, d):
@@ -115,6 +127,35 @@ env AS (SELECT v, CASE WHEN v <= 0 THEN 2e-1 WHEN v >= 255 THEN 18e-1 ELSE great
  FROM (SELECT v, e.*, xb-xa h, (v-xa)/(xb-xa) t FROM pick JOIN ends e USING (k)))"""
 
 
+def _many(sql: str) -> str:
+    """The envelope's SQL for knots of many owners: every step also goes by owner o."""
+    rest = sql[sql.index("seg AS") :]
+    for a, b in (
+        ("SELECT a.k, a.x xa", "SELECT a.o, a.k, a.x xa"),
+        ("ON b.k=a.k+1)", "ON b.o=a.o AND b.k=a.k+1)"),
+        ("raw AS (SELECT k.k,", "raw AS (SELECT k.o, k.k,"),
+        ("ON p.k=k.k-1", "ON p.o=k.o AND p.k=k.k-1"),
+        ("ON n.k=k.k)", "ON n.o=k.o AND n.k=k.k)"),
+        ("walk(k, m, nxt)", "walk(o, k, m, nxt)"),
+        ("SELECT 0, f0, f1 FROM (SELECT CASE", "SELECT o, 0, f0, f1 FROM (SELECT a.o, CASE"),
+        ("(SELECT * FROM raw WHERE k=0) a, (SELECT * FROM raw WHERE k=1) b, (SELECT d FROM seg WHERE k=0)", "(SELECT * FROM raw WHERE k=0) a JOIN (SELECT * FROM raw WHERE k=1) b USING (o) JOIN (SELECT o, d FROM seg WHERE k=0) USING (o)"),
+        ("SELECT w.k+1, CASE", "SELECT w.o, w.k+1, CASE"),
+        ("ON seg.k=w.k+1 JOIN raw r ON r.k=w.k+2", "ON seg.o=w.o AND seg.k=w.k+1 JOIN raw r ON r.o=w.o AND r.k=w.k+2"),
+        ("ON w.k=seg.k LEFT JOIN walk w2 ON w2.k=seg.k+1", "ON w.o=seg.o AND w.k=seg.k LEFT JOIN walk w2 ON w2.o=seg.o AND w2.k=seg.k+1"),
+        ("pick AS (SELECT v, min(k) k FROM axis JOIN seg ON v <= xb GROUP BY v)", "pick AS (SELECT o, v, min(k) k FROM axis JOIN seg ON v <= xb GROUP BY o, v)"),
+        ("env AS (SELECT v, CASE WHEN v <= 0 THEN 2e-1 WHEN v >= 255 THEN 18e-1 ELSE", "env AS (SELECT o, v, CASE WHEN v <= 0 THEN ya WHEN v >= 255 THEN yb ELSE"),
+        ("pick JOIN ends e USING (k)", "pick JOIN ends e USING (o, k)"),
+        ("(SELECT v, e.*,", "(SELECT v, e.* EXCLUDE (k),"),
+    ):
+        assert a in rest, a
+        rest = rest.replace(a, b)
+    knots = ", ".join(f"({i}, {'s_suppkey*%d %% 40 + %d' % (7 + i, 64 * i) if 0 < i < 4 else 255 * (i > 0)}, s_suppkey*{3 + 4 * i} % 19, {'s_suppkey % 2 = 0' if i == 3 else 'true'})" for i in range(5))
+    return f"knots AS (SELECT s_suppkey o, k, CAST(x AS DOUBLE) x, y/7e0 y, s FROM supplier, LATERAL (VALUES {knots}) t(k, x, y, s)), {rest}"
+
+
+ENVELOPES_SQL = _many(ENVELOPE_SQL)
+
+
 def _mono(rel: str, out: str) -> str:
     return f"{out} AS (SELECT v, " + ", ".join(f"max({c}) OVER (ORDER BY v) {c}" for c in "rgb") + f" FROM {rel})"
 
@@ -242,10 +283,11 @@ SELECT ch, v, {byte('ya + (yb-ya)*((v-xa)/CAST(CASE WHEN xb=xa THEN 1 ELSE xb-xa
     "curve_dimensions": f"WITH {FITTED}, {_dims('wide', 'x')} {ROWS} x",
     "curve_average": f"WITH {FITTED} SELECT v, CAST(floor((r+g+b)/3e0 + 5e-1) AS INT) \"out\" FROM wide",
     "curve_polyline": f"WITH {FITTED} {ROWS} wide WHERE v % 4 = 0 OR v = 255",
-    "zone_weights": f"WITH {AXIS}, {_zone_sql('zw')} SELECT v, round(w, 9) w FROM zw",
+    "zone_weights": f"""WITH {AXIS}, zs AS (SELECT s_suppkey k, i, CAST(40 + s_suppkey*(13+i) % 90 AS DOUBLE)/100e0 a, CAST(20 + 80*i + s_suppkey*7 % 60 AS DOUBLE) c, 18 + CAST(10 + s_suppkey*(11+i) % 80 AS DOUBLE)/100e0*60 sg, CAST(-25 + s_suppkey*(17+i) % 50 AS DOUBLE) bi FROM supplier, (SELECT unnest([0, 1, 2]) i)),
+be AS (SELECT k, v, a, exp(bi/50e0)*exp(-((v-c)*(v-c))/(2*sg*sg)) bell FROM zs, axis) SELECT k, v, round(sum(a*bell)/CASE WHEN sum(bell) = 0 THEN 1 ELSE sum(bell) END, 9) w FROM be GROUP BY k, v""",
     "zone_apply": f"WITH {FITTED}, {_zone_sql('zw')}, raw AS (SELECT c.v, {', '.join(byte(f'c.v + (c.{c}-c.v)*zw.w') + ' ' + c for c in 'rgb')} FROM wide c JOIN zw USING (v)), {_mono('raw', 'x')} {ROWS} x",
-    "envelope_weights": f"{R}{AXIS}, {ENVELOPE_SQL} SELECT v, round(w, 9) w FROM env",
-    "envelope_polyline": f"{R}{AXIS}, {ENVELOPE_SQL} SELECT v, round(w, 9) w FROM env WHERE v % 2 = 0 OR v = 255",
+    "envelope_weights": f"{R}{AXIS}, {ENVELOPES_SQL} SELECT o k, v, round(w, 9) w FROM env",
+    "envelope_polyline": f"{R}{AXIS}, {ENVELOPES_SQL} SELECT o k, v, round(w, 9) w FROM env WHERE v % 2 = 0 OR v = 255",
     "zone_envelope": f"{R}{FITTED}, {ZONED} {ROWS} zoned",
     "control_points": f"WITH {FITTED}, p AS (SELECT CAST(range AS INT) i, CAST(floor(range/11e0*255 + 5e-1) AS INT) x FROM range(12)) SELECT ch, i, x, o y FROM p JOIN curves ON v=x",
 }

@@ -20,12 +20,15 @@ from .sqltext import FITTED, TGT, byte, lab, luma
 LABS = [c[1:4] for c in CLUSTERS]
 WEIGHTS = [c[4] for c in CLUSTERS]
 SOFT = 30
-# idx, r, g, b, prevalence, user weight, L
-SWATCHES = [(0, 210, 40, 60, 0.40, 1.0, 46.0), (1, 30, 90, 200, 0.25, 0.5, 40.0), (2, 240, 230, 200, 0.20, 0.0, 91.0), (3, 20, 20, 25, 0.15, 2.0, 7.0)]
+RECIPE_PIXELS = 64
 
 
-def swatches(s):
-    return s.createDataFrame(SWATCHES, "idx int, r int, g int, b int, weight double, user double, l double")
+def swatches(s, d):
+    """A palette of two to four swatches a customer, with prevalences and user weights; some have neither."""
+    k, j = F.col("c_custkey").cast("long"), F.col("idx")
+    df = table(s, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int") + 1)).alias("idx"))
+    part = lambda p, q: ((k * p + j * q) % 256).cast("int")
+    return df.select(k.alias("k"), "idx", part(37, 91).alias("r"), part(11, 57).alias("g"), part(5, 133).alias("b"), ((k + j * 3) % 5 / num(8)).alias("weight"), ((k * 7 + j * 5) % 4 / num(2)).alias("user"))
 
 
 def distances(s, d):
@@ -59,22 +62,18 @@ def kmeans(s, d):
 
 
 def shares(s, d):
-    return A.bar(swatches(s)).select("idx", "ord", F.round("value", 9).alias("value"), F.round("width", 9).alias("width"), F.round("left", 9).alias("left"))
+    return A.bar(swatches(s, d), "k").select("k", "idx", "ord", *[F.round(c, 9).alias(c) for c in ("value", "width", "left")])
 
 
 def rebalance(s, d):
-    bars = A.bar(swatches(s))
-    pair = A.drag_pair(bars, 1, 62.0).select(F.lit("pair").alias("drag"), "idx", F.round("user", 9).alias("user"))
-    return pair.unionByName(A.drag_body(bars, 2, 0.15).select(F.lit("body").alias("drag"), "idx", F.round("user", 9).alias("user")))
+    bars = A.bar(swatches(s, d), "k")
+    pair = A.drag_pair(bars, "k", 1, 62.0).select(F.lit("pair").alias("drag"), "k", "idx", F.round("user", 4).alias("user"))
+    return pair.unionByName(A.drag_body(bars, "k", 2, 0.15).select(F.lit("body").alias("drag"), "k", "idx", F.round("user", 4).alias("user")))
 
 
 def swatch_color(s, d):
-    df = swatches(s)
-    out = None
-    for name in ("color", "hue", "contrast"):
-        part = df.select("idx", F.lit(name).alias("preset"), F.format_string("rgb(%d, %d, %d)", *A.display_color(name)).alias("css"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    shown = [F.struct(F.lit(p).alias("preset"), F.format_string("rgb(%d, %d, %d)", *A.display_color(p)).alias("css")) for p in ("color", "hue", "contrast")]
+    return swatches(s, d).select("k", "idx", F.explode(F.array(*shown)).alias("x")).select("k", "idx", "x.preset", "x.css")
 
 
 SWATCH = "struct<r:double,g:double,b:double,weight:double,labL:double>"
@@ -162,8 +161,8 @@ QUERIES = {
     "palette_shares": shares,
     "palette_rebalance": rebalance,
     "swatch_color": swatch_color,
-    "swatch_edges": lambda s, d: A.edges(A.bar(swatches(s)), "hue"),
-    "recipe_source": lambda s, d: A.recipe_source(swatches(s)),
+    "swatch_edges": lambda s, d: A.edges(A.bar(swatches(s, d), "k"), "k", "hue"),
+    "recipe_source": lambda s, d: A.recipe_source(swatches(s, d), "k", RECIPE_PIXELS),
     "gradient_stops": stops,
     "gradient_css": gradient_css,
     "palette_signature": signature,
@@ -191,9 +190,12 @@ def _soft(w: str, name: str) -> str:
 
 
 EW = f"ew AS (SELECT t.*, round(coalesce(s.w, 0), 9) ew FROM tgt t LEFT JOIN sw s USING (px_id)), n AS (SELECT *, CAST(least(255, floor(ew) + CASE WHEN (((px_id+1)*2654435761) % 4294967296)/4294967296e0 < ew - floor(ew) THEN 1 ELSE 0 END) AS INT) n FROM ew)"
-SW = "sws(idx, r, g, b, p, u, l) AS (VALUES " + ", ".join(f"({', '.join(map(str, x[:4]))}, {', '.join(f'{v!r}::DOUBLE' for v in x[4:])})" for x in SWATCHES) + ")"
-BAR = f"""{SW}, bv AS (SELECT *, greatest(0, u)*greatest(0, p) val, {luma()} y FROM sws), bw AS (SELECT *, greatest(15e-1, val/CASE WHEN sum(val) OVER () = 0 THEN 1 ELSE sum(val) OVER () END*100) w0 FROM bv),
-bars AS (SELECT *, w0/sum(w0) OVER ()*100 width, CAST(row_number() OVER (ORDER BY y, idx) - 1 AS INT) ord FROM bw), bl AS (SELECT *, coalesce(sum(width) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lft FROM bars)"""
+SW = """sws AS (SELECT k, idx, CAST((k*37 + idx*91) % 256 AS INT) r, CAST((k*11 + idx*57) % 256 AS INT) g, CAST((k*5 + idx*133) % 256 AS INT) b, ((k + idx*3) % 5)/8e0 p, ((k*7 + idx*5) % 4)/2e0 u
+ FROM (SELECT CAST(c_custkey AS BIGINT) k, unnest([CAST(0 AS INT), 1, 2, 3][1:c_custkey % 3 + 2]) idx FROM customer))"""
+_of = "OVER (PARTITION BY k)"
+BAR = f"""{SW}, bv AS (SELECT *, greatest(0, u)*greatest(0, p) val, {luma()} y FROM sws), bw AS (SELECT *, greatest(15e-1, val/CASE WHEN sum(val) {_of} = 0 THEN 1 ELSE sum(val) {_of} END*100) w0 FROM bv),
+bars AS (SELECT *, w0/sum(w0) {_of}*100 width, CAST(row_number() OVER (PARTITION BY k ORDER BY y, idx) - 1 AS INT) ord FROM bw),
+bl AS (SELECT *, coalesce(sum(width) OVER (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) lft FROM bars)"""
 SEL = "sel AS (SELECT px_id, x, y, CASE WHEN x BETWEEN 20 AND 70 AND y BETWEEN 2 AND 6 THEN 255 ELSE CAST((px_id*7) % 256 AS INT) END m FROM tgt)"
 _side = lambda shift: ", ".join(f"CAST(({e} + {shift}) % {m} AS DOUBLE){x} {c}" for c, e, m, x in (("r", "k*37 + j*91", 300, " - 20"), ("g", "k*11 + j*57", 256, ""), ("b", "k*5 + j*133", 280, ""), ("l", "k*13 + j*29", 101, "")))
 STATES = f"""cu AS (SELECT CAST(c_custkey AS BIGINT) k, ['color','hue','hueOnly','saturationOnly','contrast','unknown'][c_custkey % 6 + 1] preset FROM customer), js(j) AS (VALUES (0), (1), (2)),
@@ -227,18 +229,21 @@ SQL = {
     "palette_mask": f"WITH {DIST}, {HARD}, {_soft('least(1e0, greatest(0e0, w))', 'sw')} SELECT t.px_id, CAST(floor(coalesce(least(1e0, greatest(0e0, h.w)), 0)*255 + 5e-1) AS INT) hard, CAST(floor(coalesce(s.w, 0)*255 + 5e-1) AS INT) soft FROM tgt t LEFT JOIN hw h USING (px_id) LEFT JOIN sw s USING (px_id)",
     "weighted_source": f"WITH {DIST}, {_soft('w', 'sw')}, {EW} SELECT px_id, CAST(c AS INT) \"copy\", r, g, b, a FROM n, LATERAL (SELECT unnest(range(1, n.n + 1)) c) WHERE n.n > 0",
     "weighted_hist": f"WITH {DIST}, {_soft('w', 'sw')}, {EW} SELECT ch, v, CAST(sum(n) AS BIGINT) n FROM (SELECT 'r' ch, r v, n FROM n WHERE a >= 128 UNION ALL SELECT 'g', g, n FROM n WHERE a >= 128 UNION ALL SELECT 'b', b, n FROM n WHERE a >= 128) WHERE n > 0 GROUP BY 1, 2",
-    "palette_shares": f"WITH {BAR} SELECT idx, ord, round(val, 9) \"value\", round(width, 9) width, round(lft, 9) \"left\" FROM bl",
-    "palette_rebalance": f"""WITH {BAR}, pr AS (SELECT sum(u*greatest(1e-6, p)) mass, min(lft) f, max(lft+width) t FROM bl WHERE ord IN (1, 2)), ps AS (SELECT *, (greatest(f+5e-1, least(t-5e-1, 62e0)) - f)/(t-f) sh FROM pr),
-bd AS (SELECT sum(val) tot, max(val) FILTER (ord = 2) own, sum(greatest(0, p)) FILTER (ord <> 2) oth FROM bl), ba AS (SELECT *, own/tot v0, greatest(0, least(1, own/tot + 15e-2)) v1 FROM bd)
-SELECT 'pair' drag, idx, round(CASE ord WHEN 1 THEN mass*sh/greatest(1e-6, p) WHEN 2 THEN mass*(1-sh)/greatest(1e-6, p) ELSE u END, 9) "user" FROM bl, ps
-UNION ALL SELECT 'body', idx, round(CASE WHEN ord = 2 THEN v1*tot/greatest(1e-6, p) WHEN 1-v0 >= 1e-6 THEN u*(1-v1)/(1-v0) WHEN oth > 1e-6 THEN (1-v1)/oth ELSE u END, 9) FROM bl, ba""",
-    "swatch_color": f"""WITH {SW}, y AS (SELECT *, {luma()} y FROM sws) SELECT idx, 'color' preset, format('rgb({{}}, {{}}, {{}})', r, g, b) css FROM y
-UNION ALL SELECT idx, 'contrast', format('rgb({{0}}, {{0}}, {{0}})', CAST(floor(y + 5e-1) AS INT)) FROM y
-UNION ALL SELECT idx, 'hue', CASE WHEN y < 1 THEN 'rgb(140, 140, 140)' ELSE format('rgb({{}}, {{}}, {{}})', {byte('r*(140/y)')}, {byte('g*(140/y)')}, {byte('b*(140/y)')}) END FROM y""",
-    "swatch_edges": f"""WITH {BAR}, sh AS (SELECT idx, ord, {', '.join(f'CASE WHEN y < 1 THEN 140 ELSE {byte(f"{c}*(140/y)")} END {c}c' for c in 'rgb')} FROM bl)
-SELECT a.idx, b.idx "right", {', '.join(f'CAST(floor((a.{c}c+b.{c}c)/2e0 + 5e-1) AS INT) {c}' for c in 'rgb')} FROM sh a JOIN sh b ON b.ord = a.ord+1""",
-    "recipe_source": f"""WITH {SW}, v AS (SELECT *, greatest(0, u)*greatest(0, p) val FROM sws), c AS (SELECT *, greatest(1, floor(val/sum(val) OVER ()*4096 + 5e-1)) n FROM v), e AS (SELECT *, sum(n) OVER (ORDER BY idx) hi FROM c), px AS (SELECT range i FROM range(4096)),
-h AS (SELECT i, min(idx) idx FROM px LEFT JOIN e ON i < hi AND i >= hi-n GROUP BY i) SELECT i px_id, s.r, s.g, s.b, 255 a FROM h JOIN sws s ON s.idx = coalesce(h.idx, 0)""",
+    "palette_shares": f"WITH {BAR} SELECT k, idx, ord, round(val, 9) \"value\", round(width, 9) width, round(lft, 9) \"left\" FROM bl",
+    "palette_rebalance": f"""WITH {BAR}, pr AS (SELECT k, sum(u*greatest(1e-6, p)) mass, min(lft) f, max(lft+width) t FROM bl WHERE ord IN (1, 2) GROUP BY k HAVING count(*) = 2),
+ps AS (SELECT *, (greatest(f+5e-1, least(t-5e-1, 62e0)) - f)/(t-f) sh FROM pr),
+bd AS (SELECT k, sum(val) tot0, max(val) FILTER (ord = 2) own, coalesce(sum(greatest(0, p)) FILTER (ord <> 2), 0) oth FROM bl GROUP BY k),
+ba AS (SELECT *, own/tot v0, greatest(0, least(1, own/tot + 15e-2)) v1 FROM (SELECT *, CASE WHEN tot0 = 0 THEN 1 ELSE tot0 END tot FROM bd))
+SELECT 'pair' drag, k, idx, round(CASE WHEN mass IS NULL THEN u WHEN ord = 1 THEN mass*sh/greatest(1e-6, p) WHEN ord = 2 THEN mass*(1-sh)/greatest(1e-6, p) ELSE u END, 4) "user" FROM bl LEFT JOIN ps USING (k)
+UNION ALL SELECT 'body', k, idx, round(CASE WHEN own IS NULL THEN u WHEN ord = 2 THEN v1*tot/greatest(1e-6, p) WHEN 1-v0 >= 1e-6 THEN u*(1-v1)/(1-v0) WHEN oth > 1e-6 THEN (1-v1)/oth ELSE u END, 4) FROM bl JOIN ba USING (k)""",
+    "swatch_color": f"""WITH {SW}, y AS (SELECT *, {luma()} y FROM sws) SELECT k, idx, 'color' preset, format('rgb({{}}, {{}}, {{}})', r, g, b) css FROM y
+UNION ALL SELECT k, idx, 'contrast', format('rgb({{0}}, {{0}}, {{0}})', CAST(floor(y + 5e-1) AS INT)) FROM y
+UNION ALL SELECT k, idx, 'hue', CASE WHEN y < 1 THEN 'rgb(140, 140, 140)' ELSE format('rgb({{}}, {{}}, {{}})', {byte('r*(140/y)')}, {byte('g*(140/y)')}, {byte('b*(140/y)')}) END FROM y""",
+    "swatch_edges": f"""WITH {BAR}, sh AS (SELECT k, idx, ord, {', '.join(f'CASE WHEN y < 1 THEN 140 ELSE {byte(f"{c}*(140/y)")} END {c}c' for c in 'rgb')} FROM bl)
+SELECT a.k, a.idx, b.idx "right", {', '.join(f'CAST(floor((a.{c}c+b.{c}c)/2e0 + 5e-1) AS INT) {c}' for c in 'rgb')} FROM sh a JOIN sh b ON b.k = a.k AND b.ord = a.ord+1""",
+    "recipe_source": f"""WITH {SW}, v AS (SELECT *, greatest(0, u)*greatest(0, p) val FROM sws), c AS (SELECT *, greatest(1, floor(val/CASE WHEN sum(val) {_of} = 0 THEN 1 ELSE sum(val) {_of} END*{RECIPE_PIXELS} + 5e-1)) n FROM v),
+e AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY idx) hi FROM c), px AS (SELECT range i FROM range({RECIPE_PIXELS})),
+h AS (SELECT o.k, i, min(idx) idx FROM (SELECT DISTINCT k FROM sws) o CROSS JOIN px LEFT JOIN e ON e.k = o.k AND i < hi AND i >= hi-n GROUP BY o.k, i) SELECT h.k, i px_id, s.r, s.g, s.b, 255 a FROM h JOIN sws s ON s.k = h.k AND s.idx = coalesce(h.idx, 0)""",
     "gradient_stops": f"WITH {STOPS} SELECT * FROM stops",
     "gradient_css": f"WITH {STOPS} SELECT k, 'linear-gradient(to right, ' || string_agg(format('rgb({{}},{{}},{{}}) {{}}%', r, g, b, pct), ', ' ORDER BY i) || ')' css FROM stops GROUP BY k",
     "palette_signature": f"""WITH {STATES} SELECT k, j idx, {_cb('r')}*65536 + {_cb('g')}*256 + {_cb('b')} color, CAST(floor(p*greatest(0, coalesce(CASE WHEN k % 5 > 0 THEN CASE j WHEN 0 THEN k % 3 - 5e-1 WHEN 1 THEN (k % 7)/2e0 END END, 1e0))*100 + 5e-1) AS INT) w FROM sw

@@ -426,3 +426,23 @@ def test_masks_without_a_selection(spark):
     assert [r["m"] for r in none.collect()] == [None, None]
     assert [r["c"] for r in none.select(T.compose(F.lit(77), F.col("m")).alias("c")).collect()] == [77, 77]
     assert {r["m"] for r in T.full_mask(spark.range(3).withColumnRenamed("id", "px_id")).collect()} == {255}
+
+
+def test_zones_and_envelopes_of_a_row_are_those_of_a_parameter(spark):
+    zones = (C.Zone(80, 42, 50, 10), C.Zone(60, 127, 40, -20), C.Zone(120, 212, 70, 0))
+    sets = [(), (C.Knot(5, -3),), (C.Knot(255, 2), C.Knot(0, 0.5)), (C.Knot(0, 0.2), C.Knot(60, 1.5), C.Knot(127, 0.4, True), C.Knot(200, 1, False), C.Knot(255, 1.8)), (C.Knot(30, 1), C.Knot(30, 2), C.Knot(90, 2), C.Knot(91, 0, False)), (C.Knot(10, 1), C.Knot(20, 9), C.Knot(250, 9.1))]
+    rows = [(i, [(float(z.amount), float(z.anchor), float(z.falloff), float(z.bias)) for z in zones], [(float(q.position), float(q.weight), q.smooth) for q in k]) for i, k in enumerate(sets)]
+    df = spark.createDataFrame(rows, "i int, zones array<struct<amount: double, anchor: double, falloff: double, bias: double>>, knots array<struct<position: double, weight: double, smooth: boolean>>")
+    for r in df.select("i", C.zone_weights_of(F.col("zones")).alias("z"), C.envelope_weights_of(F.col("knots")).alias("e"), C.zone_weights(zones).alias("wz")).collect():
+        want = spark.range(1).select(C.envelope_weights(sets[r["i"]])).first()[0]
+        assert r["z"] == pytest.approx(r["wz"], abs=1e-12) and r["e"] == pytest.approx(want, abs=1e-9), sets[r["i"]]
+    bad = spark.createDataFrame([([(1.0, None, True), (2.0, 1.0, True)],)], "knots array<struct<position: double, weight: double, smooth: boolean>>")
+    assert bad.select(C.envelope_weights_of(F.col("knots"))).first()[0] is None
+
+
+def test_palettes_without_the_dragged_places_stay(spark):
+    df = spark.createDataFrame([(1, 0, 9, 9, 9, 0.5, 1.0), (1, 1, 200, 9, 9, 0.5, 1.0), (None, 0, 1, 1, 1, 1.0, 3.0)], "k int, idx int, r int, g int, b int, weight double, user double")
+    bars = A.bar(df, "k")
+    assert {(r["k"], r["idx"], r["user"]) for r in A.drag_pair(bars, "k", 1, 50.0).collect()} == {(1, 0, 1.0), (1, 1, 1.0), (None, 0, 3.0)}
+    assert {r["user"] for r in A.drag_body(bars, "k", 2, 0.5).collect()} == {1.0, 3.0}
+    assert {(r["k"], r["n"]) for r in A.recipe_source(df, "k", 10).groupBy("k").agg(F.countDistinct("px_id").alias("n")).collect()} == {(1, 10), (None, 10)}
