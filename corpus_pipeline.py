@@ -18,7 +18,7 @@ from tessera.llm.common import materialize, table
 from tessera.llm.language import identify, learn
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.packing import pack_documents
-from tessera.llm.pii import replace_entities, surrogate_key
+from tessera.llm.pii import QUERY_KEY, replace_entities, surrogate_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = replace_entities(docs, surrogate_key(spark))
+    """With the session's key; one who publishes a corpus sets it, as QUERY_KEY is known to all."""
+    made = replace_entities(docs, surrogate_key(spark, QUERY_KEY))
     n_chars = F.when(F.col("n_entities") > 0, F.length("row.text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
     return made.select(*[n_chars.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
