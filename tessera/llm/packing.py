@@ -10,9 +10,9 @@ island of its block. All generations run unless a packing is the best there can
 of them full.
 
 Bins with at most SLACK free places are kept; the items of the others go to the next level, in fewer blocks, until they fit into
-one block, or until nine tenths of them come back, as happens where sizes do not fit together. Then each block is packed on its
-own. So a task holds one block, of a bounded number of items, whatever the input's size, and every level but the last wastes at
-most SLACK places a sequence.
+one block. Where more than nine tenths of a level's items would come back, as happens where sizes do not fit together, the better half of
+its bins is kept, so blocks at least halve then. So a task holds one block, of a bounded number of items, whatever the input's size;
+a level wastes at most SLACK places a sequence, or what sizes that do not fit together make its better half waste.
 
 Defined results: a null text is empty and is one piece of the id END; repeated rows are packed each; an empty table gives an
 empty result; extra columns are ignored; equal sizes are broken by item number, so a run can be repeated. Texts of any length are
@@ -39,7 +39,7 @@ from .bpe import PATTERN, byte_letters, tokenizer_path
 from .common import column, materialize, parallelism, table
 
 CAPACITY, END = 2048, 0
-BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 2, 3, 6, 6, 2
+BLOCK, ISLANDS, ROUNDS, GENERATIONS, POPULATION, SLACK = 8192, 3, 3, 8, 6, 2
 LONG = 1000
 # Fixed value: the characters that the split pattern takes for white space.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -101,38 +101,55 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, columns)
 
 
+class Bin(list):
+    """Items, with the places that they leave free."""
+
+    __slots__ = ("free",)
+
+
+def bin_of(items: list[int], sizes: list[int]) -> Bin:
+    b = Bin(items)
+    b.free = CAPACITY - sum(map(sizes.__getitem__, items))
+    return b
+
+
 class Bins:
-    """Bins by their free places; finds the fullest bin that an item fits into."""
+    """Bins by their free places; finds the fullest bin that an item fits into. Full bins are only kept, and never changed."""
 
     def __init__(self, sizes: list[int]):
-        self.sizes, self.bins, self.free = sizes, [], []
-        self.by_free: list[list[int]] = [[] for _ in range(CAPACITY + 1)]
+        self.sizes, self.bins = sizes, []
+        self.by_free: list[list[Bin]] = [[] for _ in range(CAPACITY + 1)]
         self.mask = 0
 
-    def add(self, items: list[int]) -> None:
-        self.bins.append(items)
-        self.free.append(CAPACITY - sum(map(self.sizes.__getitem__, items)))
-        self._list(len(self.bins) - 1)
-
-    def _list(self, b: int) -> None:
-        self.by_free[self.free[b]].append(b)
-        self.mask |= 1 << self.free[b]
+    def keep(self, b: Bin) -> None:
+        if b.free:
+            new = Bin(b)
+            new.free = b.free
+            self.by_free[b.free].append(new)
+            self.mask |= 1 << b.free
+            b = new
+        self.bins.append(b)
 
     def best_fit(self, items: list[int]) -> None:
-        sizes, by_free, free, bins = self.sizes, self.by_free, self.free, self.bins
+        sizes, by_free, bins = self.sizes, self.by_free, self.bins
         for i in items:
             n = sizes[i]
             rest = self.mask >> n
-            if not rest:
-                self.add([i])
-                continue
-            f = n + (rest & -rest).bit_length() - 1
-            b = by_free[f].pop()
-            if not by_free[f]:
-                self.mask ^= 1 << f
-            bins[b].append(i)
-            free[b] = f - n
-            self._list(b)
+            if rest:
+                f = n + (rest & -rest).bit_length() - 1
+                b = by_free[f].pop()
+                if not by_free[f]:
+                    self.mask ^= 1 << f
+                b.append(i)
+            else:
+                f = CAPACITY
+                b = Bin((i,))
+                bins.append(b)
+            f -= n
+            b.free = f
+            if f:
+                by_free[f].append(b)
+                self.mask |= 1 << f
 
 
 Packing = list[list[int]]
@@ -142,13 +159,13 @@ def largest_first(items: list[int], sizes: list[int]) -> list[int]:
     return sorted(items, key=lambda i: (-sizes[i], i))
 
 
-def exchange(kept: Packing, loose: list[int], sizes: list[int]) -> tuple[Packing, list[int]]:
+def exchange(kept: list[Bin], loose: list[int], sizes: list[int]) -> tuple[list[Bin], list[int]]:
     """In bins with free places one item gives way to a larger loose one, so that the bin is as full as one exchange can make it; what is loose then is smaller and fits more easily."""
     order = sorted(loose, key=lambda i: (sizes[i], i))
     keys = [sizes[i] for i in order]
     out = []
     for b in kept:
-        free = CAPACITY - sum(map(sizes.__getitem__, b))
+        free = b.free
         gain, best = 0, None
         for at, i in enumerate(b) if free and keys else ():
             k = bisect_right(keys, sizes[i] + free) - 1
@@ -158,7 +175,8 @@ def exchange(kept: Packing, loose: list[int], sizes: list[int]) -> tuple[Packing
             at, k = best
             old, new = b[at], order.pop(k)
             keys.pop(k)
-            b = [*b[:at], new, *b[at + 1 :]]
+            b = Bin([*b[:at], new, *b[at + 1 :]])
+            b.free = free - gain
             k = bisect_left(keys, sizes[old])
             order.insert(k, old)
             keys.insert(k, sizes[old])
@@ -166,23 +184,23 @@ def exchange(kept: Packing, loose: list[int], sizes: list[int]) -> tuple[Packing
     return out, order
 
 
-def rebuild(kept: Packing, loose: list[int], sizes: list[int]) -> Packing:
+def rebuild(kept: list[Bin], loose: list[int], sizes: list[int]) -> list[Bin]:
     kept, loose = exchange(kept, loose, sizes)
     made = Bins(sizes)
     for b in kept:
-        made.add(list(b))
+        made.keep(b)
     made.best_fit(largest_first(loose, sizes))
     return made.bins
 
 
 def fitness(packing: Packing, sizes: list[int]) -> tuple[int, float]:
     """Fewer bins first, then fuller ones among as many: sums of squared fills."""
-    return -len(packing), sum(sum(map(sizes.__getitem__, b)) ** 2 for b in packing)
+    return -len(packing), sum((CAPACITY - (b.free if type(b) is Bin else bin_of(b, sizes).free)) ** 2 for b in packing)
 
 
-def crossover(a: Packing, b: Packing, sizes: list[int], rng: random.Random) -> Packing:
+def crossover(a: list[Bin], b: list[Bin], sizes: list[int], rng: random.Random) -> list[Bin]:
     """Injects a share of b's well-filled bins into a, dissolves a's bins that hold the same items, best-fits what was displaced."""
-    full = [x for x in b if CAPACITY - sum(map(sizes.__getitem__, x)) <= SLACK] or b
+    full = [x for x in b if x.free <= SLACK] or b
     injected = rng.sample(full, rng.randint(1, max(1, len(full) // 2)))
     there = {i for x in injected for i in x}
     kept, loose = list(injected), []
@@ -194,14 +212,14 @@ def crossover(a: Packing, b: Packing, sizes: list[int], rng: random.Random) -> P
     return rebuild(kept, loose, sizes)
 
 
-def mutate(a: Packing, sizes: list[int], rng: random.Random) -> Packing:
+def mutate(a: list[Bin], sizes: list[int], rng: random.Random) -> list[Bin]:
     """Dissolves the emptiest bins and a few others."""
-    order = sorted(range(len(a)), key=lambda k: sum(map(sizes.__getitem__, a[k])))
+    order = sorted(range(len(a)), key=lambda k: -a[k].free)
     gone = {*order[: 1 + len(a) // 50], *rng.sample(range(len(a)), 1 + len(a) // 50)}
     return rebuild([x for k, x in enumerate(a) if k not in gone], [i for k in gone for i in a[k]], sizes)
 
 
-def founders(sizes: list[int], rng: random.Random) -> list[Packing]:
+def founders(sizes: list[int], rng: random.Random) -> list[list[Bin]]:
     """Best fits of disturbed falling orders."""
     items = list(range(len(sizes)))
     out = []
@@ -230,6 +248,7 @@ class Bred:
 def evolve(sizes: list[int], packings: list[Packing], seed: int) -> tuple[list[Packing], Bred]:
     """GENERATIONS of an island; the best packing comes first and is never lost. Ends early only at a packing that none could exceed."""
     rng, bred, best = random.Random(seed), Bred(), perfect(sizes)
+    packings = [[b if type(b) is Bin else bin_of(b, sizes) for b in p] for p in packings]
     ranked = sorted(((fitness(p, sizes), k, p) for k, p in enumerate(packings or founders(sizes, rng))), key=lambda x: x[0], reverse=True)
     for _ in range(GENERATIONS):
         if ranked[0][0] >= best:
@@ -325,6 +344,20 @@ def pack_level(items: DataFrame, blocks: int, salt: int) -> DataFrame:
     return _bins_of(best.select("block", "b.*", *BRED))
 
 
+def _kept_up_to(made: DataFrame, n: int) -> int:
+    """Free places up to which bins of a level are kept: SLACK, or, where more than nine tenths of its n items would come back, those of the better half."""
+    bins = {r["free"]: (r["items"], r["bins"]) for r in made.groupBy("free").agg(F.count("*").alias("items"), F.count_if(F.col("offset") == 0).alias("bins")).collect()}  # at most CAPACITY rows
+    back = sum(items for free, (items, _) in bins.items() if free > SLACK)
+    if back <= n * 9 // 10:
+        return SLACK
+    so_far, half = 0, sum(b for _, b in bins.values()) / 2
+    for free in sorted(bins):
+        so_far += bins[free][1]
+        if so_far >= half:
+            return max(SLACK, free)
+    return CAPACITY
+
+
 def pack(pieces: DataFrame) -> DataFrame:
     """pieces(item, length) with distinct items -> item, sequence_id, offset, and BRED of the block that placed it (0 for full pieces). Lengths are 1 to CAPACITY."""
     none = [F.lit(0).alias(c) for c in BRED]
@@ -334,12 +367,11 @@ def pack(pieces: DataFrame) -> DataFrame:
     while n:
         blocks = -(-n // BLOCK)
         made = materialize(pack_level(left, blocks, level), "packed")
-        open_ = made.filter(F.col("free") > SLACK)
-        more = open_.count() if blocks > 1 else 0
-        last = more == 0 or more > n * 9 // 10
+        slack = _kept_up_to(made, n) if blocks > 1 else CAPACITY
         number = F.shiftleft(F.lit(level).cast("long"), 44) + F.shiftleft(F.col("block"), 16) + F.col("bin")
-        done.append((made if last else made.filter(F.col("free") <= SLACK)).select("item", number.alias("sequence_id"), "offset", *BRED))
-        left, n, level = open_.select("item", "size"), 0 if last else more, level + 1
+        done.append(made.filter(F.col("free") <= slack).select("item", number.alias("sequence_id"), "offset", *BRED))
+        left, level = made.filter(F.col("free") > slack).select("item", "size"), level + 1
+        n = left.count() if slack < CAPACITY else 0
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -63,6 +63,18 @@ def test_many_blocks_and_levels(spark, monkeypatch):
     assert whole(rows) <= len(alone) * 1.03
 
 
+@pytest.mark.parametrize(("block", "longest"), [(512, 900), (128, 2047)])
+def test_twenty_blocks_come_near_the_least_number(spark, monkeypatch, block, longest):
+    monkeypatch.setattr(P, "BLOCK", block)
+    lengths = [1 + (i * i * 31 + i * 7919) % longest for i in range(20 * block)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    got = whole(P.pack(df).join(df, "item").collect())
+    if longest < 1000:  # the sum of lengths can be met: less than one sequence a block is lost
+        assert got <= -(-sum(lengths) // P.CAPACITY) + 20
+    else:  # many items fit with one other only: less than two a block, against best fit over all
+        assert got <= len(P.rebuild([], list(range(len(lengths))), lengths)) + 40
+
+
 def test_breeding_never_loses_an_item():
     rng = P.random.Random(5)
     sizes = [rng.randint(1, 900) for _ in range(400)]
