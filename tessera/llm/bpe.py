@@ -1,6 +1,6 @@
 """Byte-level BPE by a minimal acyclic transducer lexicon with exact merging of unseen words.
 
-All words of the corpus are counted; the LEXICON most frequent are merged once and compiled into a minimal acyclic automaton whose
+All words of the corpus of at most LONGEST characters are counted; the LEXICON most frequent are merged once and compiled into a minimal acyclic automaton whose
 equal suffixes are shared. Its arcs carry numbers that add up along a word to the word's rank, which addresses the word's ids: a
 transducer from bytes to ids. The compiled arrays are one file in the shared folder, which Spark hands to each executor and each
 worker memory-maps. A word outside the lexicon is merged exactly by the tokenizer's merge ranks, so the lexicon's size changes
@@ -8,7 +8,7 @@ speed and never ids.
 
 Defined results: a null text is empty and has no ids; equal texts have equal ids; repeated rows stay; an empty table gives an
 empty result; extra columns are ignored. The special tokens of the tokenizer file are found in texts, as its library does by
-default. Words are kept per worker up to KEPT of them, then forgotten together; texts are handled whole, in blocks of about BATCH characters.
+default. Words of at most LONGEST characters are kept per worker up to KEPT_BYTES, then forgotten together; texts are handled whole, in blocks of about BATCH characters.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import blocks_of, column, materialize, shared_dir, table
 
 LEXICON = 131_072
-KEPT = 800_000
+KEPT_BYTES, LONGEST = 150_000_000, 64
 FLUSH = 200_000
 BATCH = 4_000_000  # characters whose words are looked up together
 MADE, NEVER = (1 << 32) - 1, 1 << 62
@@ -222,11 +222,12 @@ class Lexicon:
 
 
 class Codec:
-    """Texts to ids and back. Holds the words met so far, at most KEPT."""
+    """Texts to ids and back. Holds the words met so far, of at most LONGEST characters each and about KEPT_BYTES in all."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon = merges, lexicon
         self.met: dict[str, bytes] = {}
+        self.size = 0
 
     def _meet(self, words: list[str]) -> None:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -234,27 +235,33 @@ class Codec:
         for w, b, r in zip(words, raw, ranks.tolist(), strict=True):
             ids = self.lexicon.ids_of(r) if r >= 0 else self.merges.merge(b)
             self.met[w] = struct.pack(f"<{len(ids)}I", *ids)
+            self.size += 150 + len(b) + 4 * len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. New words of all texts are looked up together."""
         find, met = self.merges.words.findall, self.met
         split = [[(special, () if special is not None else find(piece)) for piece, special in self.merges.pieces(t)] for t in texts]
-        if len(met) > KEPT:
+        if self.size > KEPT_BYTES:
             met.clear()
+            self.size = 0
         new: set[str] = set()
         for t in split:
             for _, words in t:
                 new.update(set(words).difference(met))
         if new:
             self._meet(list(new))
-        return [b"".join([struct.pack("<I", special) if special is not None else b"".join(map(met.__getitem__, words)) for special, words in t]) for t in split]
+        out = [b"".join([struct.pack("<I", special) if special is not None else b"".join(map(met.__getitem__, words)) for special, words in t]) for t in split]
+        for w in new:
+            if len(w) > LONGEST:
+                self.size -= 150 + len(w.encode("utf-8", "surrogatepass")) + len(met.pop(w))
+        return out
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.merges.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
 def count_words(docs: DataFrame, path: str) -> DataFrame:
-    """word, n: every word of every text. Counts are first summed in each task, in tables of at most about FLUSH words."""
+    """word, n: every word of at most LONGEST characters of every text; longer ones are merged where they stand, so ids do not depend on this. Counts are first summed in each task, in tables of at most about FLUSH words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, counts = Merges(path), Counter()
@@ -268,7 +275,10 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
             for text in column(b, "text"):
                 for piece, special in merges.pieces(text or ""):
                     if special is None:
-                        counts.update(merges.words.findall(piece))
+                        found = merges.words.findall(piece)
+                        if len(max(found, key=len, default="")) > LONGEST:
+                            found = [w for w in found if len(w) <= LONGEST]
+                        counts.update(found)
                 if len(counts) > FLUSH:
                     yield flush()
         yield flush()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import struct
 
 import pytest
@@ -81,3 +82,28 @@ def test_most_frequent_words(spark):
 @pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "\n" * 300_000, "x" * 1_000_000, "a." * 500_000, "7" * 1_000_000, "é" * 500_000], ids=range(6))
 def test_very_long_words(text):
     check(B.Codec(MERGES, None), text)
+
+
+def test_long_words_are_neither_counted_nor_kept(spark):
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefghij", k=100_000)) for _ in range(12)]
+    docs = spark.createDataFrame([(i, f"the {w} end") for i, w in enumerate(long)] * 2, "doc_id long, text string")
+    assert sorted(r["word"] for r in B.count_words(docs, PATH).collect()) == [" end", "the"]
+    codec = B.Codec(MERGES, None)
+    for w in long[:3]:
+        (ids,) = codec.encode([f"the {w} end {w}"])
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode(f"the {w} end {w}", add_special_tokens=False).ids
+        assert sorted(codec.met) == [" end", "the"] and codec.size < 1000
+    made = B.encode_texts(docs, PATH, B.build_lexicon(docs, PATH)).select("doc_id", "n_tokens", "decoded").collect()
+    assert len(made) == 24 and all(r["decoded"] == f"the {long[r['doc_id']]} end" for r in made)
+
+
+def test_the_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(B, "KEPT_BYTES", 20_000)
+    codec, most = B.Codec(MERGES, None), 0
+    for i in range(200):
+        text = " ".join(f"w{i}x{k}" for k in range(20))
+        (ids,) = codec.encode([text])
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode(text, add_special_tokens=False).ids
+        most = max(most, codec.size)
+    assert most < 30_000
