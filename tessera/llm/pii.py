@@ -357,7 +357,9 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     full = materialize(full.groupBy("pair").agg(F.array_distinct(F.flatten(F.collect_set("named"))).alias("named")), "full-names")
     box = F.when(F.col("kind") == "email", F.substring_index(F.element_at("p", 1)["norm"], "@", 1))
     bit = lambda k: F.regexp_extract(box, r"^([a-z]+)([._-])([a-z]+)([0-9]*)$", k)
-    spelled = spelled.join(mail, F.concat_ws(" ", bit(1), bit(3)) == F.col("pair"), "left").drop("pair")
+    # only mailboxes that may spell a name are dealt by it
+    spelled = spelled.withColumn("pair", F.when(bit(1) != "", F.concat_ws(" ", bit(1), bit(3))))
+    spelled = spelled.filter("pair IS NOT NULL").join(mail, "pair", "left").unionByName(spelled.filter("pair IS NULL").withColumn("as", F.lit(None).cast(mail.schema["as"].dataType)))
     spelling = F.when(F.col("as").isNotNull(), F.concat(F.array(F.concat("as.given", bit(2), "as.surname", bit(4))), F.slice("p.s", 2, 1))).otherwise(F.col("p.s"))
     spelled = spelled.select("raw", "kind", laid_out(F.col("kind"), F.col("raw"), spelling).alias("new"), named.alias("named"))
     # a document gathers what stands at each place of its own, in order: digits that are no card stay themselves
