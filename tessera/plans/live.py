@@ -107,7 +107,7 @@ QUERIES = {
 
 _mix = "CASE k " + " ".join(f"WHEN {k} THEN {w!r}::DOUBLE" for k, w in enumerate(MIX)) + " END"
 SQL = {
-    "layer_upsert": """WITH u AS (SELECT o_custkey k, max(o_totalprice) v, CAST(count(*) AS INT) n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 3 <> 0 GROUP BY 1)
+    "layer_upsert": """WITH u AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -o_custkey ELSE o_custkey END k, max(o_totalprice) v, CAST(count(*) AS INT) n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
 SELECT c_custkey layer_id, c_name "name", coalesce(v, c_acctbal) "value", coalesce(n, 0) "version" FROM customer LEFT JOIN u ON k = c_custkey""",
     "weights_reuse": f"WITH {DIST}, {_soft(_mix, 'sw')} SELECT t.px_id, round(coalesce(s.w, 0), 6) ew FROM tgt t LEFT JOIN sw s USING (px_id)".replace("SELECT px_id, w, 1e0/", "SELECT px_id, k, 1e0/"),
     "settings_versions": f"WITH {ST} SELECT 'u' || user_id \"name\", ms saved_ms, preset, CAST(pc AS INT) palette_count FROM st JOIN us USING (user_id)",
