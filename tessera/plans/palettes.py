@@ -67,8 +67,8 @@ def shares(s, d):
 
 def rebalance(s, d):
     bars = A.bar(swatches(s, d), "k")
-    pair = A.drag_pair(bars, "k", 1, 62 + 1 / 3).select(F.lit("pair").alias("drag"), "k", "idx", F.round("user", 6).alias("user"))
-    return pair.unionByName(A.drag_body(bars, "k", 2, 0.15).select(F.lit("body").alias("drag"), "k", "idx", F.round("user", 6).alias("user")))
+    pair = A.drag_pair(bars, "k", 1, 62 + 1 / 3).select(F.lit("pair").alias("drag"), "k", "idx", F.round(F.col("user") + num(1e-9), 6).alias("user"))
+    return pair.unionByName(A.drag_body(bars, "k", 2, 0.15).select(F.lit("body").alias("drag"), "k", "idx", F.round(F.col("user") + num(1e-9), 6).alias("user")))
 
 
 def swatch_color(s, d):
@@ -234,8 +234,8 @@ SQL = {
 ps AS (SELECT *, (greatest(f+5e-1, least(t-5e-1, 62e0 + 1e0/3e0)) - f)/(t-f) sh FROM pr),
 bd AS (SELECT k, sum(val) tot0, max(val) FILTER (ord = 2) own, coalesce(sum(greatest(0, p)) FILTER (ord <> 2), 0) oth FROM bl GROUP BY k),
 ba AS (SELECT *, own/tot v0, greatest(0, least(1, own/tot + 15e-2)) v1 FROM (SELECT *, CASE WHEN tot0 = 0 THEN 1 ELSE tot0 END tot FROM bd))
-SELECT 'pair' drag, k, idx, round(CASE WHEN mass IS NULL THEN u WHEN ord = 1 THEN mass*sh/greatest(1e-6, p) WHEN ord = 2 THEN mass*(1-sh)/greatest(1e-6, p) ELSE u END, 6) "user" FROM bl LEFT JOIN ps USING (k)
-UNION ALL SELECT 'body', k, idx, round(CASE WHEN own IS NULL THEN u WHEN ord = 2 THEN v1*tot/greatest(1e-6, p) WHEN 1-v0 >= 1e-6 THEN u*(1-v1)/(1-v0) WHEN oth > 1e-6 THEN (1-v1)/oth ELSE u END, 6) FROM bl JOIN ba USING (k)""",
+SELECT 'pair' drag, k, idx, round(CASE WHEN mass IS NULL THEN u WHEN ord = 1 THEN mass*sh/greatest(1e-6, p) WHEN ord = 2 THEN mass*(1-sh)/greatest(1e-6, p) ELSE u END + 1e-9, 6) "user" FROM bl LEFT JOIN ps USING (k)
+UNION ALL SELECT 'body', k, idx, round(CASE WHEN own IS NULL THEN u WHEN ord = 2 THEN v1*tot/greatest(1e-6, p) WHEN 1-v0 >= 1e-6 THEN u*(1-v1)/(1-v0) WHEN oth > 1e-6 THEN (1-v1)/oth ELSE u END + 1e-9, 6) FROM bl JOIN ba USING (k)""",
     "swatch_color": f"""WITH {SW}, y AS (SELECT *, {luma()} y FROM sws) SELECT k, idx, 'color' preset, format('rgb({{}}, {{}}, {{}})', r, g, b) css FROM y
 UNION ALL SELECT k, idx, 'contrast', format('rgb({{0}}, {{0}}, {{0}})', CAST(floor(y + 5e-1) AS INT)) FROM y
 UNION ALL SELECT k, idx, 'hue', CASE WHEN y < 1 THEN 'rgb(140, 140, 140)' ELSE format('rgb({{}}, {{}}, {{}})', {byte('r*(140/y)')}, {byte('g*(140/y)')}, {byte('b*(140/y)')}) END FROM y""",
