@@ -2,18 +2,20 @@
 
 A feature is a window of a text's UTF-8 bytes, of one of the lengths in SCALES. Its entropy is put in one of 1024 steps, and how
 many windows of all documents fall into each step is counted, for each length; a step's rank is its place by rarity, rarest first.
-In each run of NEAR windows the leftmost one of lowest rank gets a vote; windows of at least VOTES votes are features of the
-document; a text none of whose windows has them keeps all its windows. So what a text loses with its last character is at most
-features at its end, or features that are among all windows of the shorter text. Each distinct feature sets HASHES bits of a Bloom
-filter of 2048 bits; after PER_FILTER features the next filter of the chain begins.
+In each run of R consecutive windows of the text the leftmost one of lowest rank gets a vote; windows of at least R / 4 votes are
+features of level R, for each R of LEVELS; all windows are those of level 1. A text of n windows takes the largest level up to
+n / SPARSE (at least 1), or the next lower one at which it has features, and all levels above. Each distinct feature sets HASHES
+bits of a Bloom filter of 2048 bits; after PER_FILTER features the next filter of the chain begins. A text has a chain for each of
+its levels that has features, of each length of SCALES it is long enough, and not too long, for.
 
-A text has a chain for each length of SCALES that it is long enough for, and not too long: short texts have chains of all lengths,
-long ones of the longest only. Texts of any two neighbouring lengths share a length, so a fingerprint changes by degrees: a text
-and itself without its last character stay above 0.8 in likeness.
+Features of a level are among those of the levels below, and those of a passage are among those of any text around it, because a
+run has the same vote wherever it stands. So two texts are compared on the larger of their least levels, where a passage finds all its
+features again, and likeness does not jump with length.
 
-Two chains of one length are compared filter by filter: the shared bits over what chance gives, normalised by the most that could
-be shared; each filter of the shorter chain takes its best partner. The likeness, from 0 to 1, is the mean over the lengths that
-both texts have; without such a length it is 0.
+Two chains of one length and level are compared filter by filter: the shared bits over what chance gives, normalised by the most
+that could be shared; each filter of the shorter chain takes its best partner. The likeness, from 0 to 1, is the mean over the
+lengths that both texts have features of, weighted by the bits of the smaller chain times the length; without any it is 0, as
+for a passage too short to hold a feature of the other's level.
 
 Defined results: a null text is empty; an empty text has the fingerprint ""; a text shorter than the least length is taken with
 zero bytes before it; equal fingerprints have likeness 1, an empty one and another 0; repeated rows stay, with equal doc_id
@@ -34,15 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, column, parallelism, table
 
-STEPS, NEAR, VOTES = 1024, 32, 8
+STEPS, LEVELS, SPARSE = 1024, (1, 8, 16, 32), 32
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 BLOCK = 400_000
 MOST_RANGES = 65_536  # their bounds are literals of the plan
 #: Window bytes, with the fewest and (exclusive) most bytes of a text that has a chain of them.
-SCALES = {2: (1, 64), 8: (8, 256), 32: (32, 1 << 62)}
+SCALES = {2: (1, 64), 8: (8, 1024), 32: (32, 1 << 62)}
 LEAST = min(SCALES)
 
-Print = dict[int, np.ndarray]  # the chain of each length: filters x BITS of 0 and 1
+Print = dict[int, dict[int, np.ndarray]]  # the chains of each length by level: filters x BITS of 0 and 1
 
 
 def _entropy_parts(w: int) -> np.ndarray:
@@ -124,22 +126,24 @@ def _inside(at: np.ndarray, w: int) -> np.ndarray:
     return ok
 
 
-def _chosen(rank: np.ndarray, ok: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the features: windows of at least VOTES votes, and all windows of texts where none has them."""
-    n = len(rank)
-    key = np.where(ok[:n], rank, STEPS) * (1 << 40) + np.arange(n)
-    low, span = key, 1
-    while span * 2 <= NEAR:
-        low = np.minimum(low[:-span], low[span:]) if len(low) > span else low
+def level_of(windows: int) -> int:
+    """The largest level up to windows / SPARSE, or the least one."""
+    return max(x for x in LEVELS if x <= max(LEVELS[0], windows // SPARSE))
+
+
+def _levels(rank: np.ndarray, ok: np.ndarray, at: np.ndarray, w: int, least: int) -> dict[int, np.ndarray]:
+    """Positions of the features of each level from least on."""
+    n, span = len(rank), 1
+    low = np.where(ok[:n], rank, STEPS) * (1 << 40) + np.arange(n)
+    out = {}
+    while span <= LEVELS[-1]:
+        if span in LEVELS and span >= least:
+            last = np.repeat(at[1:] - w - span + 1, np.diff(at))[: len(low)]
+            votes = np.bincount((low & ((1 << 40) - 1))[np.arange(len(low)) <= last], minlength=n)
+            out[span] = np.flatnonzero((4 * votes >= span) & ok[:n])
+        low = np.minimum(low[:-span], low[span:]) if len(low) > span else low[:0]
         span *= 2
-    low = low & ((1 << 40) - 1)
-    last = np.repeat(at[1:] - w - NEAR + 1, np.diff(at))[: len(low)]
-    run_ok = np.arange(len(low)) <= last
-    votes = np.bincount(low[run_ok], minlength=n)
-    good = (votes >= VOTES) & ok[:n]
-    lone = np.flatnonzero(~np.bincount(np.searchsorted(at, np.flatnonzero(good), "right") - 1, minlength=len(at) - 1).astype(bool))
-    extra = [at[t] + np.flatnonzero(ok[at[t] : min(at[t + 1], n)]) for t in lone]
-    return np.sort(np.concatenate([np.flatnonzero(good), *extra]))
+    return out
 
 
 def _hashes(data: np.ndarray, places: np.ndarray, w: int) -> np.ndarray:
@@ -166,30 +170,65 @@ def _filters(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _chains(data: np.ndarray, at: np.ndarray, w: int, rank: np.ndarray) -> list[dict[int, np.ndarray]]:
+    """The chains of one length, by level, of each text of a block."""
+    ranks, ok = rank[entropy_steps(data, w)], _inside(at, w)[: len(data) - w + 1]
+    own = [level_of(int(m)) for m in np.diff(at) - w + 1]
+    out: list[dict[int, np.ndarray]] = [{} for _ in own]
+    for level, places in _levels(ranks, ok, at, w, min(own)).items():
+        h, ends = _hashes(data, places, w), np.searchsorted(places, at)
+        for k, chains in enumerate(out):
+            if level >= own[k] and ends[k] < ends[k + 1]:
+                chains[level] = _filters(h[ends[k] : ends[k + 1]])
+    for k, chains in enumerate(out):
+        if own[k] not in chains:  # all windows tie, as in a text of one letter
+            a, e = at[k], at[k + 1]
+            lower = _levels(ranks[a : e - w + 1], ok[a : e - w + 1], np.array([0, e - a]), w, LEVELS[0])
+            level = max(x for x, places in lower.items() if x < own[k] and len(places))
+            chains[level] = _filters(_hashes(data[a:e], lower[level], w))
+    return out
+
+
 def fingerprints_of(texts: list[str], ranks: dict[int, np.ndarray]) -> list[Print]:
     out: list[Print] = [{} for _ in texts]
     raw = [(i, _bytes(t)) for i, t in enumerate(texts) if t]
     for w, rank in ranks.items():
         least, most = SCALES[w]
-        for numbers, data, at in _blocks([x for x in raw if least <= len(x[1]) < most]):
-            ok = _inside(at, w)[: max(0, len(data) - w + 1)]
-            places = _chosen(rank[entropy_steps(data, w)], ok, at, w)
-            h = _hashes(data, places, w)
-            ends = np.searchsorted(places, at)
-            for k, i in enumerate(numbers):
-                out[i][w] = _filters(h[ends[k] : ends[k + 1]])
+        fit = [x for x in raw if least <= len(x[1]) < most]
+        sparse = [level_of(len(b) - w + 1) == LEVELS[-1] for _, b in fit]  # those of one level only need no others worked out
+        for kind in (False, True):
+            for numbers, data, at in _blocks([x for x, s in zip(fit, sparse, strict=True) if s == kind]):
+                for i, chains in zip(numbers, _chains(data, at, w, rank), strict=True):
+                    out[i][w] = chains
+    return out
+
+
+def _filter_text(bits: np.ndarray) -> str:
+    """The filter's bytes, or the places of its bits after a tilde where that is shorter."""
+    places = np.flatnonzero(bits).astype("<u2").tobytes()
+    packed = np.packbits(bits).tobytes()
+    return "~" + base64.b64encode(places).decode() if len(places) + 2 < len(packed) else base64.b64encode(packed).decode()
+
+
+def _filter_of(s: str) -> np.ndarray:
+    raw = base64.b64decode(s.removeprefix("~"))
+    if not s.startswith("~"):
+        return np.unpackbits(np.frombuffer(raw, np.uint8))
+    out = np.zeros(BITS, np.uint8)
+    out[np.frombuffer(raw, "<u2")] = 1
     return out
 
 
 def to_text(made: Print) -> str:
-    return ";".join(f"{w}=" + ":".join(base64.b64encode(x.tobytes()).decode() for x in np.packbits(made[w], axis=1)) for w in sorted(made))
+    return ";".join(f"{w}.{level}=" + ":".join(map(_filter_text, made[w][level])) for w in sorted(made) for level in sorted(made[w]))
 
 
 def from_text(s: str) -> Print:
-    out = {}
+    out: Print = {}
     for chain in s.split(";") if s else []:
-        w, filters = chain.split("=", 1)
-        out[int(w)] = np.array([np.unpackbits(np.frombuffer(base64.b64decode(x), np.uint8)) for x in filters.split(":")], np.uint8).reshape(-1, BITS)
+        name, filters = chain.split("=", 1)
+        w, level = map(int, name.split("."))
+        out.setdefault(w, {})[level] = np.array([_filter_of(x) for x in filters.split(":")], np.uint8)
     return out
 
 
@@ -205,11 +244,21 @@ def chain_likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, (score.max(1) * weight).sum() / weight.sum()))
 
 
+def _same(a: dict[int, np.ndarray], b: dict[int, np.ndarray]) -> bool:
+    return a.keys() == b.keys() and all(np.array_equal(a[x], b[x]) for x in a)
+
+
 def likeness(a: Print, b: Print) -> float:
-    if a.keys() == b.keys() and all(np.array_equal(a[w], b[w]) for w in a):
+    if a.keys() == b.keys() and all(_same(a[w], b[w]) for w in a):
         return 1.0
-    both = a.keys() & b.keys()
-    return sum(chain_likeness(a[w], b[w]) for w in both) / len(both) if both else 0.0
+    total = weight = 0.0
+    for w in a.keys() & b.keys():
+        level = max(min(a[w]), min(b[w]))
+        if level in a[w] and level in b[w]:
+            x, y = a[w][level], b[w][level]
+            bits = w * float(min(x.sum(), y.sum()))
+            total, weight = total + bits * chain_likeness(x, y), weight + bits
+    return min(1.0, total / weight) if weight else 0.0
 
 
 def _bucket(c: Column, starts: list[int]) -> Column:
