@@ -9,6 +9,7 @@ from tessera.operators import admission as D
 from tessera.operators import folds as H
 from tessera.operators import layers as L
 from tessera.operators import recipes as R
+from tessera.operators import scans as C
 from tessera.sources.fixtures import table
 from tessera.streaming import events as E
 
@@ -116,9 +117,9 @@ def inflight(s, d):
     return D.guard(events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", busy.alias("busy_ms"))).select("user_id", "id", "ms")
 
 
-def undo_query(s, d):
+def undo_actions(s, d):
     act = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("change")
-    return H.undo_fold(events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", act.alias("act"), F.concat_ws("", "event_type", (F.col("event_id") % 2).cast("string")).alias("state")))
+    return events(s, d).select("user_id", F.col("event_id").alias("id"), "ms", act.alias("act"), F.concat_ws("", "event_type", (F.col("event_id") % 2).cast("string")).alias("state"))
 
 
 def state_query(s, d):
@@ -167,7 +168,8 @@ QUERIES = {
     "clear_unpinned": lambda s, d: R.clear_unpinned(history(s, d)).select("user_id", "id"),
     "fresh_names": fresh,
     "pause_flush": paused,
-    "undo_fold": undo_query,
+    "undo_fold": lambda s, d: H.undo_fold(undo_actions(s, d)),
+    "undo_scan": lambda s, d: C.undo_scan(undo_actions(s, d)),
     "state_restore": state_query,
     "starter_recipes": starters,
     "b64": lambda s, d: table(s, d, "events").select("event_id", F.base64(F.encode(F.concat(F.lit("é "), F.col("props")), "UTF-8")).alias("b64")),
@@ -252,3 +254,4 @@ f AS (SELECT user_id, rn, id, ms, ms + busy free, true taken FROM e WHERE rn = 1
     "latest_wins": "SELECT user_id, arg_max(value, event_id) \"value\", max(event_id) event_id FROM events GROUP BY 1",
     "echo_suppress": "SELECT user_id, event_id FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (SELECT 1 FROM events w WHERE w.user_id = e.user_id AND w.event_type = 'purchase' AND w.ts <= e.ts AND e.ts < w.ts + INTERVAL 5 HOURS)",
 }
+SQL["undo_scan"] = SQL["undo_fold"]
