@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, parallelism, table
+from .common import column, discard, materialize, parallelism, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 WHOLE = 4_000_000
@@ -181,14 +181,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.array(*[F.struct(F.lit(-1), F.lit(k), F.lit(role), F.lit(said)) for k, role in enumerate(("user", "assistant"))])
     turns = turns.union(spark.range(1, numPartitions=1).select(F.inline(added)))
     chars = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint") + F.coalesce(F.length("role"), F.lit(0)) + len(START + END) + 2)
-    # at most one large conversation per WHOLE characters of the table; only where there are any, a Python step is planned
+    # written, so that the planner knows its size and broadcasts it only if small; only where there are any, a Python step is planned
     large = turns.groupBy(F.col("conv_id").alias("large")).agg(chars.alias("chars")).filter(F.col("chars") > WHOLE).select("large")
+    large = materialize(large, "large")
     turns = turns.withColumn("parts", text_parts(F.col("text")))
     if large.isEmpty():
+        discard(large)
         return summaries(turns)
     same = F.col("conv_id").eqNullSafe(F.col("large"))
-    some = F.broadcast(large)
-    return summaries(turns.join(some, same, "left_anti")).unionByName(streamed_summaries(turns.join(some, same, "left_semi")))
+    return summaries(turns.join(large, same, "left_anti")).unionByName(streamed_summaries(turns.join(large, same, "left_semi")))
 
 
 OP8_SQL = r"""

@@ -9,7 +9,7 @@ coefficient is non-zero and every scan has a fixed layout that numpy reads and w
 The decoder accumulates the scans of any progressive JPEG of 8-bit samples in coefficient arrays (scans of the layout above as
 arrays, others bit by bit), dequantises, inverse-transforms with one matrix product, upsamples chroma by replication and
 stores full-resolution RGB tensors: a binary column of height x width x 3 samples beside its height and width. Features are
-computed from that column, not from what made it.
+computed from the tensor's bytes, in the step that makes them.
 
 Defined results: a null text is empty; an empty payload is one unit of 576 bytes of 255; repeated rows stay; an empty table gives
 an empty result; extra columns are ignored. A tensor has two bytes for each of the payload and must fit into a binary value, so a
