@@ -63,10 +63,10 @@ def _of(rows: DataFrame, some: DataFrame, how: str, part: str = "=") -> DataFram
 
 
 def chunk_states(df: DataFrame, owner: str, order: list[str], start: str, load: Callable[[str], Any], step: Callable[[Any, dict], None], dump: Callable[[Any], str]) -> DataFrame:
-    """owner, part, before, after: the state before and after each chunk of an owner's rows. start is the state before all; step changes a loaded state by a row."""
+    """owner, part, before, after: the state before and after each chunk of an owner's rows. start is the state before all; step changes a loaded state by a row's other columns."""
     names = [f"o{i}" for i in range(len(order))]
-    whole = F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
-    rows = df.select(F.col(owner).alias("owner"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], whole)
+    rest = F.struct(*[df[f"`{c}`"] for c in df.columns if c not in (owner, *order)]).alias("row")
+    rows = df.select(F.col(owner).alias("owner"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], rest)
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(rows.repartitionByRange(tasks, "owner", *names).withColumn("part", F.spark_partition_id()), "chunks")
     heads = rows.select("owner", "part").distinct().withColumn("before", F.lit(start))
