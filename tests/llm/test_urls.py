@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,16 @@ def test_every_match_holds_its_tokens():
 
 def test_empty_table(spark):
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string"), [*U.HOST_RULES, *U.PATTERN_RULES]).count() == 0
+
+
+def test_verdicts_of_the_contract(spark, tmp_path):
+    """The contract's rules by their words, not by the code's list; the query and its SQL."""
+    words = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {r.name: r.verdict for r in U.HOST_RULES} == words
+    hosts = {"com/en/": "a.com/en/7", "example.com/en/7": "m.example.com/en/71", "net/de/": "casino.net/de/8", "example.net/de/8": "example.net/de/8", "org/es/": "org/es/"}
+    spark.createDataFrame([(i, f"http://{hosts[n]}") for i, n in enumerate(words)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(i, n, w) for i, (n, w) in enumerate(words.items())]
+    assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in U.op4_url_filter(spark, str(tmp_path)).collect()) == want
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(duck.execute(f"SELECT page_id, rule, verdict FROM ({U.OP4_SQL})").fetchall()) == want
