@@ -238,28 +238,37 @@ def tangents_of(knots: Column) -> Column:
 
 
 def envelope_weights_of(knots: Column) -> Column:
-    """As envelope_weights, for a column of array<struct<position, weight, smooth>>: every row has knots of its own; null where a knot lacks a position or weight."""
+    """As envelope_weights, for a column of array<struct<position, weight, smooth>>: every row has knots of its own; null where a knot lacks a position or weight.
+
+    What a piece between two knots has is computed once a piece, and a value's piece and place in it once a value."""
     sound = F.coalesce(F.forall(knots, lambda k: k["position"].isNotNull() & k["weight"].isNotNull() & ~F.isnan(k["position"]) & ~F.isnan(k["weight"])), F.lit(True))
     ready = F.array_sort(F.transform(knots, lambda k, i: F.struct(k["position"].alias("position"), i.alias("i"), F.greatest(num(0), k["weight"]).alias("weight"), F.coalesce(k["smooth"], F.lit(True)).alias("smooth"))))
     flat = F.array_repeat(F.coalesce(F.get(ready, F.lit(0))["weight"], num(1)), 256)
 
-    def drawn(both: Column) -> Column:
-        p, m, n = both["p"], both["m"], F.size(both["p"])
+    def piece(both: Column, i: Column) -> Column:
+        a, b = F.get(both["p"], i), F.get(both["p"], i + 1)
+        gap = b["position"] - a["position"]
+        h = F.when(gap == 0, num(1)).otherwise(gap)
+        ends = {"x": a["position"], "h": h, "ya": a["weight"], "yb": b["weight"], "ma": h * F.get(both["m"], i), "mb": h * F.get(both["m"], i + 1), "smooth": a["smooth"] & b["smooth"], "end": b["position"]}
+        return F.struct(*[c.alias(name) for name, c in ends.items()])
+
+    def inside(s: Column, t: Column) -> Column:
+        t2, t3 = t * t, t * t * t
+        cubic = (num(2) * t3 - num(3) * t2 + num(1)) * s["ya"] + (t3 - num(2) * t2 + t) * s["ma"] + (num(3) * t2 - num(2) * t3) * s["yb"] + (t3 - t2) * s["mb"]
+        return F.greatest(num(0), F.when(s["smooth"], cubic).otherwise(s["ya"] + (s["yb"] - s["ya"]) * t))
 
+    def drawn(pieces: Column) -> Column:
         def at_value(v: Column) -> Column:
-            i = F.greatest(F.lit(0), F.size(F.filter(p, lambda q: q["position"] < v)) - 1)
-            a, b = F.get(p, i), F.get(p, i + 1)
-            h = F.when(b["position"] == a["position"], num(1)).otherwise(b["position"] - a["position"])
-            t = (v - a["position"]) / h
-            t2, t3 = t * t, t * t * t
-            cubic = (num(2) * t3 - num(3) * t2 + num(1)) * a["weight"] + (t3 - num(2) * t2 + t) * (h * F.get(m, i)) + (num(3) * t2 - num(2) * t3) * b["weight"] + (t3 - t2) * (h * F.get(m, i + 1))
-            inside = F.greatest(num(0), F.when(a["smooth"] & b["smooth"], cubic).otherwise(a["weight"] + (b["weight"] - a["weight"]) * t))
-            first, last = F.get(p, F.lit(0)), F.get(p, n - 1)
-            return F.when(v <= first["position"], first["weight"]).when(v >= last["position"], last["weight"]).otherwise(inside)
-
-        return _by_value(at_value)
-
-    return F.when(sound, F.when(F.coalesce(F.size(knots), F.lit(0)) < 2, flat).otherwise(bound(ready, lambda p: bound(F.struct(p.alias("p"), tangents_of(p).alias("m")), drawn))))
+            met = F.get(F.filter(pieces, lambda s: v <= s["end"]), F.lit(0))
+            return bound(met, lambda s: bound((v - s["x"]) / s["h"], lambda t: inside(s, t)))
+
+        first, last = F.get(pieces, F.lit(0)), F.element_at(pieces, -1)
+        return _by_value(lambda v: F.when(v <= first["x"], first["ya"]).when(v >= last["end"], last["yb"]).otherwise(at_value(v)))
+
+    def pieces(both: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(both["p"]) - 2), lambda i: piece(both, i))
+
+    return F.when(sound, F.when(F.coalesce(F.size(knots), F.lit(0)) < 2, flat).otherwise(bound(ready, lambda p: bound(bound(F.struct(p.alias("p"), tangents_of(p).alias("m")), pieces), drawn))))
 
 
 def apply_weights(curve: Column, weights: Column) -> Column:

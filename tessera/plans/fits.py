@@ -10,6 +10,7 @@ from tessera.operators import dist as D
 from tessera.sources.fixtures import table
 from tessera.sources.fixtures import source_pixels as src
 from tessera.sources.fixtures import target_pixels as tgt
+from tessera.sources.shared import spread
 
 from .sqltext import AXIS, BOTH, CHS, FITTED, SRC, TGT, byte, cdf_of, hist_of, lab, long_of, luma, wide
 
@@ -80,7 +81,7 @@ def envelope_query(s, d):
     """Five knots of every supplier's own; the last but one is a corner for every other supplier."""
     k = F.col("s_suppkey")
     knots = F.array(*[F.struct((_own(k, 64 * i, 7 + i, 40) if 0 < i < 4 else num(255 * (i > 0))).alias("position"), (_own(k, 0, 3 + 4 * i, 19) / num(7)).alias("weight"), (F.lit(True) if i != 3 else k % 2 == 0).alias("smooth")) for i in (3, 0, 1, 2, 4)])
-    return table(s, d, "supplier").select(k.alias("k"), F.posexplode(C.envelope_weights_of(knots)).alias("v", "w")).select("k", "v", F.round("w", 9).alias("w"))
+    return spread(table(s, d, "supplier").select("s_suppkey"), k).select(k.alias("k"), F.posexplode(C.envelope_weights_of(knots)).alias("v", "w")).select("k", "v", F.round("w", 9).alias("w"))
 
 
 def control_query(s, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def spread(df: DataFrame, *keys: Column) -> DataFrame:
+    """df dealt by keys over all tasks: for rows of which each makes much, in files so small that one task would read them all. As the number of tasks is given, Spark does not join them by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: cuts the lineage, survives lost executors, runs df once."""
     spark = df.sparkSession

@@ -20,6 +20,7 @@ from tessera.operators import raster as T
 from tessera.operators import recipes as R
 from tessera.sources import files as S
 from tessera.streaming import events as E
+from tessera.plans import fits
 
 PX = "px_id long, x int, y int, r int, g int, b int, a int"
 
@@ -446,3 +447,17 @@ def test_palettes_without_the_dragged_places_stay(spark):
     assert {(r["k"], r["idx"], r["user"]) for r in A.drag_pair(bars, "k", 1, 50.0).collect()} == {(1, 0, 1.0), (1, 1, 1.0), (None, 0, 3.0)}
     assert {r["user"] for r in A.drag_body(bars, "k", 2, 0.5).collect()} == {1.0, 3.0}
     assert {(r["k"], r["n"]) for r in A.recipe_source(df, "k", 10).groupBy("k").agg(F.countDistinct("px_id").alias("n")).collect()} == {(1, 10), (None, 10)}
+
+
+def test_an_envelope_finds_a_values_piece_once(spark):
+    """Each use of a value's piece or place looked it up anew before, some tens of times a value."""
+    df = spark.range(1).select(F.array(*[F.struct(F.lit(float(x)).alias("position"), F.lit(1.0).alias("weight"), F.lit(True).alias("smooth")) for x in (0, 99, 255)]).alias("knots"))
+    plan = df.select(C.envelope_weights_of(F.col("knots")).alias("e"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 1
+
+
+@pytest.mark.parametrize("name", ["envelope_polyline"])
+def test_rows_that_make_many_are_spread(spark, name):
+    """One small file of suppliers is more than one task's work."""
+    df = fits.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.select(F.spark_partition_id()).distinct().count() > 1
