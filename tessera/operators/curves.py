@@ -157,14 +157,14 @@ def zone_weights(zones: tuple[Zone, Zone, Zone] = ZONES) -> Column:
 
 def zone_weights_of(zones: Column) -> Column:
     """As zone_weights, for a column of array<struct<amount, anchor, falloff, bias>>: every row has zones of its own."""
-    part = lambda z: F.struct((z["amount"] / num(100)).alias("amount"), z["anchor"].alias("anchor"), F.exp(z["bias"] / num(50)).alias("top"), (num(18) + z["falloff"] / num(100) * num(60)).alias("sigma"))
+    part = lambda z, sigma: F.struct((z["amount"] / num(100)).alias("amount"), z["anchor"].alias("anchor"), F.exp(z["bias"] / num(50)).alias("top"), (num(2) * sigma * sigma).alias("width"))
 
     def at_value(parts: Column, v: Column) -> Column:
-        bells = F.transform(parts, lambda z: F.struct(z["amount"].alias("amount"), (z["top"] * F.exp(-((v - z["anchor"]) * (v - z["anchor"])) / (num(2) * z["sigma"] * z["sigma"]))).alias("bell")))
-        sums = F.aggregate(bells, F.struct(num(0).alias("own"), num(0).alias("all")), lambda acc, b: F.struct((acc["own"] + b["amount"] * b["bell"]).alias("own"), (acc["all"] + b["bell"]).alias("all")))
-        return bound(sums, lambda x: x["own"] / F.when(x["all"] == 0, num(1)).otherwise(x["all"]))
+        bell = lambda z: z["top"] * F.exp(-((v - z["anchor"]) * (v - z["anchor"])) / z["width"])
+        add = lambda acc, z: bound(bell(z), lambda b: F.struct((acc["own"] + z["amount"] * b).alias("own"), (acc["all"] + b).alias("all")))
+        return F.aggregate(parts, F.struct(num(0).alias("own"), num(0).alias("all")), add, lambda x: x["own"] / F.when(x["all"] == 0, num(1)).otherwise(x["all"]))
 
-    return bound(F.transform(zones, part), lambda parts: _by_value(lambda v: at_value(parts, v)))
+    return bound(F.transform(zones, lambda z: part(z, num(18) + z["falloff"] / num(100) * num(60))), lambda parts: _by_value(lambda v: at_value(parts, v)))
 
 
 @dataclass(frozen=True)

@@ -74,7 +74,7 @@ def zone_query(s, d):
     """Zones of every supplier's own, with amounts, anchors, falloffs and biases by its key."""
     k = F.col("s_suppkey")
     zones = F.array(*[F.struct(_own(k, 40, 13 + i, 90).alias("amount"), _own(k, 20 + 80 * i, 7, 60).alias("anchor"), _own(k, 10, 11 + i, 80).alias("falloff"), _own(k, -25, 17 + i, 50).alias("bias")) for i in range(3)])
-    return table(s, d, "supplier").select(k.alias("k"), F.posexplode(C.zone_weights_of(zones)).alias("v", "w")).select("k", "v", F.round("w", 9).alias("w"))
+    return spread(table(s, d, "supplier").select("s_suppkey"), k).select(k.alias("k"), F.posexplode(C.zone_weights_of(zones)).alias("v", "w")).select("k", "v", F.round("w", 9).alias("w"))
 
 
 def envelope_query(s, d):

@@ -456,7 +456,7 @@ def test_an_envelope_finds_a_values_piece_once(spark):
     assert plan.count("filter(") == 1
 
 
-@pytest.mark.parametrize("name", ["envelope_polyline", "envelope_weights"])
+@pytest.mark.parametrize("name", ["envelope_polyline", "envelope_weights", "zone_weights"])
 def test_rows_that_make_many_are_spread(spark, name):
     """One small file of suppliers is more than one task's work."""
     df = fits.QUERIES[name](spark, "/root/testdata/sf0.001")
