@@ -14,8 +14,7 @@ import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.folds import CAP, SAME_WITHIN_MS, History, Undo
@@ -27,43 +26,46 @@ def streams(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
 
 
-def ordered(frames: Iterator[pd.DataFrame]) -> list[dict]:
-    rows = pd.concat(list(frames)).sort_values(["ms", "id"], kind="stable")
-    return rows.astype(object).where(rows.notna(), None).to_dict("records")
+def ordered(rows: Iterator[Row]) -> list[dict]:
+    """Rows by ms and id, nulls last."""
+    place = lambda x: (x is None, 0 if x is None else x)
+    return sorted((r.asDict() for r in rows), key=lambda r: (place(r["ms"]), place(r["id"])))
 
 
 class Machine(StatefulProcessor):
     """step(owner, state, row) and end(owner, state) give output tuples; a state is what load makes of the JSON that dump made of it."""
 
     def __init__(self, names: list[str], begin: Callable, step: Callable, dump: Callable = lambda s: s, load: Callable = lambda x: x, end: Callable = lambda k, s: [], until: Callable[[Any], int | None] = lambda s: None):
-        self.names, self.begin, self.step, self.dump, self.load, self.end, self.until = names, begin, step, dump, load, end, until
+        self.begin, self.step, self.dump, self.load, self.end, self.until = begin, step, dump, load, end, until
+        self.row = lambda r: Row(**dict(zip(names, r, strict=True)))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.kept = handle, handle.getValueState("state", "json string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.load(json.loads(self.kept.get()[0])) if self.kept.exists() else self.begin()
-        before = self.until(state) if self.kept.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.kept.exists()
+        state = self.load(json.loads(self.kept.get()[0])) if held else self.begin()
+        before = self.until(state) if held else None
         out = [r for row in ordered(rows) for r in self.step(key[0], state, row)] + list(self.end(key[0], state))
         self.kept.update((json.dumps(self.dump(state)),))
         until = self.until(state)
         if until is not None and until != before:
             self.handle.registerTimer(until)
-        yield pd.DataFrame(out, columns=self.names).astype(object)
+        return map(self.row, out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.kept.exists():
             until = self.until(self.load(json.loads(self.kept.get()[0])))
             if until is not None and until <= expiredTimerInfo.getExpiryTimeInMs():
                 self.kept.clear()
-        yield pd.DataFrame([], columns=self.names)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
 def run(events: DataFrame, owner: str, schema: str, machine: StatefulProcessor, timed: bool = False) -> DataFrame:
-    return events.groupBy(owner).transformWithStateInPandas(machine, schema, "Append", "EventTime" if timed else "None")
+    return events.groupBy(owner).transformWithState(machine, schema, "Append", "EventTime" if timed else "None")
 
 
 def _schema(events: DataFrame, owner: str, rest: str) -> tuple[str, list[str]]:
@@ -132,34 +134,37 @@ def undo(actions: DataFrame, owner: str = "user_id") -> DataFrame:
 
 
 class Pauses(StatefulProcessor):
-    """What waits is a list in the store, so that no state is read to add to it."""
+    """What waits is a list in the store, so that no state is read to add to it. It holds something only of an owner whose last micro-batch ended paused, so it is read at most once a micro-batch."""
 
     def __init__(self, names: list[str]):
-        self.names = names
+        self.row = lambda *r: Row(**dict(zip(names, r, strict=True)))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.paused, self.waiting = handle.getValueState("paused", "paused boolean"), handle.getListState("waiting", "id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        paused = self.paused.exists() and self.paused.get()[0]
-        out, late = [], []
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = stored = self.paused.exists() and self.paused.get()[0]
+        paused, out, late = before, [], []
         for row in ordered(rows):
             if row["act"] == "pause":
                 paused = True
             elif row["act"] == "resume":
                 paused = False
-                out += [(key[0], x[0], row["ms"]) for x in self.waiting.get()] if self.waiting.exists() else []
-                self.waiting.clear()
-                out += [(key[0], i, row["ms"]) for (i,) in late]
+                if stored:
+                    out += [self.row(key[0], x[0], row["ms"]) for x in self.waiting.get()] if self.waiting.exists() else []
+                    self.waiting.clear()
+                    stored = False
+                out += [self.row(key[0], i, row["ms"]) for (i,) in late]
                 late = []
             elif paused:
                 late.append((row["id"],))
             else:
-                out.append((key[0], row["id"], row["ms"]))
+                out.append(self.row(key[0], row["id"], row["ms"]))
         if late:
             self.waiting.appendList(late)
-        self.paused.update((paused,))
-        yield pd.DataFrame(out, columns=self.names)
+        if paused != before:
+            self.paused.update((paused,))
+        return iter(out)
 
     def close(self) -> None:
         pass

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.operators import folds as H
@@ -70,3 +71,40 @@ def test_histories(spark, tmp_path, kind):
         want = H.undo_fold(shaped(batch(spark)))
     last = got.groupBy("user_id").agg(F.max("upto").alias("upto"))
     same(got.join(last, ["user_id", "upto"]).drop("upto"), want)
+
+
+class Kept:
+    """A state that counts its reads."""
+
+    def __init__(self, value=()):
+        self.value, self.reads = list(value), 0
+
+    def exists(self):
+        return bool(self.value)
+
+    def get(self):
+        self.reads += 1
+        return self.value[0] if isinstance(self.value[0], tuple) and isinstance(self.value[0][0], bool) else iter(self.value)
+
+    def clear(self):
+        self.value = []
+
+    def update(self, value):
+        self.value = [value]
+
+    def appendList(self, values):
+        self.value += values
+
+
+def test_what_waits_is_read_once_a_micro_batch():
+    """However many resumes it has; and an owner that is not paused costs no read of the list. Rows come as rows, no frame an owner."""
+    p = S.Pauses(["user_id", "id", "at_ms"])
+    acts = ["event", "resume", "event", "resume", "pause", "event", "event", "resume", "resume", "pause", "event"]
+    batch = lambda at: (Row(user_id=7, id=at + i, ms=at + i, act=a) for i, a in reversed(list(enumerate(acts))))
+    p.paused, p.waiting = Kept([(True,)]), Kept([(1,), (2,)])
+    got = [tuple(r) for r in p.handleInputRows((7,), batch(100), None)]
+    assert got == [(7, 1, 101), (7, 2, 101), (7, 100, 101), (7, 102, 102), (7, 105, 107), (7, 106, 107)] and p.waiting.reads == 1
+    assert p.paused.value == [(True,)] and p.waiting.value == [(110,)]
+    p.paused, p.waiting = Kept([(False,)]), Kept()
+    list(p.handleInputRows((7,), batch(100), None))
+    assert p.waiting.reads == 0 and p.paused.value == [(True,)]
