@@ -64,8 +64,10 @@ PARTS = 3
 
 
 def _streamed(s, rows, name, made):
-    """The output of a stream over rows, which come in PARTS parts that follow one another in time, read by a query that is stopped after the first and started again."""
-    path = new_folder(s, name)
+    """The output of a stream over rows, which come in PARTS parts that follow one another in time, read by a query that is stopped after the first and started again.
+
+    A part is a file a core, dealt by user: as all of a user's rows of a part are in one file, and files are taken by age, each user's come in order however files fall into micro-batches."""
+    path, files = new_folder(s, name), s.sparkContext.defaultParallelism
     first, last = rows.agg(F.min("ms"), F.max("ms")).first()
     width = (last - first) // PARTS + 1
     provider = "spark.sql.streaming.stateStore.providerClass"
@@ -73,9 +75,10 @@ def _streamed(s, rows, name, made):
     L.streams(s)
     try:
         for k in range(PARTS):
-            rows.filter(F.col("ms").between(first + k * width, first + (k + 1) * width - 1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            part = rows.filter(F.col("ms").between(first + k * width, first + (k + 1) * width - 1))
+            part.repartition(files, "user_id").write.mode("append").parquet(f"{path}/in")
             if k != 1:  # the second query meets two parts
-                stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+                stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
                 q = made(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
                 q.awaitTermination()
     finally:

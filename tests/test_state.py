@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.operators import folds as H
+from tessera.plans import live
 from tessera.streaming import events as E
 from tessera.streaming import state as S
 
@@ -108,3 +111,13 @@ def test_what_waits_is_read_once_a_micro_batch():
     p.paused, p.waiting = Kept([(False,)]), Kept()
     list(p.handleInputRows((7,), batch(100), None))
     assert p.waiting.reads == 0 and p.paused.value == [(True,)]
+
+
+def test_a_part_of_a_stream_is_written_by_all_tasks(spark):
+    """One task wrote each part, and one read it."""
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("tessera/history-*"))
+    assert live.history_stream(spark, "/root/testdata/sf0.001").count()
+    (made,) = set(root.glob("tessera/history-*")) - before
+    users = [{r["user_id"] for r in spark.read.parquet(str(p)).select("user_id").distinct().collect()} for p in made.glob("in/*.parquet")]
+    assert len(users) > live.PARTS and all(sum(u in x for x in users) <= live.PARTS for u in set().union(*users))
