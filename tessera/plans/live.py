@@ -52,8 +52,9 @@ def settings_versions(s, d):
 def hist_stream(s, d):
     """Target pixels arrive in four parts, and those with g divisible by 5 go again; the curves are the last version's."""
     path = new_folder(s, "growing")
-    px = tgt(s, d).select(*"rgba", F.lit(1).alias("sign"))
-    px.repartition(4).write.parquet(f"{path}/in")
+    px = tgt(s, d).select("px_id", *"rgba", F.lit(1).alias("sign"))
+    px, parts = px.drop("px_id"), px.repartition(4, "px_id").drop("px_id")  # by a key: rows dealt in turn are sorted first
+    parts.write.parquet(f"{path}/in")
     px.filter("g % 5 = 0").withColumn("sign", F.lit(-1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
     stream = s.readStream.schema(px.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
     T.fit_stream(src(s, d), stream, f"{path}/fits", f"{path}/checkpoint").awaitTermination()

@@ -31,7 +31,8 @@ def fit_stream(source: DataFrame, target: DataFrame, folder: str, checkpoint: st
     wanted = materialize(cdf(histogram(source)), "source-cdf")
 
     def renew(hist: DataFrame, batch: int) -> None:
-        specify(wanted, cdf(dense(hist))).coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={batch}")
+        """One file by a shuffle of the curves: to coalesce would run all partitions' windows and joins in one task, which holds their memory until it ends."""
+        specify(wanted, cdf(dense(hist))).repartition(1).write.mode("overwrite").parquet(f"{folder}/version={batch}")
 
     writer = running_histogram(target).writeStream.outputMode("complete").foreachBatch(renew)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -30,6 +30,18 @@ def test_fits_of_a_stream_are_those_of_all_so_far(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/fits").select("version").distinct().count() == 3
 
 
+def test_renewed_curves_are_not_made_in_one_task(spark, tmp_path):
+    """To coalesce the curves ran the windows of all partitions in one task, and that held the memory of all."""
+    px = px_of(spark).withColumn("sign", F.lit(1))
+    px.write.parquet(f"{tmp_path}/in")
+    done = spark._jsparkSession.sharedState().statusStore().executionsList
+    before = done().size()
+    assert T.fit_stream(px, spark.readStream.schema(px.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/fits", f"{tmp_path}/cp").awaitTermination(120)
+    plans = [done().apply(i).physicalPlanDescription() for i in range(before, done().size())]
+    assert any("Window" in p for p in plans) and not any("Coalesce" in p for p in plans)
+    assert len(list(tmp_path.glob("fits/version=0/*.parquet"))) == 1
+
+
 def files(folder):
     return {p.relative_to(folder): p.stat().st_mtime_ns for p in folder.glob("bucket=*/*.parquet")}
 
