@@ -4,11 +4,11 @@ All words of the corpus of at most LONGEST characters are counted; the LEXICON m
 equal suffixes are shared. Its arcs carry numbers that add up along a word to the word's rank, which addresses the word's ids: a
 transducer from bytes to ids. The compiled arrays are one file in the shared folder, which Spark hands to each executor and each
 worker memory-maps. A word outside the lexicon is merged exactly by the tokenizer's merge ranks, so the lexicon's size changes
-speed and never ids.
+speed and never ids. Texts are cut into units, mostly a word and the signs after it; only units not met before are split into words.
 
 Defined results: a null text is empty and has no ids; equal texts have equal ids; repeated rows stay; an empty table gives an
 empty result; extra columns are ignored. The special tokens of the tokenizer file are found in texts, as its library does by
-default. Words of at most LONGEST characters are kept per worker up to KEPT_BYTES, then forgotten together; texts are handled whole, in blocks of about BATCH characters.
+default. Units of at most LONGEST characters, and the words of longer ones, are kept per worker up to KEPT_BYTES, then forgotten together; texts are handled whole, in blocks of about BATCH characters.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ import struct
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +35,15 @@ from .common import blocks_of, column, materialize, shared_dir, table
 
 LEXICON = 131_072
 KEPT_BYTES, LONGEST = 150_000_000, 64
-FLUSH = 200_000
-BATCH = 4_000_000  # characters whose words are looked up together
+HELD = 24_000_000  # bytes of counted units in a task
+BATCH = 2_000_000  # characters whose words are looked up together
 MADE, NEVER = (1 << 32) - 1, 1 << 62
+TOGETHER = 24  # bytes of a word up to which words are merged together
 # Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same words, the commonest kind tried first: what begins with an apostrophe has no letter there.
+WORDS = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ONE_WORD = r"^ ?\pL+$"  # as Arrow knows it
 
 
 def tokenizer_path() -> str:
@@ -57,6 +64,47 @@ def byte_letters() -> dict[str, int]:
     return out
 
 
+class PairTable:
+    """Pairs of ids and their packed merges as a hash table with free places, asked for many pairs at once."""
+
+    def __init__(self, packed: dict[tuple[int, int], int]):
+        pairs = np.array(list(packed), np.int64).reshape(-1, 2)
+        values = np.array(list(packed.values()), np.int64)
+        self.shift = np.uint64(64 - max(10, (8 * len(pairs)).bit_length()))
+        self.keys = np.full((1 << (64 - int(self.shift))) + 1, -1, np.int64)
+        self.values = np.full(len(self.keys), NEVER, np.int64)
+        key = pairs[:, 0] << 32 | pairs[:, 1]
+        at, rest = self._first(key), np.arange(len(key))
+        while len(rest):  # the first of those that meet takes the place, the others go on
+            free = np.flatnonzero(self.keys[at] == -1)
+            _, one = np.unique(at[free], return_index=True)
+            won = free[one]
+            self.keys[at[won]], self.values[at[won]] = key[rest[won]], values[rest[won]]
+            rest, at = np.delete(rest, won), np.delete(at, won)
+            at = (at + 1) % len(self.keys)
+
+    def _first(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 32 | id of the merge of a and b, or NEVER."""
+        key = a << 32 | b
+        at = self._first(key)
+        met = self.keys[at]
+        out = self.values[at]
+        other = np.nonzero((met != key) & (met != -1))
+        if len(other[0]):
+            key, at = key[other], at[other]
+            found, rest = np.full(len(key), NEVER, np.int64), np.arange(len(key))
+            while len(rest):
+                at[rest] = (at[rest] + 1) % len(self.keys)
+                met = self.keys[at[rest]]
+                found[rest] = np.where(met == key[rest], self.values[at[rest]], NEVER)
+                rest = rest[(met != key[rest]) & (met != -1)]
+            out[other] = found
+        return out
+
+
 class Merges:
     """Vocabulary and merge ranks of a tokenizer file."""
 
@@ -75,7 +123,67 @@ class Merges:
         self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.packed = {p: rank << 32 | made for p, (rank, made) in self.ranks.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.words = regex.compile(WORDS)
+        self.white = [c for k in range(0, 0x110000, 4096) for c in regex.findall(r"\s", "".join(map(chr, range(k, k + 4096))))]
+        self.pieces_of_id = pa.array([self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)], pa.large_binary())
+        self.table = PairTable(self.packed)
+
+    def units(self, texts: list[str]) -> pa.ListArray:
+        """Each text in units whose words are those that each has alone, so that only distinct units need the pattern.
+
+        They are cut before spaces and line ends that follow another character than white space: no word goes on over such a place,
+        and the pattern looks ahead for white space only from white space. The cuts are marked by characters that no text holds in this order."""
+        mark = "\0\1"
+        while any(mark in t for t in texts):
+            mark += "\1"
+        inside = [(w + mark, w) for w in self.white]
+        cut = []
+        for t in texts:
+            t = t.replace(" ", mark + " ").replace("\n", mark + "\n")
+            for marked, w in inside:
+                if marked in t:
+                    t = t.replace(marked, w)
+            cut.append(t)
+        return pc.split_pattern(pa.array(cut, pa.large_string()), mark)
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """As merge, as little-endian unsigned 32-bit integers: words of one length take their merges together, each word its next one in each step."""
+        out: list[bytes] = [b""] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        of_byte = np.array(self.of_byte, np.int64)
+        for n, ks in by_length.items():
+            if n < 2 or n > TOGETHER or len(ks) < 32:
+                for k in ks:
+                    out[k] = np.array(self.merge(words[k]), "<u4").tobytes()
+                continue
+            own = np.array(ks)
+            ids = of_byte[np.frombuffer(b"".join([words[k] for k in ks]), np.uint8).reshape(-1, n).T]
+            ranks = self.table.get(ids[:-1], ids[1:])
+            while len(own):
+                at = ranks.argmin(0)
+                best = ranks[at, np.arange(len(own))]
+                if (over := best == NEVER).any():
+                    done = np.ascontiguousarray(ids[:, over].T, "<u4").tobytes()
+                    width = 4 * len(ids)
+                    for i, k in enumerate(own[over].tolist()):
+                        out[k] = done[i * width : (i + 1) * width]
+                    own, ids, ranks, at, best = own[~over], ids[:, ~over], ranks[:, ~over], at[~over], best[~over]
+                    if not len(own):
+                        break
+                col, left = np.arange(len(own)), len(ids) - 1
+                ids = np.where(np.arange(left)[:, None] <= at, ids[:-1], ids[1:])
+                ids[at, col] = made = best & MADE
+                ranks = np.where(np.arange(left - 1)[:, None] < at, ranks[:-1], ranks[1:])
+                if left > 1:
+                    c = np.flatnonzero(at > 0)
+                    ranks[at[c] - 1, c] = self.table.get(ids[at[c] - 1, c], made[c])
+                    c = np.flatnonzero(at < left - 1)
+                    ranks[at[c], c] = self.table.get(made[c], ids[at[c] + 1, c])
+                else:
+                    ranks = np.full((1, len(own)), NEVER)
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Exact: always the pair of lowest rank, the leftmost among equals."""
@@ -193,6 +301,7 @@ class Lexicon:
             out.append(whole[at : at + n])
             at += n
         self.keys, self.targets, self.plus, self.final, self.starts, self.ids = out
+        self.block = self.ids.astype("<u4").tobytes()
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, or -1: all words take their steps together."""
@@ -217,71 +326,129 @@ class Lexicon:
         ok[ok] = self.final[state[ok]] > 0
         return np.where(ok, rank, -1)
 
+    def all_ids(self, ranks: np.ndarray) -> list[bytes]:
+        """The ids of each rank as little-endian unsigned 32-bit integers; of -1, none."""
+        at = np.maximum(ranks, 0)
+        last = np.where(ranks < 0, self.starts[at], self.starts[np.minimum(at + 1, len(self.starts) - 1)])
+        return [self.block[4 * a : 4 * b] for a, b in zip(self.starts[at].tolist(), last.tolist(), strict=True)]
+
     def ids_of(self, rank: int) -> list[int]:
         return self.ids[self.starts[rank] : self.starts[rank + 1]].tolist()
 
 
+def one_word(unit: str) -> bool:
+    """Whether a unit is a word of letters alone, as most are; what Python calls letters is within the pattern's."""
+    return (unit[1:] if unit[:1] == " " else unit).isalpha()
+
+
+def blocks(values: pa.LargeBinaryArray, at: np.ndarray) -> list[bytes]:
+    """Values joined in blocks, which begin and end at places of at."""
+    starts = np.frombuffer(values.buffers()[1], np.int64)[: len(values) + 1][at].tolist()
+    data = memoryview(values.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+
+
 class Codec:
-    """Texts to ids and back. Holds the words met so far, of at most LONGEST characters each and about KEPT_BYTES in all."""
+    """Texts to ids and back. Holds the units met so far, of at most LONGEST characters each and about KEPT_BYTES in all."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None):
         self.merges, self.lexicon = merges, lexicon
         self.met: dict[str, bytes] = {}
         self.size = 0
 
-    def _meet(self, words: list[str]) -> None:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    def _meet(self, units: list[str]) -> None:
+        """Keeps the ids of units, and of the words of long ones. Words are looked up, and those outside the lexicon merged, together."""
+        met, find = self.met, self.merges.words.findall
+        words = {u: find(u) for u in units if not one_word(u)}
+        new = [u for u in units if u not in words]
+        new += set(chain.from_iterable(words.values())).difference(met, new)
+        raw = [w.encode() for w in new]
         ranks = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
-        for w, b, r in zip(words, raw, ranks.tolist(), strict=True):
-            ids = self.lexicon.ids_of(r) if r >= 0 else self.merges.merge(b)
-            self.met[w] = struct.pack(f"<{len(ids)}I", *ids)
-            self.size += 150 + len(b) + 4 * len(ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. New words of all texts are looked up together."""
-        find, met = self.merges.words.findall, self.met
-        split = [[(special, () if special is not None else find(piece)) for piece, special in self.merges.pieces(t)] for t in texts]
+        ids = self.lexicon.all_ids(ranks) if self.lexicon else [b""] * len(raw)
+        other = np.flatnonzero(ranks < 0).tolist()
+        for k, x in zip(other, self.merges.merge_all([raw[k] for k in other]), strict=True):
+            ids[k] = x
+        of = dict(zip(new, ids, strict=True))
+        kept = {u: b"".join([of[w] if w in of else met[w] for w in ws]) for u, ws in words.items()}
+        kept |= {w: of[w] for u, ws in words.items() if len(u) > LONGEST for w in ws if len(w) <= LONGEST and w in of}
+        kept |= {u: of[u] for u in units if u not in words}
+        met |= kept
+        self.size += 150 * len(kept) + len("".join(kept).encode()) + sum(map(len, kept.values()))
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens. New units of all texts are met together."""
+        met = self.met
         if self.size > KEPT_BYTES:
             met.clear()
             self.size = 0
-        new: set[str] = set()
-        for t in split:
-            for _, words in t:
-                new.update(set(words).difference(met))
-        if new:
-            self._meet(list(new))
-        out = [b"".join([struct.pack("<I", special) if special is not None else b"".join(map(met.__getitem__, words)) for special, words in t]) for t in split]
-        for w in new:
-            if len(w) > LONGEST:
-                self.size -= 150 + len(w.encode("utf-8", "surrogatepass")) + len(met.pop(w))
+        lists = self.merges.units(texts)
+        flat = lists.flatten().dictionary_encode()
+        units = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [u for u in units if u not in met]:
+            self._meet(new)
+        out = blocks(pa.array(list(map(met.__getitem__, units)), pa.large_binary()).take(flat.indices), lists.offsets.to_numpy())
+        for u in new:
+            if len(u) > LONGEST:
+                self.size -= 150 + len(u.encode()) + len(met.pop(u))
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [list(self.merges.pieces(t)) for t in texts]
+        plain = [piece for t in split for piece, special in t if special is None]
+        made = iter(self._encode_plain(plain) if plain else ())
+        return [b"".join([struct.pack("<I", special) if special is not None else next(made) for _, special in t]) for t in split]
+
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.merges.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, ids: list[bytes]) -> list[str]:
+        """The text of each block of ids: the bytes of all ids are taken together, then cut."""
+        taken = self.merges.pieces_of_id.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return [b.decode("utf-8", "replace") for b in blocks(taken, np.cumsum([0, *[len(x) // 4 for x in ids]]))]
+
+
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """word, n: one row a word."""
+    made = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    return pa.table({"word": made.column("word"), "n": made.column("n_sum")})
+
+
+def words_of(units: pa.Table, find) -> pa.Table:
+    """The words of at most LONGEST characters in units(word, n). Units of letters alone are words; the others go through the pattern."""
+    alone = pc.match_substring_regex(units.column("word"), ONE_WORD)
+    counts: Counter = Counter()
+    rest = units.filter(pc.invert(alone))
+    for u, n in zip(rest.column("word").to_numpy().tolist(), rest.column("n").to_numpy().tolist(), strict=True):
+        for w in find(u):
+            counts[w] += n
+    found = summed([units.filter(alone), pa.table({"word": pa.array(list(counts), pa.large_string()), "n": pa.array(list(counts.values()), pa.int64())})])
+    return found.filter(pc.less_equal(pc.utf8_length(found.column("word")), LONGEST))
 
 
 def count_words(docs: DataFrame, path: str) -> DataFrame:
-    """word, n: every word of at most LONGEST characters of every text; longer ones are merged where they stand, so ids do not depend on this. Counts are first summed in each task, in tables of at most about FLUSH words."""
+    """word, n: every word of at most LONGEST characters of every text; longer ones are merged where they stand, so ids do not depend on this. Units are first summed in each task, in tables of at most about HELD bytes, then split into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, counts = Merges(path), Counter()
+        merges, held = merges_of(path), []
 
-        def flush() -> pa.RecordBatch:
-            b = pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return b
+        def words() -> Iterator[pa.RecordBatch]:
+            found = words_of(summed(held), merges.words.findall) if held else None
+            held.clear()
+            for b in found.combine_chunks().to_batches(max_chunksize=100_000) if found else ():
+                yield pa.record_batch([b.column(0).cast(pa.string()), b.column(1)], names=["word", "n"])
 
         for b in batches:
-            for text in column(b, "text"):
-                for piece, special in merges.pieces(text or ""):
-                    if special is None:
-                        found = merges.words.findall(piece)
-                        if len(max(found, key=len, default="")) > LONGEST:
-                            found = [w for w in found if len(w) <= LONGEST]
-                        counts.update(found)
-                if len(counts) > FLUSH:
-                    yield flush()
-        yield flush()
+            for texts in blocks_of(column(b, "text"), lambda t: len(t or ""), BATCH):
+                plain = [piece for t in texts for piece, special in merges.pieces(t or "") if special is None]
+                found = merges.units(plain).flatten().value_counts()
+                held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+                if sum(t.nbytes for t in held) > HELD:
+                    held[:] = [summed(held)]
+                    if held[0].nbytes > HELD // 2:
+                        yield from words()
+        yield from words()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -320,6 +487,12 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON) -> str:
     return publish(docs.sparkSession, compile_lexicon({b: merges.merge(b) for b in words}))
 
 
+@lru_cache(maxsize=1)
+def merges_of(path: str) -> Merges:
+    """This worker's vocabulary and merges of a tokenizer file."""
+    return Merges(path)
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -327,7 +500,7 @@ def codec(path: str, name: str) -> Codec:
     """This worker's codec for a published lexicon."""
     if (path, name) not in _codecs:
         _codecs.clear()
-        _codecs[path, name] = Codec(Merges(path), Lexicon(SparkFiles.get(name)))
+        _codecs[path, name] = Codec(merges_of(path), Lexicon(SparkFiles.get(name)))
     return _codecs[path, name]
 
 
@@ -340,9 +513,10 @@ def encode_texts(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
             for rows in blocks_of(zip(column(b, "doc_id"), column(b, "text"), strict=True), lambda r: len(r[1] or ""), BATCH):
                 ids = c.encode([t or "" for _, t in rows])
                 yield pa.record_batch(
-                    [pa.array([i for i, _ in rows], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())],
+                    [pa.array([i for i, _ in rows], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(c.decode_all(ids), pa.string())],
                     names=["doc_id", "n_tokens", "ids", "decoded"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 

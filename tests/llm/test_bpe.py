@@ -2,6 +2,8 @@ import hashlib
 import random
 import struct
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +109,64 @@ def test_the_cache_is_bounded_by_bytes(monkeypatch):
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode(text, add_special_tokens=False).ids
         most = max(most, codec.size)
     assert most < 30_000
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sé中7.,-\0\1\n\r\t \u00a0\u2003 \n "), max_size=40), min_size=1, max_size=4))
+def test_units_have_the_words_of_their_text(texts):
+    units = MERGES.units(texts).to_pylist()
+    assert ["".join(us) for us in units] == texts
+    assert [[w for u in us for w in MERGES.words.findall(u)] for us in units] == [B.regex.findall(B.PATTERN, t) for t in texts]
+    for t, ids in zip(texts, B.Codec(MERGES, None).encode(texts), strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_words_merged_together_equal_words_merged_alone():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("etaoinshrdlé .中", k=rng.randrange(30))).encode() for _ in range(8000)] + [bytes([b]) * 2 for b in range(256)]
+    assert B.Merges(PATH).merge_all(words) == [struct.pack(f"<{len(i)}I", *i) for i in map(MERGES.merge, words)]
+    assert MERGES.merge_all([]) == []
+
+
+def test_letters_alone_are_one_word():
+    every = [w for k in range(0x110000) if not 0xD800 <= k < 0xE000 for w in (chr(k), " " + chr(k))]
+    alone = pc.match_substring_regex(pa.array(every), B.ONE_WORD).to_pylist()
+    assert sum(alone) > 200_000 and all(MERGES.words.findall(w) == [w] for w, is_one in zip(every, alone, strict=True) if is_one or B.one_word(w))
+
+
+def test_words_of_units(spark):
+    units = pa.table({"word": pa.array([" the", "the,", " a\n", "x" * 65, "it's", "", " the."], pa.large_string()), "n": [5, 2, 3, 4, 1, 9, 7]})
+    found = B.words_of(units, MERGES.words.findall)
+    assert dict(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True)) == {" the": 12, "the": 2, ",": 2, " a": 3, "\n": 3, "it": 1, "'s": 1, ".": 7}
+    texts = ["the cat, the  cat's\n\n hat. " * k + "中文,abc-" * 9 for k in range(30)] + [None, "", "<|endoftext|>the"]
+    want = B.Counter(w for t in texts for piece, special in MERGES.pieces(t or "") if special is None for w in MERGES.words.findall(piece))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["word"]: r["n"] for r in B.count_words(docs, PATH).collect()} == want
+
+
+class Seen:
+    """The pattern, counting the characters that go through it."""
+
+    def __init__(self):
+        self.characters = 0
+
+    def findall(self, text):
+        self.characters += len(text)
+        return MERGES.words.findall(text)
+
+
+def test_only_new_units_go_through_the_pattern():
+    merges = B.Merges(PATH)
+    merges.words = seen = Seen()
+    codec, text = B.Codec(merges, None), "the cat, 7\n\nit's (so)! " * 1000
+    for _ in range(2):
+        (ids,) = codec.encode([text])
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert 0 < seen.characters < 100
+
+
+def test_words_of_a_text_without_spaces_are_kept():
+    codec, text = B.Codec(MERGES, None), "中文,abc-" * 1000 + "a" * 100
+    (ids,) = codec.encode([text])
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert sorted(codec.met) == [",", "-", "abc", "中文"] and codec.size == sum(150 + len(w.encode()) + len(x) for w, x in codec.met.items())
